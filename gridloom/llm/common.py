@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -146,3 +147,50 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[back] = inside[back]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(offsets, start, side="right") - 1
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
+
+
+def stashed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder; unlike a checkpoint it is read by column."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """`df` (a few bytes a row, cheap to count) with a broadcast hint if it has at most `rows` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable from each node of the edges (u, v).
+
+    Alternates large-star and small-star until the edges no longer change; every step is a shuffle by
+    node with partial minima, so no component is gathered anywhere.
+    """
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    e = checkpointed(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    was = state(e)
+    while was[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        e = checkpointed(small.where("u != v").distinct())
+        now = state(e)
+        if now == was:
+            break
+        was = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from .op2_token_counts import op2_token_counts
 from .op3_media_columns import op3_media_columns
 from .op4_bpe_codec import op4_bpe_codec
+from .op6_minhash_dedup import op6_minhash_dedup
 from .op8_language_id import op8_language_id
 from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_media_columns, op4_bpe_codec, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_media_columns, op4_bpe_codec, op6_minhash_dedup, op8_language_id, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
