@@ -7,8 +7,9 @@ from .op3_media_columns import op3_media_columns
 from .op4_bpe_codec import op4_bpe_codec
 from .op6_minhash_dedup import op6_minhash_dedup
 from .op8_language_id import op8_language_id
+from .op9_suffix_dedup import op9_suffix_dedup
 from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_media_columns, op4_bpe_codec, op6_minhash_dedup, op8_language_id, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_media_columns, op4_bpe_codec, op6_minhash_dedup, op8_language_id, op9_suffix_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
