@@ -177,16 +177,17 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return LanguageModel({lang: t[:docs] for lang, t in samples.items()})
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: the id, lang_pred, score. `und` and score 0 for a text that is null or has no letter."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per row: the id, the columns in `keep`, lang_pred, score. `und` and score 0 for a text that is null or has no letter."""
+    schema = {c: docs.schema[c].dataType.simpleString() for c in [id_col, *(keep or [])]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 1, 2 << 20)):
-            found = model.predict(strings(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
+        for batch in (s for b in batches for s in sub_batches(b, 0, 2 << 20)):
+            found = model.predict(strings(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*schema, "lang_pred", "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    ddl = ", ".join(f"`{c}` {t}" for c, t in schema.items())
+    return docs.select(F.col(text_col).alias("_text"), *schema).mapInArrow(run, f"{ddl}, lang_pred string, score double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

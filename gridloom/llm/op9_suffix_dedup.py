@@ -249,8 +249,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return hit.select("id", spans.alias("spans")).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts"))
 
 
-def cut_texts(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Rows of `docs` with n_bytes, n_removed, n_spans, kept_bytes and the columns in `keep`."""
+def cut_texts(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: bool = False) -> DataFrame:
+    """Rows of `docs` with n_bytes, n_removed, n_spans, kept_bytes (or kept_text) and the columns in `keep`."""
+    name = "kept_text" if as_text else "kept_bytes"
     schema = {c: docs.schema[c].dataType.simpleString() for c in [id_col, *keep]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,25 +270,28 @@ def cut_texts(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, keep
                         removed += hi - max(lo, done)
                         at = done = hi
                 parts.append(raw[at:])
-                rows.append((len(raw), removed, n, b"".join(parts)))
+                kept = b"".join(parts)
+                # a cut may pass through a character; what is left of it goes
+                rows.append((len(raw), removed, n, kept.decode("utf-8", "ignore") if as_text else kept))
             cols = list(zip(*rows, strict=True)) or [()] * 4
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*schema, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*schema, "n_bytes", "n_removed", "n_spans", name])
 
     joined = docs.join(bounded(cuts.withColumnRenamed("id", id_col), FEW), id_col, "left")
     ddl = ", ".join(f"`{c}` {t}" for c, t in schema.items())
-    return joined.select(text_col, "cuts", *schema).mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    return joined.select(text_col, "cuts", *schema).mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, {name} {'string' if as_text else 'binary'}")
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row: the id, the columns in `keep`, n_bytes, n_removed, n_spans and kept_bytes (the remaining bytes).
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """One row per row: the id, the columns in `keep`, n_bytes, n_removed, n_spans and kept_bytes (the remaining bytes),
+    or kept_text with `as_text`, where characters that a cut passes through go.
 
     Ids are integers. A null or empty text has no bytes. Rows with the same id are one document: their strings
     remove nothing from each other, and what an earlier document removes from one of them may be cut from
     all at its place, so ids should be unique. A row with a null id is returned whole and removes nothing.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return cut_texts(docs, stashed(repeated_spans(own)), id_col, text_col, keep or [])
+    return cut_texts(docs, stashed(repeated_spans(own)), id_col, text_col, keep or [], as_text)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
