@@ -6,11 +6,13 @@ from .op1_mixing import op1_mixing
 from .op2_token_counts import op2_token_counts
 from .op3_media_columns import op3_media_columns
 from .op4_bpe_codec import op4_bpe_codec
+from .op5_imatch import op5_imatch
 from .op6_minhash_dedup import op6_minhash_dedup
+from .op7_quality_lm import op7_quality_lm
 from .op8_language_id import op8_language_id
 from .op9_suffix_dedup import op9_suffix_dedup
 from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_media_columns, op4_bpe_codec, op6_minhash_dedup, op8_language_id, op9_suffix_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_media_columns, op4_bpe_codec, op5_imatch, op6_minhash_dedup, op7_quality_lm, op8_language_id, op9_suffix_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
