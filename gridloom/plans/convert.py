@@ -88,3 +88,13 @@ def convert_markdown(pages: DataFrame, include_page: bool = False) -> DataFrame:
 
 
 __all__ = ["REGION", "Conversion", "continued_ids", "convert_items", "convert_markdown", "convert_pages", "region_cells"]
+
+
+#: The other name of the main path.
+convert = convert_items
+
+
+def postprocess(cells: DataFrame, keep_repeated_headers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cells without repeated headers, serial numbers of their data rows): the header steps by themselves."""
+    kept = materialize(headers.filter_headers(cells, keep_repeated_headers))
+    return kept, headers.renumber(kept)

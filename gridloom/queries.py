@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions.exprs import numeric
 from .model import Options
-from .operators import grid, headers, layout, merge, metrics, policy, render, tiers
+from .operators import evaluation, grid, headers, layout, merge, metrics, policy, render, tiers
 from .plans.convert import convert_items, convert_markdown, region_cells
 from .sources import fixtures as fx
 
@@ -397,3 +397,15 @@ def tier_choice(spark, sf_dir):
 @query("SELECT CAST(floor(o_orderkey/500.0) AS INT) AS doc_id, count(*)+1 AS rows, 5 AS max_columns, 5*(count(*)+1) AS filled_cells FROM orders GROUP BY ALL")
 def workbook_stats(spark, sf_dir):
     return metrics.workbook_stats(convert_items(table(spark, sf_dir, fx.GRID), Options(worksheet_policy="per-region")).sheet_rows).select("doc_id", "rows", "max_columns", "filled_cells")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
+def corpus_manifest(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return evaluation.manifest(d.select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content")))
+
+
+@query("SELECT event_type AS tool, count(*) AS documents, round(sum(value),4) AS total_time, round(avg(user_id%10/10.0),6) AS mean_f1, count_if(event_id%3=0) AS exact FROM events GROUP BY event_type")
+def aggregate_runs(spark, sf_dir):
+    runs = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("tool"), F.col("value").alias("median_time"), ((F.col("user_id") % 10) / 10.0).alias("f1"), (F.col("event_id") % 3 == 0).alias("exact"))
+    return evaluation.aggregate_runs(runs).withColumn("total_time", F.round("total_time", 4)).withColumn("mean_f1", F.round("mean_f1", 6))
