@@ -15,57 +15,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, buffers, prefix_hash, read_documents, span_hash, stashed, sub_batches
+from .common import bounded, buffers, mix64, powers, prefix_hash, read_documents, span_hash, stashed, sub_batches
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 SPAN, GRAM = 50, 16
 #: Text behind one shard of the anchors' keys, and segment bytes that one suffix array takes.
-KEY_SHARD, ARRAY_BYTES = 48 << 20, 2 << 20
-#: Documents whose cuts may be broadcast; more are joined by a shuffle.
-FEW = 200_000
+KEY_SHARD, ARRAY_BYTES = 16 << 20, 1 << 20
+#: The bytes of an anchor's hash that are passed on.
+LOW = np.uint64((1 << 32) - 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every text: where each segment's first string starts, how many strings it has, its anchor's hash, its text."""
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every text: where each segment's first string starts, how many strings it has, its anchor's hash, its text,
+    where its anchor starts."""
     width = SPAN - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
-        return none, none, np.zeros(0, np.uint64), none
-    at = np.arange(len(data) - GRAM + 1)
-    h = span_hash(prefix_hash(data), at, at + GRAM)
-
-    def halves(best: np.ndarray, step: int) -> np.ndarray:
-        left, right = best[: len(best) - step], best[step:]
-        return np.where(h[right] < h[left], right, left)
-
+        return none, none, np.zeros(0, np.uint64), none, none
+    pre = prefix_hash(data)
+    n = len(data) - GRAM + 1
+    h = mix64((pre[GRAM:] - pre[:n]) * powers(n, inverse=True) + np.uint64(GRAM))
+    # least hash, then leftmost: the place in the low bits decides between equal high bits
+    bits = np.uint64(max(24, len(data).bit_length()))
+    low = h >> bits << bits
+    low |= np.arange(n, dtype=np.uint64)
     size = 1
     while 2 * size <= width:
-        at = halves(at, size)
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
     if size < width:
-        at = halves(at, width - size)
-    start = np.arange(len(at))
-    doc = np.searchsorted(offsets, start, side="right") - 1
-    whole = start + SPAN <= offsets[doc + 1]
-    start, at, doc = start[whole], at[whole], doc[whole]
-    if not len(start):
-        return none, none, np.zeros(0, np.uint64), none
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)])
-    return start[first], np.diff(np.r_[first, len(start)]), h[at[first]], doc[first]
+        low = np.minimum(low[: size - width], low[width - size :])
+    at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    length = np.diff(offsets)
+    doc = np.repeat(np.arange(len(length)), length)[: len(at)]
+    room = np.repeat(offsets[1:], length)[: len(at)]
+    whole = np.arange(len(at)) + SPAN <= room
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+    # the strings of a document that are whole stand in front of those that aren't
+    first = np.flatnonzero(new & whole)
+    count = np.diff(np.r_[0, np.cumsum(whole)][np.r_[first, len(at)]])
+    return first, count, h[at[first]], doc[first], at[first]
+
+
+def sides(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors at `at` with as many bytes on the left, or the right, as a string must have on one side; and
+    which there are (2, n). Strings agree only if their anchors do on one side."""
+    pre, side = prefix_hash(data), (SPAN - GRAM + 1) // 2
+    left, right = at - side >= offsets[doc], at + GRAM + side <= offsets[doc + 1]
+    a = span_hash(pre, np.where(left, at - side, at), at + GRAM)
+    b = span_hash(pre, at, np.where(right, at + GRAM + side, at + GRAM))
+    return np.stack([mix64(a + np.uint64(1)), mix64(b + np.uint64(2))]), np.stack([left, right])
 
 
 def _pack(x: np.ndarray) -> np.ndarray:
-    """The low 40 bits of each hash, five bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    """The low half of each hash, four bytes each."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
+    return np.frombuffer(b, "<u4").astype(np.uint64)
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -73,12 +86,15 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """(id, shard, keys): of each document the anchors, five bytes each, that stand in some other document too."""
+    """(id, shard, keys): of each document the anchors with one side, four bytes each, that stand in some other document too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in sub_batches(b, 1)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            _, _, h, doc = segments(*buffers(batch.column(1)))
+            data, off = buffers(batch.column(1))
+            _, _, _, doc, at = segments(data, off)
+            both, there = sides(data, off, at, doc)
+            h, doc = np.concatenate([both[k][there[k]] for k in (0, 1)]), np.concatenate([doc[there[k]] for k in (0, 1)])
             shard = _shard(h, shards)
             order = np.lexsort((h, doc, shard))
             h, doc, shard = h[order], doc[order], shard[order]
@@ -126,54 +142,63 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
     return parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(gather, "id long, shard long, keys binary")
 
 
-def shared_segments(docs: DataFrame, anchors: DataFrame, shards: int, with_text: bool) -> DataFrame:
-    """(id, start, mark, h, content): the segments of shared anchors; mark: 64-bit hash of the content, h: of the anchor."""
-
-    def find(ids: list[int], texts: list[str], keys: list[list[tuple[int, bytes]]]) -> pa.RecordBatch:
-        data, off = buffers(pa.array(texts, pa.large_string()))
-        start, strings, h, doc = segments(data, off)
-        keep = np.zeros(len(h), bool)
-        edge = np.searchsorted(doc, np.arange(len(ids) + 1))
-        shard, low = _shard(h, shards), h & np.uint64((1 << 40) - 1)
-        for d, known in enumerate(keys):
-            own = slice(edge[d], edge[d + 1])
-            if known and edge[d] < edge[d + 1]:
-                # five bytes and the shard's number, as one number each, decide
-                want = np.concatenate([_unpack(k) + (np.uint64(s) << np.uint64(40)) for s, k in known])
-                keep[own] = np.isin(low[own] + (shard[own].astype(np.uint64) << np.uint64(40)), want)
-        start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
-        end = start + strings + SPAN - 1
-        mark = span_hash(prefix_hash(data), start, end).view(np.int64)
-        raw = data.tobytes()
-        content = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)] if with_text else [None] * len(start)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[doc]), pa.array(start - off[doc]), pa.array(mark), pa.array(h.view(np.int64)), pa.array(content, pa.binary())], names=["id", "start", "mark", "h", "content"])
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(id, *others, packed): compressed texts dealt out by id. What joins by id reuses this one exchange."""
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns if c != "text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, keys, size = [], [], [], 0
-        known_of, known = None, []
-        for batch in batches:
-            for i, text, shard, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if i != known_of:
-                    known_of, known = i, []
-                if text is None:
-                    known.append((shard, k))
-                elif known:
-                    ids.append(i)
-                    texts.append(text)
-                    keys.append(known)
-                    size += len(text)
-                    if size > 2 << 20:
-                        yield find(ids, texts, keys)
-                        ids, texts, keys, size = [], [], [], 0
-        if ids:
-            yield find(ids, texts, keys)
-
-    texts = docs.select("id", "text", F.lit(None).cast("long").alias("shard"), F.lit(None).cast("binary").alias("keys"))
-    flags = anchors.select("id", F.lit(None).cast("string").alias("text"), "shard", "keys")
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in (s for b in batches for s in sub_batches(b, 0, 1 << 18)):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([pack((t or "").encode()) for t in batch.column(0).to_pylist()], pa.binary())], names=[*kinds, "packed"])
+
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # both uses of this table share the exchange; flags (a null text) come before the text
-    rows = texts.unionByName(flags).repartition(n, "id").sortWithinPartitions("id", F.col("text").isNotNull())
-    return rows.mapInArrow(run, "id long, start long, mark long, h long, content binary")
+    ddl = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    return docs.select("text", *kinds).mapInArrow(run, f"{ddl}, packed binary").repartition(n, "id")
+
+
+def _texts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(p) for p in packed]
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+
+
+def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFrame:
+    """(id, start, strings, mark, h): segments of shared anchors; mark: 64-bit hash of the content, h: of the anchor."""
+
+    def find(ids: np.ndarray, packed: list[bytes], keys: list[list[dict]]) -> pa.RecordBatch:
+        data, off = _texts(packed)
+        start, strings, h, doc, at = segments(data, off)
+        both, there = sides(data, off, at, doc)
+        # the document's number among these, the shard and four bytes tell anchors apart
+        tag = lambda d, low, shard: mix64(mix64(d.astype(np.uint64)) + low + (np.uint64(1) + shard.astype(np.uint64) << np.uint64(32)))
+        want = np.concatenate([tag(np.full(1, d), _unpack(k["keys"]), np.full(1, k["shard"])) for d, known in enumerate(keys) for k in known])
+        keep = np.isin(tag(doc, both[0] & LOW, _shard(both[0], shards)), want) & there[0] | np.isin(tag(doc, both[1] & LOW, _shard(both[1], shards)), want) & there[1]
+        start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
+        mark = span_hash(prefix_hash(data), start, start + strings + SPAN - 1)
+        return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=["id", "start", "strings", "mark", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 18)):
+            yield find(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+
+    flags = anchors.groupBy("id").agg(F.collect_list(F.struct("shard", "keys")).alias("keys"))
+    return texts.join(flags.hint("merge"), "id").select("id", "packed", "keys").mapInArrow(run, "id long, start int, strings int, mark long, h long")
+
+
+def contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, mark, content, least) of segments wanted: (mark, first: struct(id, start, strings, h))."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 18)):
+            rows = []
+            for i, packed, segs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unpack(packed)
+                rows += [(s["h"], s["mark"], text[s["start"] : s["start"] + s["strings"] + SPAN - 1], i) for s in segs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.int64()], strict=True)], names=["h", "mark", "content", "least"])
+
+    by_id = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("mark", F.col("first.start").alias("start"), F.col("first.strings").alias("strings"), F.col("first.h").alias("h"))).alias("segs"))
+    return texts.join(by_id.hint("merge"), "id").select("id", "packed", "segs").mapInArrow(run, "h long, mark long, content binary, least long")
 
 
 def least_ids(marks: np.ndarray, contents: list[bytes], ids: np.ndarray) -> tuple[list[int], list[list[int]], list[list[int]]]:
@@ -208,7 +233,7 @@ def least_ids(marks: np.ndarray, contents: list[bytes], ids: np.ndarray) -> tupl
 
 
 def repeated_strings(segs: DataFrame) -> DataFrame:
-    """(mark, size, at, least): runs of strings of each distinct segment with the least id in which they start."""
+    """segs: distinct segments (h, mark, content, least). (mark, size, at, least): runs of strings of each distinct segment with the least id in which they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -230,18 +255,24 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
             yield flush()
 
     n = max(8, int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    distinct = segs.groupBy("h", "mark", "content").agg(F.min("id").alias("least"))
-    return distinct.select("h", "mark", "content", "least").repartition(n, "h").sortWithinPartitions("h", "mark").mapInArrow(run, "mark long, size long, at array<int>, least array<long>")
+    return segs.select("h", "mark", "content", "least").repartition(n, "h").sortWithinPartitions("h", "mark").mapInArrow(run, "mark long, size long, at array<int>, least array<long>")
+
 
+def earlier_copies(docs: DataFrame) -> DataFrame:
+    """(id) of texts of SPAN bytes or more that a smaller id has too: they go as a whole, and have no string that it lacks."""
+    marked = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.octet_length("text").alias("bytes"))
+    first = marked.groupBy("x", "y", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    return marked.join(first, ["x", "y", "bytes"]).where("id > first").select("id").distinct()
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(id, cuts): of each document with bytes to remove, array of (from, to) byte ranges, sorted, disjoint; docs: (id, text)."""
+
+def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, cuts): of each document with bytes to remove, array of (from, to) byte ranges, sorted; docs: (id, text), texts: the same packed."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // KEY_SHARD) + 1)
-    docs = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull())
-    anchors = stashed(shared_anchors(docs, shards))
-    known = repeated_strings(shared_segments(docs, anchors, shards, True))
-    places = shared_segments(docs, anchors, shards, False).select("id", "start", "mark")
+    long = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull())
+    places = stashed(shared_segments(texts, stashed(shared_anchors(long, shards)), shards))
+    wanted = places.groupBy("mark").agg(F.min(F.struct("id", "start", "strings", "h")).alias("first"))
+    known = repeated_strings(contents(texts, wanted))
     hit = places.join(known, "mark").where(F.exists("least", lambda x: x < F.col("id")))
     ends = F.concat(F.slice("at", 2, F.size("at") - 1), F.array((F.col("size") - (SPAN - 1)).cast("int")))
     runs = F.filter(F.arrays_zip(F.col("at").alias("a"), ends.alias("e"), F.col("least").alias("l")), lambda r: r["l"] < F.col("id"))
@@ -249,19 +280,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return hit.select("id", spans.alias("spans")).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts"))
 
 
-def cut_texts(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, keep: list[str], as_text: bool = False) -> DataFrame:
-    """Rows of `docs` with n_bytes, n_removed, n_spans, kept_bytes (or kept_text) and the columns in `keep`."""
-    name = "kept_text" if as_text else "kept_bytes"
-    schema = {c: docs.schema[c].dataType.simpleString() for c in [id_col, *keep]}
+def cut_texts(rows: DataFrame, keep: list[str], as_text: bool) -> DataFrame:
+    """(id, *keep, n_bytes, n_removed, n_spans, kept) of rows with packed (compressed bytes) and cuts."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ["id", *keep]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                parts, done, n, removed = [], -1, 0, 0
-                at = 0
-                for s in spans or ():
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in (s for b in batches for s in sub_batches(b, 0, 1 << 18)):
+            out = []
+            for packed, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = unpack(packed)
+                parts, at, done, n, removed = [], 0, -1, 0, 0
+                for s in spans:
                     lo, hi = s["from"], s["to"]
                     n += lo > done
                     if hi > done:
@@ -269,17 +299,14 @@ def cut_texts(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, keep
                             parts.append(raw[at:lo])
                         removed += hi - max(lo, done)
                         at = done = hi
-                parts.append(raw[at:])
-                kept = b"".join(parts)
+                kept = b"".join([*parts, raw[at:]])
                 # a cut may pass through a character; what is left of it goes
-                rows.append((len(raw), removed, n, kept.decode("utf-8", "ignore") if as_text else kept))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
+                out.append((len(raw), removed, n, kept.decode("utf-8", "ignore") if as_text else kept))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*schema, "n_bytes", "n_removed", "n_spans", name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[*kinds, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = docs.join(bounded(cuts.withColumnRenamed("id", id_col), FEW), id_col, "left")
-    ddl = ", ".join(f"`{c}` {t}" for c, t in schema.items())
-    return joined.select(text_col, "cuts", *schema).mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, {name} {'string' if as_text else 'binary'}")
+    ddl = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    return rows.select("packed", "cuts", *kinds).mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
@@ -290,8 +317,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     remove nothing from each other, and what an earlier document removes from one of them may be cut from
     all at its place, so ids should be unique. A row with a null id is returned whole and removes nothing.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return cut_texts(docs, stashed(repeated_spans(own)), id_col, text_col, keep or [], as_text)
+    keep = keep or []
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    copies = stashed(earlier_copies(own))
+    rest = own.join(bounded(copies), "id", "left_anti")
+    texts = packed_texts(rest)
+    cuts = stashed(repeated_spans(rest.select("id", "text"), texts))
+    # three kinds of rows: without cuts, copies as a whole, and those to cut, which reuse the packed exchange
+    kind, empty = ("string", "") if as_text else ("binary", b"")
+    n = F.octet_length("text").cast("long")
+    zero = F.lit(0).cast("long")
+    whole = rest.join(bounded(cuts.select("id")), "id", "left_anti").select("id", *keep, n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast(kind).alias("kept"))
+    gone = own.join(bounded(copies), "id", "left_semi").select("id", *keep, n.alias("n_bytes"), n.alias("n_removed"), F.when(n > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.lit(empty).cast(kind).alias("kept"))
+    cut = cut_texts(texts.join(cuts.hint("merge"), "id"), keep, as_text)
+    return whole.unionByName(gone).unionByName(cut).withColumnRenamed("id", id_col).withColumnRenamed("kept", "kept_text" if as_text else "kept_bytes")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
