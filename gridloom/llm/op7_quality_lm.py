@@ -45,7 +45,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trusted_counts(docs: DataFrame) -> DataFrame:
-    """(k, a) of the trusted texts: each task sums its own before the shuffle."""
+    """(k, a) of the texts, trusted ones: each task sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -67,7 +67,7 @@ def trusted_counts(docs: DataFrame) -> DataFrame:
         add()
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], names=["k", "a"])
 
-    return docs.where("trusted").select("text").mapInArrow(run, "k long, a long").groupBy("k").agg(F.sum("a").alias("a"))
+    return docs.select("text").mapInArrow(run, "k long, a long").groupBy("k").agg(F.sum("a").alias("a"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -110,7 +110,10 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def packed_batches(docs: DataFrame) -> DataFrame:
-    """(batch, ids, langs, trusted, sizes, packed), one row a batch, dealt out by batch; all later steps reuse the exchange."""
+    """(batch, ids, langs, sizes, packed), one row a batch, dealt out by batch; all later steps reuse the exchange.
+
+    A batch is named by its content, and a scan that runs again makes the same batches.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +124,14 @@ def packed_batches(docs: DataFrame) -> DataFrame:
             texts = [r[1] for r in rows]
             packed = pack(b"".join(texts))
             number = int.from_bytes(hashlib.sha256(packed + repr([r[0] for r in rows]).encode()).digest()[:8], "little", signed=True)
-            cols = [[number], [[r[0] for r in rows]], [[r[2] for r in rows]], [[r[3] for r in rows]], [[len(t) for t in texts]], [packed]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["batch", "ids", "langs", "trusted", "sizes", "packed"])
+            cols = [[number], [[r[0] for r in rows]], [[r[2] for r in rows]], [[len(t) for t in texts]], [packed]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["batch", "ids", "langs", "sizes", "packed"])
 
         types = None
         for batch in batches:
-            types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
-            for i, text, lang, trusted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((i, (text or "").encode(), lang, trusted))
+            types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
+            for i, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((i, (text or "").encode(), lang))
                 size += len(rows[-1][1])
                 if size > BATCH:
                     yield flush()
@@ -137,7 +140,7 @@ def packed_batches(docs: DataFrame) -> DataFrame:
             yield flush()
 
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return docs.select("id", "text", "lang", "trusted").mapInArrow(run, f"batch long, ids array<{kind}>, langs array<string>, trusted array<boolean>, sizes array<long>, packed binary").repartition(n, "batch")
+    return docs.select("id", "text", "lang").mapInArrow(run, f"batch long, ids array<{kind}>, langs array<string>, sizes array<long>, packed binary").repartition(n, "batch")
 
 
 def _texts(packed: bytes, sizes: list[int]) -> list[bytes]:
@@ -164,7 +167,7 @@ def asked_grams(batches: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(id, lang, trusted, n_bytes, perplexity) of every row; an empty text has perplexity 1."""
+    """(id, lang, n_bytes, perplexity) of every row; an empty text has perplexity 1."""
     kind = docs.schema["id"].dataType.simpleString()
     batches = packed_batches(docs)
     asked = stashed(asked_grams(batches))
@@ -174,8 +177,10 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for r in range(row.num_rows):
-                ids, langs, trusted, sizes, packed = (row.column(c)[r].as_py() for c in range(5))
-                found = row.column(5)[r].values
+                ids, langs, sizes, packed = (row.column(c)[r].as_py() for c in range(4))
+                found = row.column(4)[r].values
+                if sum(sizes) and not len(found):
+                    raise RuntimeError("a batch has no answers: it isn't the one that asked")
                 texts = _texts(packed, sizes)
                 score, lo = [], 0
                 look = Lookup(found)
@@ -186,12 +191,12 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
                     score.append((total[off[1:]] - total[off[:-1]]) / np.maximum(1, np.diff(off)))
                     lo = hi
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, row.schema.field(0).type.value_type), pa.array(langs, pa.string()), pa.array(trusted, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(np.exp(-np.concatenate([*score, np.zeros(0)])))],
-                    names=["id", "lang", "trusted", "n_bytes", "perplexity"],
+                    [pa.array(ids, row.schema.field(0).type.value_type), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(np.exp(-np.concatenate([*score, np.zeros(0)])))],
+                    names=["id", "lang", "n_bytes", "perplexity"],
                 )
 
-    joined = batches.join(answers.hint("merge"), "batch", "left").select("ids", "langs", "trusted", "sizes", "packed", F.coalesce("answers", F.array().cast("array<struct<k:bigint,p:float>>")).alias("answers"))
-    return joined.mapInArrow(run, f"id {kind}, lang string, trusted boolean, n_bytes long, perplexity double")
+    joined = batches.join(answers.hint("merge"), "batch", "left").select("ids", "langs", "sizes", "packed", F.coalesce("answers", F.array().cast("array<struct<k:bigint,p:float>>")).alias("answers"))
+    return joined.mapInArrow(run, f"id {kind}, lang string, n_bytes long, perplexity double")
 
 
 class Lookup:
@@ -217,12 +222,14 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
     language is one of its own); a language without any has none and keeps all. A null text is empty and kept.
     Rows with one id are each scored; other columns are not read.
     """
-    trusted = trusted_ids.toDF("id").where("id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
+    trusted = trusted_ids.toDF("id").where("id IS NOT NULL").distinct()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    own = own.join(bounded(trusted), "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    scored = stashed(perplexities(own, stashed(trusted_counts(own))))
+    trusted = stashed(trusted)
+    counts = stashed(trusted_counts(own.join(bounded(trusted), "id", "left_semi")))
+    scored = stashed(perplexities(own, counts))
+    known = scored.join(bounded(trusted), "id", "left_semi")
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))
-    limit = scored.where("trusted AND n_bytes > 0").groupBy(lang.alias("l")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
+    limit = known.where("n_bytes > 0").groupBy(lang.alias("l")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))
     out = scored.withColumn("l", lang).join(bounded(limit, 10_000), "l", "left")
     return out.select(F.col("id").alias("doc_id"), "lang", "n_bytes", "perplexity", "threshold", F.coalesce((F.col("perplexity") <= F.col("threshold")) | (F.col("n_bytes") == 0), F.lit(True)).alias("kept"))
 
