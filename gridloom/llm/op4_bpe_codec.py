@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_documents, strings, sub_batches
 
 #: Trie nodes, remembered words and tested pairs after which a worker starts afresh.
-NODES, WORDS, PAIRS = 600_000, 150_000, 500_000
+NODES, WORDS, PAIRS = 250_000, 60_000, 250_000
 
 
 def _byte_chars() -> list[str]:

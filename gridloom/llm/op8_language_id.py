@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     schema = {c: docs.schema[c].dataType.simpleString() for c in [id_col, *(keep or [])]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 0, 2 << 20)):
+        for batch in (s for b in batches for s in sub_batches(b, 0)):
             found = model.predict(strings(batch.column(0)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*schema, "lang_pred", "score"])
 
