@@ -26,6 +26,10 @@ BANDS, ROWS = 32, 4
 SIMILAR = 75
 #: Shingles whose coordinates are made at a time, so that the work stays in cache.
 BLOCK = 40_000
+#: Coordinates of a sketch, cut to four bits each, and those that differ at most: 120 are expected at similarity 0.75, with
+#: a deviation of 9.6, so that more than 178 have a probability of 1e-9.
+SKETCH, DIFFER = 512, 178
+PLANE = SKETCH // 64
 #: Members that one comparison task takes for one leader.
 MEMBERS = 64
 
@@ -87,13 +91,17 @@ def circulant_minhash(sets: np.ndarray, offsets: np.ndarray, coordinates: int =
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, d1, d2, bands): set size, a 128-bit digest of the set, and band keys."""
+    """(doc_id, n, d1, d2, bands, sketch): set size, a 128-bit digest of the set, band keys, and four bits of each
+    coordinate of the sketch: words by bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 1, 2 << 20)):
+        for batch in (s for b in batches for s in sub_batches(b, 1)):
             sets, off = shingle_sets(*buffers(batch.column(1)))
             size = np.diff(off)
-            sig = circulant_minhash(sets, off).reshape(len(size), BANDS, ROWS).astype(np.uint64)
+            least = circulant_minhash(sets, off, SKETCH)
+            bits = [np.packbits((least >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64) for b in (3, 9, 15, 21)]
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (4 * PLANE)), pa.array(np.hstack(bits).ravel()))
+            sig = least[:, : BANDS * ROWS].reshape(len(size), BANDS, ROWS).astype(np.uint64)
             key = np.arange(BANDS, dtype=np.uint64)[None, :].repeat(len(size), 0)
             for r in range(ROWS):
                 key = mix64((key << np.uint64(32) ^ key) + sig[:, :, r])
@@ -102,10 +110,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 x = np.r_[np.uint64(0), np.cumsum(mix64(sets + np.uint64(salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)))]
                 digest.append((x[off[1:]] - x[off[:-1]]).view(np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(key.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(pa.array, digest), bands], names=["doc_id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(pa.array, digest), bands, sketch], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,24 +170,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where("m > 1")
     # members of shared buckets only
     shared = stashed(keyed.join(leaders.select("key", "leader"), "key"))
-    star = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = stashed(star)
     ids = stashed(shared.select("id").distinct())
     texts = stashed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(ids), "id", "left_semi"))
-    nearest = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stashed(verified(nearest, texts))
+    nearest = shared.where("id != leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = stashed(verified(stashed(nearest), texts))
     labels = connected_components(links)
-
-    def open_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components."""
-        for side in ("a", "b"):
-            pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-        return pairs.where("c_a != c_b").select("a", "b")
-
-    rest = open_pairs(star.join(nearest, ["a", "b"], "left_anti"), labels)
-    links = stashed(links.unionByName(verified(stashed(rest), texts)))
+    # the other leaders of those that are still apart from them
+    member = with_component(shared, labels)
+    led = labels.select(F.col("node").alias("leader"), F.col("component").alias("c_leader"))
+    apart = member.where("id != leader").join(led, "leader", "left").where(F.col("c") != F.coalesce("c_leader", "leader"))
+    links = stashed(links.unionByName(verified(stashed(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), texts)))
     labels = connected_components(links)
-    links, labels = across(shared, star, links, labels, texts)
+    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
+    pairs = across(with_component(shared, labels), sketches)
+    labels = connected_components(stashed(links.unionByName(verified(stashed(pairs), texts))))
     out = (
         rows.join(classes, ["d1", "d2", "n"], "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -188,17 +192,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def across(shared: DataFrame, star: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Compare what is left: pairs of a bucket whose documents lie in different components, neither the leader."""
-    member = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).select("key", "id", "n", "c", "leader")
-    mixed = member.where("id != leader").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    m = stashed(member.where("id != leader").join(mixed, "key", "left_semi").select("key", "id", "n", "c"))
-    x = m.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    y = m.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR)
-    pairs = x.join(y, "key").where(near).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    links = stashed(links.unionByName(verified(stashed(pairs), texts)))
-    return links, connected_components(links)
+def with_component(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    return shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+
+def across(member: DataFrame, sketches: DataFrame) -> DataFrame:
+    """What is left to compare: pairs of a bucket in different components, neither the leader, of similar size and sketch."""
+    member = member.where("id != leader")
+    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    m = stashed(member.join(mixed, "key", "left_semi").join(sketches, "id").select("key", "id", "n", "c", "sketch"))
+    x = m.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "c", "sketch")))
+    y = m.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "sketch")))
+    word = lambda k: F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])
+    differ = sum((F.bit_count(word(w).bitwiseOR(word(w + PLANE)).bitwiseOR(word(w + 2 * PLANE)).bitwiseOR(word(w + 3 * PLANE))) for w in range(PLANE)), F.lit(0))
+    near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR) & (differ <= DIFFER)
+    return x.join(y, "key").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
