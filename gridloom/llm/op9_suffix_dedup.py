@@ -24,7 +24,7 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 
 SPAN, GRAM = 50, 16
 #: Text behind one shard of the anchors' keys, and segment bytes that one suffix array takes.
-KEY_SHARD, ARRAY_BYTES = 16 << 20, 1 << 20
+KEY_SHARD, ARRAY_BYTES = 16 << 20, 2 << 20
 #: The bytes of an anchor's hash that are passed on.
 LOW = np.uint64((1 << 32) - 1)
 
@@ -86,7 +86,7 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """(id, shard, keys): of each document the anchors with one side, four bytes each, that stand in some other document too."""
+    """(id, key): of each document the anchors with one side, a shard and four bytes in one number, that stand in some other document too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in sub_batches(b, 1)):
@@ -117,13 +117,7 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
         edge = np.r_[np.flatnonzero(new), len(key)]
         shared = (owner[edge[:-1]] != owner[edge[1:] - 1])[group]
         key, owner = key[shared], owner[shared]
-        order = np.argsort(owner, kind="stable")
-        key, owner = _pack(key[order]), owner[order]
-        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True]) if len(owner) else np.zeros(1, int)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(owner[edge[:-1]]), pa.array(np.full(len(edge) - 1, shard)), pa.array([key[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())],
-            names=["id", "shard", "keys"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array((key + (np.uint64(shard + 1) << np.uint64(32))).view(np.int64))], names=["id", "key"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, ids = None, [], []
@@ -139,7 +133,7 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
             yield meet(held, keys, ids)
 
     parts = docs.select("id", "text").mapInArrow(emit, "shard long, keys binary, ids binary")
-    return parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(gather, "id long, shard long, keys binary")
+    return parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(gather, "id long, key long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -165,23 +159,25 @@ def _texts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFrame:
     """(id, start, strings, mark, h): segments of shared anchors; mark: 64-bit hash of the content, h: of the anchor."""
 
-    def find(ids: np.ndarray, packed: list[bytes], keys: list[list[dict]]) -> pa.RecordBatch:
+    def find(ids: np.ndarray, packed: list[bytes], keys: pa.ListArray) -> pa.RecordBatch:
         data, off = _texts(packed)
         start, strings, h, doc, at = segments(data, off)
         both, there = sides(data, off, at, doc)
-        # the document's number among these, the shard and four bytes tell anchors apart
-        tag = lambda d, low, shard: mix64(mix64(d.astype(np.uint64)) + low + (np.uint64(1) + shard.astype(np.uint64) << np.uint64(32)))
-        want = np.concatenate([tag(np.full(1, d), _unpack(k["keys"]), np.full(1, k["shard"])) for d, known in enumerate(keys) for k in known])
-        keep = np.isin(tag(doc, both[0] & LOW, _shard(both[0], shards)), want) & there[0] | np.isin(tag(doc, both[1] & LOW, _shard(both[1], shards)), want) & there[1]
+        # the document's number among these tells equal anchors apart
+        tag = lambda d, key: mix64(mix64(d.astype(np.uint64)) + key)
+        want = tag(np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False)), keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        keep = np.zeros(len(h), bool)
+        for k in (0, 1):
+            keep |= there[k] & np.isin(tag(doc, (both[k] & LOW) + (_shard(both[k], shards).astype(np.uint64) + np.uint64(1) << np.uint64(32))), want)
         start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
         mark = span_hash(prefix_hash(data), start, start + strings + SPAN - 1)
         return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=["id", "start", "strings", "mark", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 18)):
-            yield find(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            yield find(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2))
 
-    flags = anchors.groupBy("id").agg(F.collect_list(F.struct("shard", "keys")).alias("keys"))
+    flags = anchors.groupBy("id").agg(F.collect_list("key").alias("keys"))
     return texts.join(flags.hint("merge"), "id").select("id", "packed", "keys").mapInArrow(run, "id long, start int, strings int, mark long, h long")
 
 

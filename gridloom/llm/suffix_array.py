@@ -37,7 +37,7 @@ def _scan(text: np.ndarray, wanted: np.ndarray, seeds: list[np.ndarray], symbols
     """
     made: list[list[np.ndarray]] = [[] for _ in range(symbols)]
     if first is not None:
-        made[int(text[first])].append(np.array([first]))
+        made[int(text[first])].append(np.array([first], np.int32))
 
     def pass_on(x: np.ndarray) -> None:
         x = x[x > 0] - 1
@@ -63,7 +63,7 @@ def _scan(text: np.ndarray, wanted: np.ndarray, seeds: list[np.ndarray], symbols
 
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
     """All suffixes in order, given the LMS ones in order (of suffixes, or of substrings for a first sorting)."""
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
 
     def buckets(x: np.ndarray) -> list[np.ndarray]:
         c = text[x]
@@ -110,7 +110,7 @@ def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
         return _doubling(text)
     text = text.astype(np.int16)
     small = classify(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
         order = _induce(text, small, lms, symbols)
         is_lms = np.zeros(n, bool)
