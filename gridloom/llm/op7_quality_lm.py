@@ -1,11 +1,16 @@
-"""Quality by an interpolated modified Kneser-Ney model of byte n-grams.
-
-The counts come from all trusted text. They are summed by n-gram, lower orders count the distinct
-bytes in front, and contexts get their totals and their numbers of n-grams seen once, twice and more.
-All documents are dealt out in packed batches; each batch asks for its distinct n-grams, whose
-probabilities are joined from the count tables order by order, sharded by n-gram throughout, and
-scores its documents from the answers. A document is kept if its perplexity is at most a quantile of
-those of the trusted documents of its language.
+"""Quality by an interpolated modified Kneser-Ney model of word trigrams over byte 4-grams.
+
+A text is cut into words, each with the one whitespace byte behind it, and ends with a line break. Word
+trigrams, bigrams and single words are interpolated down to the spelling of the word, which a model of byte
+4-grams gives, so that every text has a probability. The counts come from all trusted text. They are summed by
+n-gram, lower orders count the distinct words or bytes in front, and contexts get their totals and their
+numbers of n-grams seen once, twice and more.
+All documents are dealt out in packed batches; each batch asks for its distinct n-grams and contexts, is
+answered from the count tables, sharded by n-gram throughout (words as packed arrays, a row a batch and shard),
+and scores its documents from the answers. A
+trusted document is scored by the word counts that the others leave, since its own would make it look better
+than any other. A document is kept if its perplexity is at most a quantile of those of the trusted documents
+of its language.
 """
 
 from __future__ import annotations
@@ -16,16 +21,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, read_documents, stashed
+from .common import _SPACE, bounded, mix64, prefix_hash, read_documents, span_hash, stashed
 
 ORDER = 4
 #: Text of a batch: it asks for each n-gram once.
-BATCH = 8 << 20
+BATCH = 4 << 20
+#: Distinct trigrams that a counting task holds before it passes them on.
+HELD = 1 << 20
+#: Shards of the word tables a shuffle partition; a Python worker holds one.
+SHARDS = 4
 QUANTILE = 0.99
 START = b"\n" * (ORDER - 1)
+#: What stands behind every text, and the hash of what stands twice in front of its words.
+END = b"\n"
+BEFORE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +56,190 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[real], np.r_[0, np.cumsum(size)]
 
 
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[3, n] 64-bit hashes: each word and the two in front, oldest first; the n+1 starts in the joined bytes; and the word offsets of the texts.
+
+    The texts, which end with whitespace, stand end to end. A word ends with the first whitespace byte, so that no word is the start of another.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(data):
+        return np.zeros((3, 0), np.uint64), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
+    ends = np.flatnonzero(_SPACE[data]) + 1
+    starts = np.r_[0, ends]
+    off = np.searchsorted(ends, np.cumsum([0, *map(len, texts)]), side="right")
+    out = np.full((3, len(ends)), BEFORE, np.uint64)
+    out[2] = span_hash(prefix_hash(data), starts[:-1], ends)
+    number = np.arange(len(ends)) - np.repeat(off[:-1], np.diff(off))
+    for k in (1, 2):
+        out[2 - k, k:] = np.where(number[k:] >= k, out[2, :-k] if len(ends) > k else 0, BEFORE)
+    return out, starts, off
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def word_keys(w: np.ndarray) -> list[np.ndarray]:
+    """Keys of the single words, bigrams and trigrams that end at each word; `_key` makes the same in Spark."""
+    two = _turn(w[1], 21) ^ w[2]
+    return [w[2], two, _turn(w[0], 42) ^ two]
+
+
+def _key(*cols: str) -> Column:
+    out = F.col(cols[-1])
+    for k, c in enumerate(reversed(cols[:-1]), 1):
+        out = out.bitwiseXOR(F.shiftleft(c, 21 * k).bitwiseOR(F.shiftrightunsigned(c, 64 - 21 * k)))
+    return out
+
+
+def trusted_words(docs: DataFrame) -> DataFrame:
+    """(w1, w2, w3, a): the word trigrams of the texts, trusted ones; each task sums its own before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts, held, size = np.zeros((3, 0), np.uint64), np.zeros(0, np.int64), [], 0
+
+        def add() -> None:
+            nonlocal seen, counts, held, size
+            w = np.concatenate([seen, words(held)[0]], 1)
+            _, first, back = np.unique(word_keys(w)[2], return_index=True, return_inverse=True)
+            counts = np.bincount(back, np.r_[counts, np.ones(w.shape[1] - len(counts), np.int64)], len(first)).astype(np.int64)
+            seen, held, size = w[:, first], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seen, counts
+            out = pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(seen)), pa.array(counts)], names=["w1", "w2", "w3", "a"])
+            seen, counts = np.zeros((3, 0), np.uint64), np.zeros(0, np.int64)
+            return out
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    held.append(t.encode() + END)
+                    size += len(held[-1])
+                if size > 2 << 20:
+                    add()
+                    if len(counts) > HELD:
+                        yield flush()
+        add()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "w1 long, w2 long, w3 long, a long").groupBy("w1", "w2", "w3").agg(F.sum("a").alias("a"))
+
+
+def word_tables(counts: DataFrame) -> tuple[DataFrame, list[tuple[float, float, float]], tuple[int, int, int, int]]:
+    """What a batch may ask for, the discounts by order, and the sums over all single words.
+
+    A row answers for a key either as an n-gram (a: its count) or as a context (s: the counts of what follows it; n1, n2, n3: how many
+    n-grams of it are seen once, twice and more).
+    """
+    sums = [F.sum("a").alias("s"), *(F.count_if(F.col("a") == i).alias(f"n{i}") for i in (1, 2)), F.count_if(F.col("a") > 2).alias("n3")]
+    two = stashed(counts.groupBy("w2", "w3").agg(F.count("*").alias("a")))
+    one = stashed(two.groupBy("w3").agg(F.count("*").alias("a")))
+    none = [F.lit(None).cast("long").alias(c) for c in ("s", "n1", "n2", "n3")]
+    rows = [t.select(_key(*cols).alias("k"), "a", *none) for t, cols in ((counts, ("w1", "w2", "w3")), (two, ("w2", "w3")), (one, ("w3",)))]
+    rows += [t.groupBy(*cols).agg(*sums).select(_key(*cols).alias("k"), F.lit(None).cast("long").alias("a"), "s", "n1", "n2", "n3") for t, cols in ((counts, ("w1", "w2")), (two, ("w2",)))]
+    table = rows[0]
+    for r in rows[1:]:
+        table = table.unionByName(r)
+    return table, [discounts(t) for t in (one, two, counts)], tuple(x or 0 for x in one.agg(*sums).first())
+
+
+def _pack(cols: np.ndarray) -> bytes:
+    """[c, n] 64-bit numbers, of which the first rise: differences of those, then all bytes by their places, compressed."""
+    cols = np.ascontiguousarray(cols, np.uint64).copy()
+    cols[0, 1:] -= cols[0, :-1].copy()
+    return zstandard.ZstdCompressor(level=1).compress(cols.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(data: bytes, cols: int) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    out = raw.T.copy().view(np.uint64).reshape(cols, -1)
+    np.cumsum(out[0], out=out[0])
+    return out
+
+
+def _places(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where each key stands among the known ones, which rise; their number if it doesn't."""
+    at = np.searchsorted(known, key)
+    inside = np.flatnonzero(at < len(known))
+    at[inside[known[at[inside]] != key[inside]]] = len(known)
+    return at
+
+
+def answered_words(asked: DataFrame, table: DataFrame, shards: int) -> DataFrame:
+    """(batch, found): packed k, a, s, n1, n2, n3 of what is known of the keys that a batch asks a shard for."""
+
+    def run(asks: pa.Table, model: pa.Table) -> pa.Table:
+        cols = [model.column(c).fill_null(0).to_numpy() for c in ("k", "a", "s", "n1", "n2", "n3")]
+        known, back = np.unique(cols[0].view(np.uint64), return_inverse=True)  # a key may be an n-gram and a context
+        values = np.zeros((6, len(known)), np.uint64)
+        values[0] = known
+        for row, c in zip(values[1:], cols[1:], strict=True):
+            np.add.at(row, back, c.view(np.uint64))
+        batches, found = [], []
+        for batch, keys in zip(asks.column("batch").to_pylist(), asks.column("keys"), strict=True):
+            at = _places(known, _unpack(keys.as_py(), 1)[0])
+            batches.append(batch)
+            found.append(_pack(values[:, at[at < len(known)]]))
+        return pa.table({"batch": pa.array(batches, pa.int64()), "found": pa.array(found, pa.binary())})
+
+    shard = F.pmod(F.shiftrightunsigned("k", 40), F.lit(shards)).cast("int")
+    return asked.groupBy("shard").cogroup(table.withColumn("shard", shard).groupBy("shard")).applyInArrow(run, "batch long, found binary")
+
+
+class WordModel:
+    """Log probabilities of words from the answers to a batch."""
+
+    def __init__(self, found: list[bytes], cuts: list[tuple[float, float, float]], everything: tuple[int, int, int, int]):
+        cols = np.concatenate([np.zeros((6, 0), np.uint64), *(_unpack(f, 6) for f in found)], 1)
+        cols = cols[:, np.argsort(cols[0])]
+        self.cuts, self.everything = cuts, np.array(everything, np.int64)
+        # the last row, of zeros, is for keys that have none
+        self.known, self.values = cols[0], np.concatenate([cols[1:].view(np.int64).T, np.zeros((1, 5), np.int64)])
+
+    def _get(self, key: np.ndarray) -> np.ndarray:
+        """a, s, n1, n2, n3 of the keys."""
+        return self.values[_places(self.known, key)]
+
+    def __call__(self, w: np.ndarray, doc: np.ndarray, own: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+        """doc: the document of each word; own: whether the counts hold that document, whose words are then taken out; spelling: log probabilities."""
+        keys = word_keys(w)
+        contexts = [np.zeros(len(doc), np.uint64), w[1], _turn(w[0], 21) ^ w[1]]
+        salt = mix64(doc.astype(np.uint64) + np.uint64(1))
+        drop = own.astype(np.int64)  # of each word: what its document gave to the count of its n-gram there
+        levels = []
+        for n in (2, 1, 0):
+            _, first, back = np.unique(keys[n] ^ salt, return_index=True, return_inverse=True)
+            less = np.bincount(back, drop, len(first)).astype(np.int64)
+            a = self._get(keys[n][first])[:, 0]
+            left = np.maximum(0, a - less)
+            _, place, ctx = np.unique(contexts[n][first] ^ salt[first], return_index=True, return_inverse=True)
+            total = self._get(contexts[n][first][place])[:, 1:] if n else np.repeat(self.everything[None], len(place), 0)
+            total = total.astype(np.float64)
+            total[:, 0] -= np.bincount(ctx, a - left, len(place))
+            for i in (1, 2, 3):
+                total[:, i] += np.bincount(ctx, _class(left) == i, len(place)) - np.bincount(ctx, _class(a) == i, len(place)) if less.any() else 0
+            levels.append((left[back], total[ctx[back]]))
+            gone = np.zeros(len(doc), np.int64)
+            gone[first[(left == 0) & (a > 0)]] = 1
+            drop = gone
+        p = np.exp(spelling)
+        for (a, total), d in zip(reversed(levels), self.cuts, strict=True):
+            taken = np.r_[0.0, d][_class(a)]
+            s, spare = total[:, 0], total[:, 1:] @ np.array(d)
+            p = np.where(s > 0, (a - taken + spare * p) / np.maximum(1, s), p)
+        # a long unknown word has less than the least number; only its spelling is left then, behind the spare mass of each order
+        with np.errstate(divide="ignore"):
+            rest = spelling.copy()
+            for (_, total), d in zip(reversed(levels), self.cuts, strict=True):
+                rest += np.where(total[:, 0] > 0, np.log(np.maximum(total[:, 1:] @ np.array(d), 1e-300) / np.maximum(1, total[:, 0])), 0.0)
+            return np.where(p > 1e-290, np.log(np.maximum(p, 1e-300)), rest)
+
+
+def _class(a: np.ndarray) -> np.ndarray:
+    return np.minimum(a, 3)
+
+
 def trusted_counts(docs: DataFrame) -> DataFrame:
     """(k, a) of the texts, trusted ones: each task sums its own before the shuffle."""
 
@@ -60,7 +256,7 @@ def trusted_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                held.append((t or "").encode())
+                held.append(t.encode() + END if t else b"")
                 size += len(held[-1])
                 if size > 2 << 20:
                     add()
@@ -110,7 +306,7 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def packed_batches(docs: DataFrame) -> DataFrame:
-    """(batch, ids, langs, sizes, packed), one row a batch, dealt out by batch; all later steps reuse the exchange.
+    """(batch, ids, langs, owns, sizes, packed), one row a batch, dealt out by batch; all later steps reuse the exchange.
 
     A batch is named by its content, and a scan that runs again makes the same batches.
     """
@@ -124,14 +320,14 @@ def packed_batches(docs: DataFrame) -> DataFrame:
             texts = [r[1] for r in rows]
             packed = pack(b"".join(texts))
             number = int.from_bytes(hashlib.sha256(packed + repr([r[0] for r in rows]).encode()).digest()[:8], "little", signed=True)
-            cols = [[number], [[r[0] for r in rows]], [[r[2] for r in rows]], [[len(t) for t in texts]], [packed]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["batch", "ids", "langs", "sizes", "packed"])
+            cols = [[number], [[r[0] for r in rows]], [[r[2] for r in rows]], [[r[3] for r in rows]], [[len(t) for t in texts]], [packed]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["batch", "ids", "langs", "owns", "sizes", "packed"])
 
         types = None
         for batch in batches:
-            types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
-            for i, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows.append((i, (text or "").encode(), lang))
+            types = [pa.int64(), pa.list_(batch.schema.field(0).type), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            for i, text, lang, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append((i, text.encode() + END if text else b"", lang, own))
                 size += len(rows[-1][1])
                 if size > BATCH:
                     yield flush()
@@ -140,7 +336,7 @@ def packed_batches(docs: DataFrame) -> DataFrame:
             yield flush()
 
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return docs.select("id", "text", "lang").mapInArrow(run, f"batch long, ids array<{kind}>, langs array<string>, sizes array<long>, packed binary").repartition(n, "batch")
+    return docs.select("id", "text", "lang", "own").mapInArrow(run, f"batch long, ids array<{kind}>, langs array<string>, owns array<boolean>, sizes array<long>, packed binary").repartition(n, "batch")
 
 
 def _texts(packed: bytes, sizes: list[int]) -> list[bytes]:
@@ -155,47 +351,78 @@ def asked_grams(batches: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for batch, packed, sizes in zip(*(c.to_pylist() for c in row.columns), strict=True):
-                texts, k, lo = _texts(packed, sizes), [np.zeros(0, np.uint32)], 0
-                while lo < len(texts):  # in parts, for memory
-                    hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 20)))
-                    k.append(np.unique(grams(texts[lo:hi])[0]))
-                    lo = hi
+                texts = _texts(packed, sizes)
+                k = [np.zeros(0, np.uint32), *(np.unique(grams(texts[lo:hi])[0]) for lo, hi in _parts(sizes))]
                 k = np.unique(np.concatenate(k))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), batch)), pa.array(k.astype(np.int64))], names=["batch", "k"])
 
     return batches.select("batch", "packed", "sizes").mapInArrow(run, "batch long, k long")
 
 
-def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(id, lang, n_bytes, perplexity) of every row; an empty text has perplexity 1."""
+def asked_words(batches: DataFrame, shards: int) -> DataFrame:
+    """(batch, shard, keys): the distinct keys of words, bigrams and trigrams of each batch, and of their contexts, packed by shard."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            for batch, packed, sizes in zip(*(c.to_pylist() for c in row.columns), strict=True):
+                texts, parts = _texts(packed, sizes), [np.zeros(0, np.uint64)]
+                for lo, hi in _parts(sizes):
+                    w = words(texts[lo:hi])[0]
+                    parts.append(np.unique(np.concatenate([*word_keys(w), w[1], _turn(w[0], 21) ^ w[1]])))
+                k = np.unique(np.concatenate(parts))
+                shard = (k >> np.uint64(40)).astype(np.int64) % shards
+                order = np.argsort(shard, kind="stable")
+                k, ends = k[order], np.cumsum(np.bincount(shard, minlength=shards))
+                full = [(j, k[e - n : e]) for j, (e, n) in enumerate(zip(ends, np.diff(ends, prepend=0), strict=True)) if n]
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(full), pa.int64()), pa.array([j for j, _ in full], pa.int32()), pa.array([_pack(x[None]) for _, x in full], pa.binary())], names=["batch", "shard", "keys"])
+
+    return batches.select("batch", "packed", "sizes").mapInArrow(run, "batch long, shard int, keys binary")
+
+
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about 1 MB."""
+    lo = 0
+    while lo < len(sizes):
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 20)))
+        yield lo, min(hi, len(sizes))
+        lo = hi
+
+
+def perplexities(docs: DataFrame, counts: DataFrame, word_counts: DataFrame) -> DataFrame:
+    """(id, lang, n_bytes, perplexity) of every row; an empty text has perplexity 1. docs: id, text, lang, own (whether the counts hold it)."""
     kind = docs.schema["id"].dataType.simpleString()
     batches = packed_batches(docs)
     asked = stashed(asked_grams(batches))
     p = probabilities(counts, asked.select("k").distinct())
     answers = asked.join(p, "k").groupBy("batch").agg(F.collect_list(F.struct("k", F.log("p").cast("float").alias("p"))).alias("answers"))
+    table, cuts, everything = word_tables(word_counts)
+    shards = SHARDS * max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = answered_words(asked_words(batches, shards), table, shards).groupBy("batch").agg(F.collect_list("found").alias("known"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows:
             for r in range(row.num_rows):
-                ids, langs, sizes, packed = (row.column(c)[r].as_py() for c in range(4))
-                found = row.column(4)[r].values
+                ids, langs, owns, sizes, packed = (row.column(c)[r].as_py() for c in range(5))
+                found = row.column(5)[r].values
                 if sum(sizes) and not len(found):
                     raise RuntimeError("a batch has no answers: it isn't the one that asked")
-                texts = _texts(packed, sizes)
-                score, lo = [], 0
-                look = Lookup(found)
-                while lo < len(texts):
-                    hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 20)))
-                    key, off = grams(texts[lo:hi])
-                    total = np.r_[0.0, np.cumsum(look(key))]
-                    score.append((total[off[1:]] - total[off[:-1]]) / np.maximum(1, np.diff(off)))
-                    lo = hi
+                texts, score = _texts(packed, sizes), []
+                look, model = Lookup(found), WordModel(row.column(6)[r].as_py(), cuts, everything)
+                for lo, hi in _parts(sizes):
+                    total = np.r_[0.0, np.cumsum(look(grams(texts[lo:hi])[0]))]
+                    w, starts, off = words(texts[lo:hi])
+                    doc = np.repeat(np.arange(hi - lo), np.diff(off))
+                    each = model(w, doc, np.array(owns[lo:hi], bool)[doc], np.diff(total[starts]))
+                    score.append(np.bincount(doc, each, hi - lo) / np.maximum(1, sizes[lo:hi]))
+                sizes = np.maximum(0, np.array(sizes, np.int64) - len(END))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, row.schema.field(0).type.value_type), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(np.exp(-np.concatenate([*score, np.zeros(0)])))],
+                    [pa.array(ids, row.schema.field(0).type.value_type), pa.array(langs, pa.string()), pa.array(sizes), pa.array(np.exp(-np.concatenate([*score, np.zeros(0)])))],
                     names=["id", "lang", "n_bytes", "perplexity"],
                 )
 
-    joined = batches.join(answers.hint("merge"), "batch", "left").select("ids", "langs", "sizes", "packed", F.coalesce("answers", F.array().cast("array<struct<k:bigint,p:float>>")).alias("answers"))
+    joined = batches.join(answers.hint("merge"), "batch", "left").join(known.hint("merge"), "batch", "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    joined = joined.select("ids", "langs", "owns", "sizes", "packed", empty("answers", "struct<k:bigint,p:float>"), empty("known", "binary"))
     return joined.mapInArrow(run, f"id {kind}, lang string, n_bytes long, perplexity double")
 
 
@@ -225,8 +452,10 @@ def quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", tex
     trusted = trusted_ids.toDF("id").where("id IS NOT NULL").distinct()
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     trusted = stashed(trusted)
-    counts = stashed(trusted_counts(own.join(bounded(trusted), "id", "left_semi")))
-    scored = stashed(perplexities(own, counts))
+    learned = own.join(bounded(trusted), "id", "left_semi")
+    counts, word_counts = stashed(trusted_counts(learned)), stashed(trusted_words(learned))
+    marked = own.join(bounded(trusted.withColumn("own", F.lit(True))), "id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    scored = stashed(perplexities(marked, counts, word_counts))
     known = scored.join(bounded(trusted), "id", "left_semi")
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-"))
     limit = known.where("n_bytes > 0").groupBy(lang.alias("l")).agg(F.percentile_approx("perplexity", quantile, 10000).alias("threshold"))

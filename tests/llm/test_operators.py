@@ -1,10 +1,12 @@
 """Text operators against brute force, on small tables with nulls, empty texts, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -237,6 +239,53 @@ def test_quality(docs, spark, nothing):
     assert all(abs(r["perplexity"] - 256) < 0.01 and r["kept"] for r in bare)
 
 
+def test_quality_of_words(docs, spark):
+    """Every row against a brute-force model of word trigrams that leaves the document itself out."""
+    m, rows = op7_quality_lm, [(i, (t or "").encode()) for i, t, *_ in corpus()]
+    known = dict(rows[:20])
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0d]*[\x20\x09-\x0d]", t + b"\n")
+    before = lambda t: [None, None, *split(t)]
+    grams = {i: [tuple(before(t)[k : k + 3]) for k in range(len(split(t)))] for i, t in rows if t}
+
+    def tables(ids):
+        three = Counter(g for i in ids for g in grams.get(i, []))
+        two = Counter(g[1:] for g in three)
+        return [Counter(g[1:] for g in two), two, three]
+
+    def cuts(table):
+        n = [sum(a == i for a in table.values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        return [0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5, 0.1), i - 0.05) for i in (1, 2, 3))]
+
+    d = [cuts(t) for t in tables(known)]
+    key, n = np.unique(m.grams([t + b"\n" for t in known.values() if t])[0], return_counts=True)
+    counts = spark.createDataFrame([(int(k), int(c)) for k, c in zip(key, n, strict=True)], "k long, a long")
+    asked = np.unique(m.grams([t + b"\n" for _, t in rows if t])[0])
+    spell = {r["k"]: r["p"] for r in m.probabilities(counts, spark.createDataFrame([(int(k),) for k in asked], "k long")).collect()}
+    got = {r["doc_id"]: r["perplexity"] for r in m.quality(docs, spark.createDataFrame([(i,) for i in known], "doc_id long")).collect()}
+    for i, t in rows:
+        if not t:
+            assert got[i] == 1
+            continue
+        model, total, at = tables([x for x in known if x != i]), 0.0, 0
+        sums = [{}, {}, {}]
+        for k, table in enumerate(model):
+            for g, a in table.items():
+                s = sums[k].setdefault(g[:-1], [0, 0.0])
+                s[0], s[1] = s[0] + a, s[1] + d[k][min(a, 3)]
+        b = [spell[int(k)] for k in m.grams([t + b"\n"])[0]]
+        for g, w in zip(grams[i], split(t), strict=True):
+            p = math.prod(b[at : at + len(w)])
+            at += len(w)
+            for k in range(3):
+                h = g[2 - k :]
+                if h[:-1] in sums[k]:
+                    a, (s, spare) = model[k][h], sums[k][h[:-1]]
+                    p = (a - d[k][min(a, 3)] + spare * p) / s
+            total += math.log(p)
+        assert got[i] == pytest.approx(math.exp(-total / (len(t) + 1)), rel=1e-5)
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = [b"abracadabra", b"abcabc", b"banana"]
     key, n = np.unique(op7_quality_lm.grams(texts)[0], return_counts=True)
