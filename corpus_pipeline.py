@@ -35,10 +35,20 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents once, twice or not at all: the words that the mix takes, over its size, rounded by a seeded draw."""
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    copies = stashed(mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + draw)).alias("copies")).where("copies > 0"))
-    return docs.join(bounded(copies), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    """Whole documents once, twice or not at all: the words that the mix takes, over its size, rounded by a seeded draw.
+
+    Documents are told apart by id and content: one with a null id counts like any other, documents that share an id get
+    copies each by its own words, and rows alike in every column get together the copies of all of them.
+    """
+    docs = docs.withColumn("content", F.xxhash64(*(F.struct(F.col(c).isNull(), F.col(c)) for c in COLUMNS[1:])))
+    draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id", "content"), F.lit(1 << 20)) / (1 << 20)
+    taken = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.nullif("size", F.lit(0)) + draw)).otherwise(F.lit(0).cast("long"))
+    copies = mix(docs, keep=["content"]).groupBy(F.col("doc_id").alias("id"), F.col("content").alias("hash")).agg(F.sum(taken).alias("copies"), F.count("*").alias("alike"))
+    copies = bounded(stashed(copies.where("copies > 0")))
+    found = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]) & (docs["content"] == copies["hash"]))
+    same = found.where("alike > 1").groupBy("doc_id", "content").agg(*(F.first(c).alias(c) for c in [*COLUMNS[1:], "copies"]))
+    out = found.where("alike = 1").select(*COLUMNS, "copies").unionByName(same.select(*COLUMNS, "copies"))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,8 +63,8 @@ def apportion(parties: DataFrame, parent: list[str], order: str) -> DataFrame:
     return p.join(won, [*parent, order], "left").withColumn("quota", F.col("_lo") + F.coalesce("_won", F.lit(0))).drop("_sum", "_k", "_lo", "_hi", "_free", "_won", "claim", "cap", "seats")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """One row per row: doc_id, size, source_size, target, taken, and the columns in `keep`, by which rows of one id and size are ordered.
 
     Sources by code point, null last (a source of its own), weigh 3, 1, 2, repeating. A null or empty text has
     size 0 and gives nothing. Documents of one id keep their own rows; other columns are not read. An empty
@@ -72,7 +72,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     # a null source sorts after all names
     src = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    sized = stashed(docs.select(F.col(id_col).alias("doc_id"), src.alias("src"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    keep = keep or []
+    sized = stashed(docs.select(*keep, F.col(id_col).alias("doc_id"), src.alias("src"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     sources = targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")))
     blocks = lambda words: F.ceil(words / BLOCK)
     seats = sources.select("src", "source_size", "target", F.col("target").alias("claim"), (MOST * blocks(F.col("source_size"))).alias("cap"), F.floor(F.col("budget") / BLOCK + 0.5).alias("seats"), F.lit(0).alias("all"))
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     claims = shards.withColumn("claim", F.col("words")).withColumn("cap", MOST * blocks(F.col("words"))).join(groups, ["src", "group"])
     quota = apportion(claims, ["src", "group"], "shard").select("src", "group", "shard", "words", "quota")
 
-    line = Window.partitionBy("src", "group", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(SEED), name)), "doc_id", "size")
+    line = Window.partitionBy("src", "group", "shard").orderBy(F.md5(F.concat_ws(":", F.lit(SEED), name)), "doc_id", "size", *keep)
     laid = dealt.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     full = laid.join(quota, ["src", "group", "shard"]).withColumn("blocks", F.greatest(F.lit(1), blocks(F.col("words"))))
     full = full.withColumn("turns", F.floor(F.col("quota") / F.col("blocks"))).withColumn("more", F.col("quota") % F.col("blocks"))
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     numbers = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))
     part = F.aggregate(numbers, F.lit(0).cast("long"), lambda n, b: n + F.when(chosen(b), overlap(b)).otherwise(F.lit(0).cast("long")))
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("turns") * F.col("size") + F.when(F.col("more") > 0, part).otherwise(F.lit(0).cast("long")))
-    return full.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return full.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,6 +381,26 @@ def test_toxicity(spark, nothing):
     assert op10_toxicity.toxicity(nothing, model).count() == 0
 
 
+def test_mixture_of_null_and_shared_ids(spark, tmp_path):
+    """Every row has the copies that its own words give, whatever its id."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) for _ in range(n))
+    rows = [(None if k % 3 == 0 else k % 7, text(8 * rng.randint(1, 9)), "en", "ab"[k % 2], k) for k in range(90)]
+    rows += [(5, "same words here", None, None, 1)] * 6
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = Counter(map(tuple, corpus_pipeline.mixture(spark, docs, str(tmp_path)).collect()))
+    taken = {}
+    for r in op1_mixing.mix(docs.withColumn("row", docs["n_chars"]), keep=["row", "text"]).collect():
+        taken.setdefault((r["doc_id"], r["text"], r["row"]), []).append((r["taken"], r["size"]))
+    assert set(got) <= set(rows)
+    for row in set(rows):
+        own = taken[(row[0], row[1], row[4])]
+        assert sum(t // n for t, n in own) <= got[row] <= sum(-(-t // n) for t, n in own)
+    assert sum(n for r, n in got.items() if r[0] is None) > 20
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
