@@ -13,13 +13,24 @@ from gridloom.llm.op8_language_id import UNDETERMINED, identify, train
 from gridloom.llm.op9_suffix_dedup import suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Below it no language of the four stands out: an even guess scores 0.25.
-LEAST_SCORE = 0.3
+#: In a text of so many letters a language that stands out shows; a shorter one may be made of words that all languages share.
+LETTERS = 256
+#: How far from an even guess (0) to a sure one (1) a score must lie at least.
+LEAST = 1 / 15
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in which no learned language stands out, go."""
-    return identify(docs.select(COLUMNS), train(docs), keep=COLUMNS[1:]).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+    """Documents without letters go, and those of at least LETTERS letters in which no learned language stands out."""
+    model = train(docs)
+    least = least_score(len(model.langs))
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < LETTERS
+    return identify(docs.select(COLUMNS), model, keep=COLUMNS[1:]).where((F.col("lang_pred") != UNDETERMINED) & ((F.col("score") >= least) | short)).select(COLUMNS)
+
+
+def least_score(langs: int) -> float:
+    """Of n languages an even guess scores 1/n; of one language nothing can stand out, and all texts reach it."""
+    even = 1 / max(1, langs)
+    return even + LEAST * (1 - even)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -401,6 +401,23 @@ def test_mixture_of_null_and_shared_ids(spark, tmp_path):
     assert sum(n for r, n in got.items() if r[0] is None) > 20
 
 
+def test_short_texts_of_shared_words_stay(spark, tmp_path):
+    """A license line that all languages have ties at 1/n; it stays where it is short, whatever n."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    line, schema = "All rights reserved.", "doc_id long, text string, lang string, source string, n_chars long"
+    for n in (1, 5):
+        rows = []
+        for k in range(n):
+            own = ["".join(rng.choice("bcdfghjklmnpqrstvwxz"[4 * k : 4 * k + 4]) + "aeiou"[k] for _ in range(3)) for _ in range(40)]
+            rows += [(100 * k + j, " ".join(rng.choice(own) for _ in range(60)) + "\n" + line, f"l{k}", "s", 0) for j in range(12)]
+        rows += [(1000, line, "l0", "s", 0), (1001, "A.", "l0", "s", 0), (1002, "12 !", "l0", "s", 0)]
+        kept = {r["doc_id"] for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()}
+        assert kept == {r[0] for r in rows} - {1002}
+    assert corpus_pipeline.least_score(4) == pytest.approx(0.3) and corpus_pipeline.least_score(1) == 1
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
