@@ -3,8 +3,8 @@
 A suffix automaton of labelled text per language accepts exactly the substrings of that text. A
 document is parsed against each automaton into phrases, each the longest match from where the one
 before ended; phrases times log2(training length) a symbol estimate the cross entropy, and the
-language with the least wins. Automata stand in dense numpy tables, and all blocks of a batch
-advance one symbol at a time together.
+language with the least wins. Automata stand in numpy tables, dense or, for large alphabets, sorted by
+state and symbol, and all blocks of a batch advance one symbol at a time together.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import crc32_mod, read_documents, strings, sub_batches
 
 #: The bound of the training sample: documents a language, and characters of each, half from either end.
 DOCS, CHARS = 64, 400
-#: Letters that get a symbol of their own; 0 stands for any other letter, 1 for a run of non-letters.
-SYMBOLS = 64
+#: Cells of a dense table; an automaton that needs more holds its transitions alone.
+DENSE = 1 << 22
 #: A phrase ends where a block of so many symbols ends, so that blocks are parsed side by side.
 BLOCK = 256
 #: How fast the score falls with a rival's entropy, in bits a symbol.
@@ -36,8 +36,24 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
-def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
-    """Dense transitions [state, symbol]; state 0 is the root, and 0 as a target means no transition."""
+class Sparse:
+    """Transitions sorted by state and symbol."""
+
+    def __init__(self, follow: list[dict[int, int]], symbols: int):
+        key = np.array([s * symbols + c for s, t in enumerate(follow) for c in t], np.int64)
+        target = np.array([x for t in follow for x in t.values()], np.int64)
+        order = np.argsort(key)
+        # the last key, which no state has, ends each search
+        self.symbols, self.key, self.target = symbols, np.r_[key[order], np.iinfo(np.int64).max], np.r_[target[order], 0]
+
+    def step(self, state: np.ndarray | int, symbol: np.ndarray) -> np.ndarray:
+        key = state * self.symbols + symbol.astype(np.int64)
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.target[at], 0)
+
+
+def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray | Sparse:
+    """Transitions [state, symbol]; state 0 is the root, and 0 as a target means no transition."""
     follow: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -64,6 +80,8 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
+    if len(follow) * symbols > DENSE:
+        return Sparse(follow, symbols)
     out = np.zeros((len(follow), symbols), np.uint16 if len(follow) < 1 << 16 else np.int32)
     for s, t in enumerate(follow):
         if t:
@@ -72,13 +90,11 @@ def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
 
 
 class Alphabet:
-    """Symbols of characters: the most frequent letters of the training text, lowered."""
+    """Symbols of characters: one each for the letters of the training text, lowered; 0 for any other letter, 1 for a run of non-letters."""
 
-    def __init__(self, texts: list[str], size: int = SYMBOLS):
+    def __init__(self, texts: list[str]):
         codes = np.concatenate([_codes(t) for t in texts] or [np.zeros(0, np.uint32)])
-        seen, n = np.unique(codes[_letters()[codes]], return_counts=True)
-        top = seen[np.lexsort((seen, -n))][: size - 2]
-        self.chars = np.sort(top)
+        self.chars = np.unique(codes[_letters()[codes]])
         self.size = len(self.chars) + 2
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
@@ -86,17 +102,20 @@ class Alphabet:
         at = np.searchsorted(self.chars, codes)
         at[at == len(self.chars)] = 0
         known = letter & (self.chars[at] == codes) if len(self.chars) else np.zeros(len(codes), bool)
-        return np.where(known, at + 2, np.where(letter, 0, 1)).astype(np.uint8)
+        return np.where(known, at + 2, np.where(letter, 0, 1)).astype(np.uint8 if self.size <= 256 else np.int32)
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def phrases(table: np.ndarray, blocks: np.ndarray, length: np.ndarray) -> np.ndarray:
+def phrases(table: np.ndarray | Sparse, blocks: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Phrases in each column of `blocks`, of the given lengths, which don't rise."""
-    flat, width = table.ravel(), table.shape[1]
-    root = table[0]
+    if isinstance(table, Sparse):
+        step = table.step
+    else:
+        flat, width = table.ravel(), table.shape[1]
+        step = lambda state, c: flat[state * width + c].astype(np.int64)
     n = np.zeros(blocks.shape[1], np.int64)
     state = np.zeros(blocks.shape[1], np.int64)
     for k in range(blocks.shape[0]):
@@ -105,9 +124,9 @@ def phrases(table: np.ndarray, blocks: np.ndarray, length: np.ndarray) -> np.nda
             break
         c = blocks[k, :m]
         was = state[:m]
-        now = flat[was * width + c].astype(np.int64)
+        now = step(was, c)
         end = now == 0
-        start = root[c]
+        start = step(0, c)
         n[:m] += end & (was != 0)
         n[:m] += end & (start == 0)
         state[:m] = np.where(end, start, now)

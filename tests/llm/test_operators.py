@@ -323,6 +323,22 @@ def test_cross_parsing_counts_longest_matches():
     assert op8_language_id.phrases(table, other[:, None], np.array([60]))[0] == n
 
 
+def test_languages_of_many_letters(monkeypatch):
+    """Two scripts of 400 letters each and Latin; the same from dense and from sparse automata."""
+    rng = random.Random(6)
+    kinds = {"en": "abcdefghijklmnopqrstuvwxyz", "ko": [chr(0xAC00 + k) for k in range(400)], "zh": [chr(0x4E00 + k) for k in range(400)]}
+    make = lambda s: " ".join("".join(rng.choice(s) for _ in range(3)) for _ in range(60))
+    samples = {k: [make(s) for _ in range(12)] for k, s in kinds.items()}
+    asked = [(k, make(s)) for k, s in kinds.items() for _ in range(20)]
+    got = []
+    for cells in (1 << 30, 0):
+        monkeypatch.setattr(op8_language_id, "DENSE", cells)
+        model = op8_language_id.LanguageModel(samples)
+        got.append(model.predict([t for _, t in asked]))
+        assert [x[0] for x in got[-1]] == [k for k, _ in asked]
+    assert got[0] == got[1] and isinstance(model.tables[0], op8_language_id.Sparse)
+
+
 def test_language_table(docs, nothing):
     model = op8_language_id.train(docs)
     rows = op8_language_id.identify(docs, model).collect()
