@@ -4,7 +4,9 @@ The lexicon is the terms within a band of inverse document frequency: from that
 of all documents up to that of a term in one document. It is split into subsets by the terms' hashes, at
 rates 1, 1/2, 1/4, ...; a document uses the two rates at which SUBSETS subsets hold about one of its
 terms each. Every subset's distinct terms are sorted and hashed together, and the fingerprint is those
-hashes in order. A change to a text changes only the subsets of the terms it touches.
+hashes in order. A change to a text changes only the subsets of the terms it touches, if those are read at its rates:
+of n distinct terms at least 2 * SUBSETS, only those at the rate 2 ** -floor(log2(n / SUBSETS)) are (32 to 64, so half a
+percent to one of 6,400), and texts that differ in others alone have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def _in_rate(x: Column, level: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, common: list[int]) -> DataFrame:
-    """Adds `out`: struct(level, parts), parts: SUBSETS hashes at the level and SUBSETS at the next."""
+    """Adds `out`: struct(level, parts, terms), parts: SUBSETS hashes at the level and SUBSETS at the next; terms: the sorted terms of the level."""
     h, kept = f"_{out}_h", f"_{out}_k"
     level = F.when(F.size(h) < 2 * SUBSETS, F.lit(0)).otherwise(F.floor(F.log2(F.size(h) / SUBSETS) + 1e-9).cast("int"))
     df = df.withColumn(h, term_hashes(F.col(text))).withColumn(out, level)
@@ -52,13 +54,18 @@ def with_fingerprint(df: DataFrame, text: str, out: str, common: list[int]) -> D
     lexicon = F.array(*[F.lit(x) for x in common]) if common else F.array().cast("array<bigint>")
     df = df.withColumn(kept, F.array_sort(F.array_except(taking, lexicon)))
 
+    return df.withColumn(out, F.struct(F.col(out).alias("level"), _parts(F.col(kept), F.col(out), 2).alias("parts"), F.col(kept).alias("terms"))).drop(h, kept)
+
+
+def _parts(terms: Column, level: Column, rates: int) -> Column:
+    """SUBSETS hashes of sorted terms at the level, and at each of the next up to so many rates."""
+
     def part(k: Column) -> Column:
-        at = F.col(out) + F.floor(k / SUBSETS).cast("int")
-        own = F.filter(kept, lambda x: _in_rate(x, at) & (F.pmod(F.call_function("shiftrightunsigned", x, at), F.lit(SUBSETS)) == k % SUBSETS))
+        at = level + F.floor(k / SUBSETS).cast("int")
+        own = F.filter(terms, lambda x: _in_rate(x, at) & (F.pmod(F.call_function("shiftrightunsigned", x, at), F.lit(SUBSETS)) == k % SUBSETS))
         return F.when(F.size(own) == 0, F.lit(EMPTY)).otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), 1, DIGITS))
 
-    parts = F.transform(F.sequence(F.lit(0), F.lit(2 * SUBSETS - 1)), part)
-    return df.withColumn(out, F.struct(F.col(out).alias("level"), parts.alias("parts"))).drop(h, kept)
+    return F.transform(F.sequence(F.lit(0), F.lit(rates * SUBSETS - 1)), part)
 
 
 def as_string(fingerprint: Column) -> Column:
@@ -66,14 +73,17 @@ def as_string(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets, at rates that both have, in which either has a term; 1 if neither has any."""
+    """Share of equal hashes among the subsets, at rates that both have, in which either has a term; 1 if neither has any.
+
+    Levels two or more apart are compared at the coarser of the two, whose terms the finer text has among its own.
+    """
     first, second = (lambda x: F.slice(x["parts"], 1, SUBSETS)), (lambda x: F.slice(x["parts"], SUBSETS + 1, SUBSETS))
     step = a["level"] - b["level"]
-    x = F.when(step == 0, a["parts"]).when(step == 1, first(a)).when(step == -1, second(a)).otherwise(F.array().cast("array<string>"))
-    y = F.when(step == 0, b["parts"]).when(step == 1, second(b)).when(step == -1, first(b)).otherwise(F.array().cast("array<string>"))
+    x = F.when(step == 0, a["parts"]).when(step == 1, first(a)).when(step == -1, second(a)).when(step > 1, first(a)).otherwise(_parts(a["terms"], b["level"], 1))
+    y = F.when(step == 0, b["parts"]).when(step == 1, second(b)).when(step == -1, first(b)).when(step < -1, first(b)).otherwise(_parts(b["terms"], a["level"], 1))
     used = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != EMPTY) | (p["y"] != EMPTY))
     same = F.size(F.filter(used, lambda p: p["x"] == p["y"]))
-    return F.when(F.size(used) > 0, same / F.size(used)).otherwise(F.when(a == b, 1.0).otherwise(0.0))
+    return F.when(F.size(used) > 0, same / F.size(used)).otherwise(F.when((a["level"] == b["level"]) & (a["parts"] == b["parts"]), 1.0).otherwise(0.0))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -174,6 +174,26 @@ def test_fingerprints(docs, nothing):
     assert op5_imatch.fingerprints(nothing).count() == 0
 
 
+def test_likeness_of_distant_levels(spark):
+    """A text and the same with many other terms: levels far apart, alike where the coarser rate reads the terms of both."""
+    few, many = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(340)]
+    # 400 terms are read at level 3; a few of the 60 are among those
+    rows = [(0, " ".join(few), " ".join(few + many)), (1, " ".join(few), " ".join(f"c{k}" for k in range(400)))]
+    df = spark.createDataFrame(rows, "id int, s string, t string")
+    df = op5_imatch.with_fingerprint(op5_imatch.with_fingerprint(df, "s", "x", []), "t", "y", [])
+    got = {r["id"]: r for r in df.select("id", df["x.level"].alias("p"), df["y.level"].alias("q"), op5_imatch.likeness(df["x"], df["y"]).alias("xy"), op5_imatch.likeness(df["y"], df["x"]).alias("yx"), df["x.terms"].alias("xt"), df["y.terms"].alias("yt")).collect()}
+    for r in got.values():
+        assert (r["p"], r["q"]) == (0, 3) and r["xy"] == r["yx"]
+        sets = [{}, {}]
+        for s, terms in zip(sets, (r["xt"], r["yt"]), strict=True):
+            for h in terms:
+                if h % 8 == 0:
+                    s.setdefault((h % (1 << 64) >> 3) % 32, set()).add(h)
+        keys = set(sets[0]) | set(sets[1])
+        assert r["xy"] == pytest.approx(sum(sets[0].get(k) == sets[1].get(k) for k in keys) / len(keys))
+    assert got[0]["xy"] > 0 == got[1]["xy"]
+
+
 def brute_components(rows):
     sets = {}
     for i, t, *_ in rows:
