@@ -3,9 +3,10 @@
 Two permutations make the whole signature: sigma scatters the shingles over 2**32 positions, pi
 orders positions, and coordinate k is the least pi of the positions shifted circularly by k.
 Documents that agree in a band are candidates. Equal shingle sets are one class from the start.
-In each bucket the smallest class is compared with the others (a star, not all pairs); classes
-that this joins need no more comparisons, and buckets that still hold several components go on
-with the pairs across components. Links count only after the full shingle sets have been compared.
+In each bucket the class with the most bucket mates is compared with the others (a star, not all
+pairs). Members that this joins need no more comparisons; what is still apart in a bucket is dealt
+into blocks, and a task compares the full shingle sets of two blocks by a matrix product and puts
+out the links that join components, never a row a pair.
 """
 
 from __future__ import annotations
@@ -26,12 +27,10 @@ BANDS, ROWS = 32, 4
 SIMILAR = 75
 #: Shingles whose coordinates are made at a time, so that the work stays in cache.
 BLOCK = 40_000
-#: Coordinates of a sketch, cut to four bits each, and those that differ at most: 120 are expected at similarity 0.75, with
-#: a deviation of 9.6, so that more than 178 have a probability of 1e-9.
-SKETCH, DIFFER = 512, 178
-PLANE = SKETCH // 64
 #: Members that one comparison task takes for one leader.
 MEMBERS = 64
+#: Documents and shingles of a block of a mixed bucket (a larger document is a block of its own), and shingles of a matrix product.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 512, 1 << 16, 2048
 
 _SIGMA = np.uint64(0x9E6C63D0876A9A47)
 _PI1, _PI2 = 0x85EBCA6B, np.uint32(0xC2B2AE35)
@@ -91,17 +90,13 @@ def circulant_minhash(sets: np.ndarray, offsets: np.ndarray, coordinates: int =
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, d1, d2, bands, sketch): set size, a 128-bit digest of the set, band keys, and four bits of each
-    coordinate of the sketch: words by bit."""
+    """(doc_id, n, d1, d2, bands): set size, a 128-bit digest of the set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in sub_batches(b, 1)):
             sets, off = shingle_sets(*buffers(batch.column(1)))
             size = np.diff(off)
-            least = circulant_minhash(sets, off, SKETCH)
-            bits = [np.packbits((least >> np.uint32(b) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64) for b in (3, 9, 15, 21)]
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (4 * PLANE)), pa.array(np.hstack(bits).ravel()))
-            sig = least[:, : BANDS * ROWS].reshape(len(size), BANDS, ROWS).astype(np.uint64)
+            sig = circulant_minhash(sets, off).reshape(len(size), BANDS, ROWS)
             key = np.arange(BANDS, dtype=np.uint64)[None, :].repeat(len(size), 0)
             for r in range(ROWS):
                 key = mix64((key << np.uint64(32) ^ key) + sig[:, :, r])
@@ -110,10 +105,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 x = np.r_[np.uint64(0), np.cumsum(mix64(sets + np.uint64(salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)))]
                 digest.append((x[off[1:]] - x[off[:-1]]).view(np.int64))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * BANDS), pa.array(key.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(pa.array, digest), bands, sketch], names=["doc_id", "n", "d1", "d2", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), *map(pa.array, digest), bands], names=["doc_id", "n", "d1", "d2", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,53 +155,115 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are the runs of characters other than white space (20, 09-0D hex), A-Z lowered. A text of fewer
     than five words is one shingle; a null text or one without words has none and is linked with nothing. Rows
     with the same id are one node of the links, and one of their texts stands for it; a row with a null id
-    stands alone, with a null component, and is kept.
+    stands alone, with a null component, and is kept. An empty table gives an empty result. Whole texts count
+    whatever their length. A component's least id is kept, so ties don't arise. Other columns are not read.
     """
-    # a stash, since everything below starts from it
+    # stashes, since much starts from them, and since only a join of two plain exchanges can split a hot key
     rows = stashed(signatures(docs, id_col, text_col))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(classes.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    keyed = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most")).where("m > 1")
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+    classes = bounded(stashed(classes.where("m > 1").drop("m")))
+    own = rows.join(classes, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    keyed = own.where("n > 0 AND doc_id = rep").select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    buckets = stashed(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     # members of shared buckets only
-    shared = stashed(keyed.join(leaders.select("key", "leader"), "key"))
+    shared = stashed(keyed.join(buckets, "key"))
+    weights = shared.groupBy("id").agg(F.sum("m").alias("w"))
+    leaders = stashed(shared.join(weights, "id").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "id")).alias("first")))
+    led = stashed(shared.join(leaders, "key").select("key", "id", "n", "first").where("id != first.id"))
     ids = stashed(shared.select("id").distinct())
     texts = stashed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(ids), "id", "left_semi"))
-    nearest = shared.where("id != leader").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    nearest = led.groupBy("id").agg(F.min("first").alias("first")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
     links = stashed(verified(stashed(nearest), texts))
     labels = connected_components(links)
     # the other leaders of those that are still apart from them
-    member = with_component(shared, labels)
-    led = labels.select(F.col("node").alias("leader"), F.col("component").alias("c_leader"))
-    apart = member.where("id != leader").join(led, "leader", "left").where(F.col("c") != F.coalesce("c_leader", "leader"))
+    member = with_component(led.select("key", "id", "n", F.col("first.id").alias("leader")), labels)
+    heads = labels.select(F.col("node").alias("leader"), F.col("component").alias("c_leader"))
+    apart = member.join(heads, "leader", "left").where(F.col("c") != F.coalesce("c_leader", "leader"))
     links = stashed(links.unionByName(verified(stashed(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), texts)))
     labels = connected_components(links)
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch")
-    pairs = across(with_component(shared, labels), sketches)
-    labels = connected_components(stashed(links.unionByName(verified(stashed(pairs), texts))))
-    out = (
-        rows.join(classes, ["d1", "d2", "n"], "left")
-        .join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    )
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    links = stashed(links.unionByName(across(with_component(led.select("key", "id", "n"), labels), texts)))
+    labels = connected_components(links)
+    out = own.select("doc_id", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def with_component(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
 
 
-def across(member: DataFrame, sketches: DataFrame) -> DataFrame:
-    """What is left to compare: pairs of a bucket in different components, neither the leader, of similar size and sketch."""
-    member = member.where("id != leader")
-    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-    m = stashed(member.join(mixed, "key", "left_semi").join(sketches, "id").select("key", "id", "n", "c", "sketch"))
-    x = m.select("key", *(F.col(c).alias(f"{c}_a") for c in ("id", "n", "c", "sketch")))
-    y = m.select("key", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "sketch")))
-    word = lambda k: F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])
-    differ = sum((F.bit_count(word(w).bitwiseOR(word(w + PLANE)).bitwiseOR(word(w + 2 * PLANE)).bitwiseOR(word(w + 3 * PLANE))) for w in range(PLANE)), F.lit(0))
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILAR) & (differ <= DIFFER)
-    return x.join(y, "key").where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+def across(member: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v): links that join the components c of members (key, id, n, c) of a bucket, which their leader has left apart.
+
+    Members are dealt into blocks, and each two blocks of a bucket meet in a task. Buckets with the same members are one.
+    """
+    member = stashed(member)
+    digest = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"x{k}") for k in (1, 2)]
+    mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("size"), *digest).where("lo != hi")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES))
+    mixed = stashed(mixed.groupBy("m", "size", "x1", "x2").agg(F.min("key").alias("key")).select("key", blocks.alias("blocks")))
+    dealt = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = paired.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "c")
+    kind = texts.schema["id"].dataType.simpleString()
+    n = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = None, []
+        types = [pa.int64(), pa.int64()]
+
+        def flush() -> pa.RecordBatch:
+            found = spanning_links([r[1] for r in rows], [r[2] for r in rows], np.array([r[0] for r in rows]), [r[3] for r in rows])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], types[0]) for k in (0, 1)], names=["u", "v"])
+
+        for batch in (s for b in batches for s in sub_batches(b, 6)):
+            types = [batch.schema.field(4).type] * 2
+            sets, off = shingle_sets(*buffers(batch.column(6)))
+            for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                if row[:3] != held and rows:
+                    yield flush()
+                    rows = []
+                held = row[:3]
+                rows.append((row[3] == row[2], *row[4:], sets[off[i] : off[i + 1]].copy()))
+        if rows:
+            yield flush()
+
+    meeting = paired.join(texts, "id").select("key", "lo", "hi", "block", "id", "c", "text").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return meeting.mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def spanning_links(ids: list, components: list, side: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
+    """Links (u, v) of similar sets that together join all components that similar sets of the two sides join; of one side, any two sets."""
+    first, second = np.flatnonzero(side), np.flatnonzero(~side)
+    if not len(first) or not len(second):
+        first = second = np.arange(len(ids))
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    known, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # only what two sets have matters; the columns of a product are so many of those
+    column = np.cumsum(times > 1) - 1
+    use = np.flatnonzero(times[place] > 1)
+    place, owner = column[place[use]], owner[use]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    both = np.zeros((len(first), len(second)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(place, [lo, lo + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[owner[a:b], place[a:b] - lo] = 1
+        both += x[first] @ x[second].T
+    both = both.astype(np.int64)
+    near = 100 * both >= SIMILAR * (size[first][:, None] + size[second][None, :] - both)
+    label = np.unique(np.array(components, object), return_inverse=True)[1]
+    out = []
+    for i in np.flatnonzero(near.any(1)):
+        mates = second[near[i]]
+        u = first[i]
+        for v in mates[np.unique(label[mates], return_index=True)[1]]:
+            if label[u] != label[v]:
+                out.append((ids[u], ids[v]))
+                label[label == label[v]] = label[u]
+    return out
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,6 +235,44 @@ def test_near_duplicates_of_a_chain(spark):
     assert got == comp
 
 
+def test_near_duplicates_of_a_mixed_bucket(spark, monkeypatch):
+    """Copies of one text whose likeness among each other lies on both sides of the limit; small blocks, so that many meet."""
+    rng = random.Random(12)
+    w = [f"w{k}" for k in range(900)]
+    base = [rng.choice(w) for _ in range(120)]
+    rows = [(1000, " ".join(base))]
+    for k in range(90):
+        t = base[:]
+        for _ in range(rng.randint(1, 7)):
+            t[rng.randrange(120)] = f"n{rng.randrange(40)}"
+        rows.append((k, " ".join(t)))
+    sets, comp = brute_components(rows)
+    for docs, columns in ((512, 2048), (7, 16)):
+        monkeypatch.setattr(op6_minhash_dedup, "BLOCK_DOCS", docs)
+        monkeypatch.setattr(op6_minhash_dedup, "COLUMNS", columns)
+        got = {r["doc_id"]: r["component_id"] for r in op6_minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == comp
+    # without leaders every link comes from the blocks
+    ids, texts = [i for i, _ in rows], spark.createDataFrame(rows, "id long, text string")
+    member = spark.createDataFrame([(key, i, len(sets[i]), i) for key in (5, 6) for i in ids], "key long, id long, n long, c long")
+    links = {(r["u"], r["v"]) for r in op6_minhash_dedup.across(member, texts).collect()}
+    label = {i: i for i in ids}
+    for u, v in links:
+        assert 100 * len(sets[u] & sets[v]) >= 75 * len(sets[u] | sets[v])
+        a, b = label[u], label[v]
+        label = {i: min(a, b) if x in (a, b) else x for i, x in label.items()}
+    assert label == comp
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Null and repeated ids, ids that are strings, columns with clashing names, a very long text twice."""
+    long = " ".join(f"w{k % 977}x{k % 31}" for k in range(60_000))
+    rows = [("b", long, 1), ("a", long + " end", 2), (None, long, 3), ("c", "x y", 4), ("c", "x y", 5), ("d", None, 6)]
+    got = sorted(op6_minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string, key int")).collect(), key=str)
+    by = {r["doc_id"]: (r["component_id"], r["kept"]) for r in got}
+    assert by == {"a": ("a", True), "b": ("a", False), None: (None, True), "c": ("c", True), "d": ("d", True)} and len(got) == 6
+
+
 def test_circulant_minhash_estimates_similarity():
     rng = np.random.default_rng(2)
     for j in (0.5, 0.75, 0.9):
