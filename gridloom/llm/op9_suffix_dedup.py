@@ -6,7 +6,8 @@ strings have equal anchors. So the strings of a document fall into segments by a
 all segments of an anchor form a shard's input: no shard has to meet another. Anchors that stand in one
 document alone can't repeat and are left out first. In a shard the distinct segments are one string
 whose suffix array is induced (suffix_array.py); neighbours with a common prefix of SPAN bytes or
-more are one string of the corpus, and the least id of each such run decides.
+more are one string of the corpus, and the least id of each such run decides. The segments of an anchor
+with too many different ones for one array fall apart into their strings, each its own anchor.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from .common import bounded, buffers, mix64, powers, prefix_hash, read_documents, span_hash, stashed, sub_batches
 from .suffix_array import permuted_common_prefixes, suffix_array
 
-SPAN, GRAM = 50, 16
-#: Text behind one shard of the anchors' keys, and segment bytes that one suffix array takes.
-KEY_SHARD, ARRAY_BYTES = 16 << 20, 2 << 20
+SPAN, GRAM = 50, 12
+#: Text behind one shard of the anchors' keys; segment bytes that one suffix array takes (so few that it stays in cache),
+#: and those of an anchor above which its strings go their own ways.
+KEY_SHARD, ARRAY_BYTES, HOT_BYTES = 8 << 20, 1 << 17, 1 << 20
+#: Of how many different segments one, by hash, is counted to find such anchors. Every segment goes on either way.
+COUNTED = 64
 #: The bytes of an anchor's hash that are passed on.
 LOW = np.uint64((1 << 32) - 1)
 
@@ -86,58 +90,70 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """(id, key): of each document the anchors with one side, a shard and four bytes in one number, that stand in some other document too."""
+    """(id, x, key): of each document the anchors with one side, a shard and four bytes in one number, that stand in some other document too.
+
+    What two documents of a batch have is known there; its least and its largest id go to the shard, however many have it.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 1)):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, off = buffers(batch.column(1))
+        for batch in (s for b in batches for s in sub_batches(b, 2)):
+            ids, x = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            data, off = buffers(batch.column(2))
             _, _, _, doc, at = segments(data, off)
             both, there = sides(data, off, at, doc)
             h, doc = np.concatenate([both[k][there[k]] for k in (0, 1)]), np.concatenate([doc[there[k]] for k in (0, 1)])
             shard = _shard(h, shards)
-            order = np.lexsort((h, doc, shard))
-            h, doc, shard = h[order], doc[order], shard[order]
-            if len(h):
-                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (shard[1:] != shard[:-1])]
-                h, doc, shard = h[new], doc[new], shard[new]
-            edge = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(h) else np.zeros(1, int)
-            packed, owners = _pack(h), ids[doc]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard[edge[:-1]]), pa.array([packed[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary()), pa.array([owners[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())],
-                names=["shard", "keys", "ids"],
-            )
-
-    def meet(shard: int, keys: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
-        key, owner = _unpack(b"".join(keys)), np.frombuffer(b"".join(ids), np.int64)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        group = np.cumsum(new) - 1
-        edge = np.r_[np.flatnonzero(new), len(key)]
-        shared = (owner[edge[:-1]] != owner[edge[1:] - 1])[group]
-        key, owner = key[shared], owner[shared]
-        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array((key + (np.uint64(shard + 1) << np.uint64(32))).view(np.int64))], names=["id", "key"])
+            order = np.lexsort((doc, ids[doc], h & LOW, shard))
+            h, doc, shard = (h & LOW)[order], doc[order], shard[order]
+            if not len(h):
+                continue
+            first = np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
+            new = first | np.r_[True, doc[1:] != doc[:-1]]
+            h, doc, shard, first = h[new], doc[new], shard[new], first[new]
+            group = np.cumsum(first) - 1
+            last = np.r_[first[1:], True]
+            known = (ids[doc[first]] != ids[doc[last]])[group] & ~first & ~last
+            # numbers below 0 are answers already
+            for pick, sign in ((~known, 1), (known, -1)):
+                k, d, own = h[pick], doc[pick], shard[pick]
+                edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
+                packed, owners, others = _pack(k), ids[d], x[d]
+                cut = list(zip(edge, edge[1:], strict=False))
+                number = own[edge[:-1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number), pa.array(number if sign > 0 else -1 - mix64((number + ids[0]).astype(np.uint64)).astype(np.int64) % shards), *(pa.array([y[a:b].tobytes() for a, b in cut], pa.binary()) for y in (packed, owners, others))],
+                    names=["shard", "part", "keys", "ids", "x"],
+                )
+
+    def meet(shard: int, part: int, keys: list[bytes], ids: list[bytes], x: list[bytes]) -> pa.RecordBatch:
+        key, owner, other = _unpack(b"".join(keys)), *(np.frombuffer(b"".join(y), np.int64) for y in (ids, x))
+        if part >= 0:
+            order = np.lexsort((owner, key))
+            key, owner, other = key[order], owner[order], other[order]
+            new = np.r_[True, key[1:] != key[:-1]]
+            edge = np.r_[np.flatnonzero(new), len(key)]
+            shared = (owner[edge[:-1]] != owner[edge[1:] - 1])[np.cumsum(new) - 1]
+            key, owner, other = key[shared], owner[shared], other[shared]
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array((key + (np.uint64(shard + 1) << np.uint64(32))).view(np.int64))], names=["id", "x", "key"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys, ids = None, [], []
+        held, rows = None, []
         for batch in batches:
-            for s, k, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != held and keys:
-                    yield meet(held, keys, ids)
-                    keys, ids = [], []
-                held = s
-                keys.append(k)
-                ids.append(i)
-        if keys:
-            yield meet(held, keys, ids)
+            for s, p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, p) != held and rows:
+                    yield meet(*held, *zip(*rows, strict=True))
+                    rows = []
+                held = (s, p)
+                rows.append(row)
+        if rows:
+            yield meet(*held, *zip(*rows, strict=True))
 
-    parts = docs.select("id", "text").mapInArrow(emit, "shard long, keys binary, ids binary")
-    return parts.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(gather, "id long, key long")
+    parts = docs.select("id", "x", "text").mapInArrow(emit, "shard long, part long, keys binary, ids binary, x binary")
+    return parts.repartition(shards, "part").sortWithinPartitions("part", "shard").mapInArrow(gather, "id long, x long, key long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(id, *others, packed): compressed texts dealt out by id. What joins by id reuses this one exchange."""
+    """(id, x, keep, packed): compressed texts dealt out by id. What joins by id reuses this one exchange."""
     kinds = {c: docs.schema[c].dataType.simpleString() for c in docs.columns if c != "text"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +163,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ddl = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    return docs.select("text", *kinds).mapInArrow(run, f"{ddl}, packed binary").repartition(n, "id")
+    return docs.select("text", *kinds).mapInArrow(run, f"{ddl}, packed binary").repartition(n, "id", "x")
 
 
 def _texts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,9 +173,9 @@ def _texts(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFrame:
-    """(id, start, strings, mark, h): segments of shared anchors; mark: 64-bit hash of the content, h: of the anchor."""
+    """(id, x, start, strings, mark, h): segments of shared anchors; mark: 64-bit hash of the content, h: of the anchor."""
 
-    def find(ids: np.ndarray, packed: list[bytes], keys: pa.ListArray) -> pa.RecordBatch:
+    def find(ids: np.ndarray, x: np.ndarray, packed: list[bytes], keys: pa.ListArray) -> pa.RecordBatch:
         data, off = _texts(packed)
         start, strings, h, doc, at = segments(data, off)
         both, there = sides(data, off, at, doc)
@@ -171,18 +187,55 @@ def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFr
             keep |= there[k] & np.isin(tag(doc, (both[k] & LOW) + (_shard(both[k], shards).astype(np.uint64) + np.uint64(1) << np.uint64(32))), want)
         start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
         mark = span_hash(prefix_hash(data), start, start + strings + SPAN - 1)
-        return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=["id", "start", "strings", "mark", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(x[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 18)):
-            yield find(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2))
+        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 18)):
+            yield find(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3))
+
+    flags = anchors.groupBy("id", "x").agg(F.collect_list("key").alias("keys"))
+    return texts.join(flags.hint("merge"), ["id", "x"]).select("id", "x", "packed", "keys").mapInArrow(run, PLACES)
+
+
+PLACE = ["id", "x", "start", "strings", "mark", "h"]
+PLACES = "id long, x long, start int, strings int, mark long, h long"
+
+
+def distinct(places: DataFrame) -> DataFrame:
+    """(mark, first): each distinct segment where it stands first."""
+    return places.groupBy("mark").agg(F.min(F.struct("id", "x", "start", "strings", "h")).alias("first"))
 
-    flags = anchors.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    return texts.join(flags.hint("merge"), "id").select("id", "packed", "keys").mapInArrow(run, "id long, start int, strings int, mark long, h long")
+
+def split_hot(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The same places, with segments of anchors that have more than HOT_BYTES of different ones taken apart into strings.
+
+    A string that most documents have is then one row of a group by its content, as any other, and no anchor fills one task.
+    """
+    counted = places.where(F.pmod("mark", F.lit(COUNTED)) == 0).groupBy("h", "mark").agg((F.first("strings") + (SPAN - 1)).alias("size"))
+    hot = stashed(counted.groupBy("h").agg((COUNTED * F.sum("size")).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("h"))
+    if hot.isEmpty():
+        return places
+    hot = bounded(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 18)):
+            ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, off = _texts(batch.column(2).to_pylist())
+            segs = batch.column(3)
+            doc = np.repeat(np.arange(len(ids)), segs.value_lengths().to_numpy(zero_copy_only=False))
+            at, strings = (segs.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "strings"))
+            doc, first = np.repeat(doc, strings), np.repeat(at, strings)
+            at = first + np.arange(len(first)) - np.repeat(np.cumsum(strings) - strings, strings)
+            mark = pa.array(span_hash(prefix_hash(data), off[doc] + at, off[doc] + at + SPAN).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(x[doc]), pa.array(at.astype(np.int32)), pa.array(np.ones(len(at), np.int32)), mark, mark], names=PLACE)
+
+    apart = places.join(hot, "h", "left_semi").groupBy("id", "x").agg(F.collect_list(F.struct("start", "strings")).alias("segs"))
+    strings = texts.join(apart.hint("merge"), ["id", "x"]).select("id", "x", "packed", "segs").mapInArrow(run, PLACES)
+    return stashed(places.join(hot, "h", "left_anti").select(PLACE).unionByName(strings))
 
 
 def contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, mark, content, least) of segments wanted: (mark, first: struct(id, start, strings, h))."""
+    """(h, mark, content, least) of segments wanted: (mark, first: struct(id, x, start, strings, h))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -193,8 +246,8 @@ def contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows += [(s["h"], s["mark"], text[s["start"] : s["start"] + s["strings"] + SPAN - 1], i) for s in segs]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.int64()], strict=True)], names=["h", "mark", "content", "least"])
 
-    by_id = wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("mark", F.col("first.start").alias("start"), F.col("first.strings").alias("strings"), F.col("first.h").alias("h"))).alias("segs"))
-    return texts.join(by_id.hint("merge"), "id").select("id", "packed", "segs").mapInArrow(run, "h long, mark long, content binary, least long")
+    by_id = wanted.groupBy("first.id", "first.x").agg(F.collect_list(F.struct("mark", F.col("first.start").alias("start"), F.col("first.strings").alias("strings"), F.col("first.h").alias("h"))).alias("segs"))
+    return texts.join(by_id.hint("merge"), ["id", "x"]).select("id", "packed", "segs").mapInArrow(run, "h long, mark long, content binary, least long")
 
 
 def least_ids(marks: np.ndarray, contents: list[bytes], ids: np.ndarray) -> tuple[list[int], list[list[int]], list[list[int]]]:
@@ -203,9 +256,10 @@ def least_ids(marks: np.ndarray, contents: list[bytes], ids: np.ndarray) -> tupl
     size = np.array([len(c) for c in contents])
     data = np.frombuffer(b"\x00".join(contents) + b"\x00", np.uint8)
     start = np.r_[0, np.cumsum(size + 1)[:-1]]
-    text = data.astype(np.int64) + 1
+    text = data.astype(np.int32) + 1
     text[start + size] = 0
-    order = suffix_array(text, 257)
+    order = suffix_array(text)
+    del text
     strings = size - SPAN + 1
     owner = np.repeat(np.arange(len(size)), strings)
     place = start[owner] + np.arange(len(owner)) - np.r_[0, np.cumsum(strings)[:-1]][owner]
@@ -241,7 +295,7 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
         last = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= ARRAY_BYTES:  # an anchor's segments stay together
+                if row[0] != last and size >= ARRAY_BYTES:  # an anchor's segments, HOT_BYTES at most, stay together
                     yield flush()
                     held, size = [], 0
                 last = row[0]
@@ -255,30 +309,29 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
 
 
 def earlier_copies(docs: DataFrame) -> DataFrame:
-    """(id) of texts of SPAN bytes or more that a smaller id has too: they go as a whole, and have no string that it lacks."""
-    marked = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull()).select("id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.octet_length("text").alias("bytes"))
-    first = marked.groupBy("x", "y", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
-    return marked.join(first, ["x", "y", "bytes"]).where("id > first").select("id").distinct()
+    """(id, x) of texts of SPAN bytes or more that a smaller id has too: they go as a whole, and have no string that it lacks."""
+    marked = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull()).select("id", "x", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"), F.octet_length("text").alias("bytes"))
+    first = stashed(marked.groupBy("t", "u", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    return marked.join(first, ["t", "u", "bytes"]).where("id > first").select("id", "x").distinct()
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, cuts): of each document with bytes to remove, array of (from, to) byte ranges, sorted; docs: (id, text), texts: the same packed."""
+    """(id, x, cuts): of each document with bytes to remove, array of (from, to) byte ranges, sorted; docs: (id, x, text), texts: the same packed."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // KEY_SHARD) + 1)
     long = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull())
-    places = stashed(shared_segments(texts, stashed(shared_anchors(long, shards)), shards))
-    wanted = places.groupBy("mark").agg(F.min(F.struct("id", "start", "strings", "h")).alias("first"))
-    known = repeated_strings(contents(texts, wanted))
+    places = split_hot(texts, stashed(shared_segments(texts, stashed(shared_anchors(long, shards)), shards)))
+    known = repeated_strings(contents(texts, distinct(places)))
     hit = places.join(known, "mark").where(F.exists("least", lambda x: x < F.col("id")))
     ends = F.concat(F.slice("at", 2, F.size("at") - 1), F.array((F.col("size") - (SPAN - 1)).cast("int")))
     runs = F.filter(F.arrays_zip(F.col("at").alias("a"), ends.alias("e"), F.col("least").alias("l")), lambda r: r["l"] < F.col("id"))
     spans = F.transform(runs, lambda r: F.struct((F.col("start") + r["a"]).alias("from"), (F.col("start") + r["e"] + (SPAN - 1)).alias("to")))
-    return hit.select("id", spans.alias("spans")).groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts"))
+    return hit.select("id", "x", spans.alias("spans")).groupBy("id", "x").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts"))
 
 
-def cut_texts(rows: DataFrame, keep: list[str], as_text: bool) -> DataFrame:
-    """(id, *keep, n_bytes, n_removed, n_spans, kept) of rows with packed (compressed bytes) and cuts."""
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ["id", *keep]}
+def cut_texts(rows: DataFrame, as_text: bool) -> DataFrame:
+    """(id, keep, n_bytes, n_removed, n_spans, kept) of rows with packed (compressed bytes) and cuts."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ["id", "keep"]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -299,36 +352,48 @@ def cut_texts(rows: DataFrame, keep: list[str], as_text: bool) -> DataFrame:
                 # a cut may pass through a character; what is left of it goes
                 out.append((len(raw), removed, n, kept.decode("utf-8", "ignore") if as_text else kept))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[*kinds, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=[*kinds, *RESULTS, "kept"])
 
     ddl = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
     return rows.select("packed", "cuts", *kinds).mapInArrow(run, f"{ddl}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}")
 
 
+RESULTS = ["n_bytes", "n_removed", "n_spans"]
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """One row per row: the id, the columns in `keep`, n_bytes, n_removed, n_spans and kept_bytes (the remaining bytes),
     or kept_text with `as_text`, where characters that a cut passes through go.
 
-    Ids are integers. A null or empty text has no bytes. Rows with the same id are one document: their strings
-    remove nothing from each other, and what an earlier document removes from one of them may be cut from
-    all at its place, so ids should be unique. A row with a null id is returned whole and removes nothing.
+    Ids are integers; a ValueError says so of others. A null or empty text, or one under SPAN bytes, loses nothing, and
+    a text may be as long as a row. Rows with the same id are one document, whose strings remove nothing from each
+    other; each is cut by its own text. A row with a null id is returned whole and removes nothing. An empty
+    table gives an empty result. Columns not in `keep` are not read; one in `keep` that is named like a column of the
+    result comes back with an underscore in front.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"suffix_dedup needs integer ids, and {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     keep = keep or []
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("n"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).alias("keep"))
+    # x tells rows of one id apart
+    shared = stashed(own.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("m")).where("m > 1"))
+    own = own.join(bounded(shared), "id", "left").withColumn("x", F.when(F.col("m").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("m")
     copies = stashed(earlier_copies(own))
-    rest = own.join(bounded(copies), "id", "left_anti")
+    rest = own.join(bounded(copies), ["id", "x"], "left_anti")
     texts = packed_texts(rest)
-    cuts = stashed(repeated_spans(rest.select("id", "text"), texts))
+    cuts = stashed(repeated_spans(rest.select("id", "x", "text"), texts))
     # three kinds of rows: without cuts, copies as a whole, and those to cut, which reuse the packed exchange
     kind, empty = ("string", "") if as_text else ("binary", b"")
     n = F.octet_length("text").cast("long")
     zero = F.lit(0).cast("long")
-    whole = rest.join(bounded(cuts.select("id")), "id", "left_anti").select("id", *keep, n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast(kind).alias("kept"))
-    gone = own.join(bounded(copies), "id", "left_semi").select("id", *keep, n.alias("n_bytes"), n.alias("n_removed"), F.when(n > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.lit(empty).cast(kind).alias("kept"))
-    cut = cut_texts(texts.join(cuts.hint("merge"), "id"), keep, as_text)
-    return whole.unionByName(gone).unionByName(cut).withColumnRenamed("id", id_col).withColumnRenamed("kept", "kept_text" if as_text else "kept_bytes")
+    whole = rest.join(bounded(cuts.select("id", "x")), ["id", "x"], "left_anti").select("id", "keep", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast(kind).alias("kept"))
+    gone = own.join(bounded(copies), ["id", "x"], "left_semi").select("id", "keep", n.alias("n_bytes"), n.alias("n_removed"), F.when(n > 0, 1).otherwise(0).cast("long").alias("n_spans"), F.lit(empty).cast(kind).alias("kept"))
+    cut = cut_texts(texts.join(cuts.hint("merge"), ["id", "x"]), as_text)
+    last = "kept_text" if as_text else "kept_bytes"
+    name = lambda c: f"_{c}" if c in (id_col, *RESULTS, last) else c
+    return whole.unionByName(gone).unionByName(cut).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *(F.col("keep")[f"k{i}"].alias(name(c)) for i, c in enumerate(keep)), *RESULTS, F.col("kept").alias(last))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(read_documents(spark, sf_dir))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return out.select("doc_id", *RESULTS, F.sha2("kept_bytes", 256).alias("kept_sha256"))

@@ -2,8 +2,10 @@
 
 Suffixes are classified as larger (L) or smaller (S) than their right neighbour. The leftmost S
 suffixes (LMS) are sorted, by name where their substrings differ and by recursion on the names
-where some agree, and all others are induced from them in two linear scans. A scan goes bucket by
-bucket, and all entries of a bucket move on together, so the work is done in array operations.
+where some agree, and all others are induced from them: L suffixes from the LMS ones, then S suffixes
+from the L ones. A suffix is ordered by the symbols of its run (up to the next suffix of the other
+type) and then by the place of that suffix; so stable counting passes over the runs, from their
+ends to their starts, induce all suffixes of a type, whatever the number of symbols.
 """
 
 from __future__ import annotations
@@ -12,127 +14,98 @@ import numpy as np
 
 from .common import mix64, powers
 
-#: Distinct symbols up to which the scans go bucket by bucket; strings of more names are ranked by doubling.
-MOST_BUCKETS = 2048
-
 
 def classify(text: np.ndarray) -> np.ndarray:
-    """True where the suffix is S. The end counts as a smaller symbol, so the last suffix is L."""
+    """True where the suffix is S; the last symbol, the least of all, is S."""
     n = len(text)
-    rises = text[:-1] < text[1:]
-    level = text[:-1] == text[1:]
-    out = np.zeros(n, bool)
-    out[:-1] = rises
-    at = np.arange(n)
-    at[:-1][level] = n
+    at = np.arange(n, dtype=np.int32)
+    at[:-1][text[:-1] == text[1:]] = n - 1
     nearest = np.minimum.accumulate(at[::-1])[::-1]  # the first place from here on that isn't level with its neighbour
-    return out[nearest]
-
-
-def _scan(text: np.ndarray, wanted: np.ndarray, seeds: list[np.ndarray], symbols: int, first: int | None = None) -> list[list[np.ndarray]]:
-    """One induction: from the seeds of each bucket to the predecessors of the wanted type, bucket by bucket.
-
-    Upwards (`first` given: the suffix that the end induces), L suffixes fill buckets from the front, before the
-    seeds; downwards, S suffixes from the back. Parts of a bucket are in the order of the scan.
-    """
-    made: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    if first is not None:
-        made[int(text[first])].append(np.array([first], np.int32))
-
-    def pass_on(x: np.ndarray) -> None:
-        x = x[x > 0] - 1
-        x = x[wanted[x]]
-        if not len(x):
-            return
-        c = text[x]
-        order = np.argsort(c, kind="stable")
-        x, c = x[order], c[order]
-        cut = np.flatnonzero(c[1:] != c[:-1]) + 1
-        for s, part in zip(c[np.r_[0, cut]].tolist(), np.split(x, cut), strict=True):
-            made[s].append(part)
-
-    for c in range(symbols) if first is not None else reversed(range(symbols)):
-        k = 0
-        while k < len(made[c]):  # those that it adds to its own bucket are further waves
-            pass_on(made[c][k])
-            k += 1
-        if len(seeds[c]):
-            pass_on(seeds[c])
-    return made
-
-
-def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
-    """All suffixes in order, given the LMS ones in order (of suffixes, or of substrings for a first sorting)."""
-    none = np.zeros(0, np.int32)
-
-    def buckets(x: np.ndarray) -> list[np.ndarray]:
-        c = text[x]
-        order = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[order], np.arange(symbols + 1))
-        return [x[order[edge[k] : edge[k + 1]]] if edge[k] < edge[k + 1] else none for k in range(symbols)]
-
-    seeds = buckets(lms)
-    made = _scan(text, ~small, seeds, symbols, first=len(text) - 1)
-    larger = [np.concatenate(x) if x else none for x in made]
-    smaller = _scan(text, small, [x[::-1] for x in larger], symbols)
-    out = []
-    for c in range(symbols):
-        out.append(larger[c])
-        if smaller[c]:
-            out.append(np.concatenate(smaller[c])[::-1])
-    return np.concatenate(out)
-
-
-def _doubling(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of a string of many names."""
-    n = len(names)
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        key = rank * (n + 1)
-        key[:-step] += rank[step:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.r_[0, np.cumsum(key[order][1:] != key[order][:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if new[-1] == n - 1 or step >= n:
-            return order
-
-
-def suffix_array(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
-    """Start places of the suffixes of a string of small integers, in order; a prefix comes before what it begins."""
+    rises = np.ones(n, bool)
+    rises[:-1] = text[:-1] < text[1:]
+    return rises[nearest]
+
+
+def _stable(keys: np.ndarray) -> np.ndarray:
+    """Stable order of numbers from 0, by counting passes of 16 bits."""
+    most = int(keys.max()) if len(keys) else 0
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    shift = 16
+    while most >> shift:
+        order = order[np.argsort((keys[order] >> shift).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
+def _by_runs(digits: np.ndarray, places: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Suffixes of one type in order; places: theirs, by the rank of what their runs end in, run: how far that is."""
+    by = _stable(run)
+    places, run = places[by], run[by]
+    edge = np.searchsorted(run, np.arange(1, int(run[-1]) + 2)) if len(run) else np.zeros(1, np.int64)
+    here = places[:0]
+    for k in range(len(edge) - 1, 0, -1):
+        # those whose runs end k places on join in, in the order of what they end in
+        here = np.concatenate([places[edge[k - 1] : edge[k]], here])
+        here = here[_stable(digits[here + k])]
+    return here[_stable(digits[here])]
+
+
+def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes in order, given the LMS ones in order (of suffixes, or of first symbols for a sorting of substrings)."""
+    n = len(text)
+    digits = text * np.int32(2) + small  # of equal symbols, L comes before S
+    digits = digits.astype(np.uint16) if int(text.max()) < 1 << 15 else digits
+    rank = np.zeros(n, np.int32)
+
+    def of(kind: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Suffixes of a kind, induced from those at `ends`, in order, of which each run ends in the next of the others."""
+        rank[ends] = np.arange(len(ends), dtype=np.int32)
+        stop = np.where(others, np.arange(n, dtype=np.int32), np.int32(n))
+        stop = np.minimum.accumulate(stop[::-1])[::-1]
+        places = np.flatnonzero(kind).astype(np.int32)
+        stop = stop[places]
+        by = _stable(rank[stop])
+        return _by_runs(digits, places[by], (stop - places)[by])
+
+    larger = of(~small, lms, small)
+    rest = small.copy()
+    rest[-1] = False  # the end, the first of all, is induced by none
+    smaller = np.r_[np.int32(n - 1), of(rest, larger, ~small)]
+    both = np.concatenate([larger, smaller])
+    return both[_stable(digits[both])]
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Start places of the suffixes of a string of small integers from 0, in order; a prefix comes before what it begins."""
+    return _sorted(np.r_[text.astype(np.int32) + 1, np.int32(0)])[1:]
+
+
+def _sorted(text: np.ndarray) -> np.ndarray:
+    """The same of a string that ends in its one least symbol."""
     n = len(text)
-    if n < 2:
-        return np.arange(n)
-    symbols = int(text.max()) + 1 if symbols is None else symbols
-    if symbols > MOST_BUCKETS:
-        return _doubling(text)
-    text = text.astype(np.int16)
+    if n == 1:
+        return np.zeros(1, np.int32)
     small = classify(text)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if len(lms) > 1:
-        order = _induce(text, small, lms, symbols)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        order = order[is_lms[order]]
-        # names: equal for equal substrings up to the next LMS place, compared by hash and length
-        end = np.minimum(np.r_[lms[1:], n - 1] + 1, n)
-        wide = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix64(text.astype(np.uint64) + np.uint64(1)) * powers(n), out=wide[1:])
-        mark = mix64((wide[end] - wide[lms]) * powers(n, inverse=True)[lms] + (end - lms).astype(np.uint64))
-        mark[-1] = mix64(mark[-1:] + np.uint64(1))[0]  # the last one ends at the end
-        at = np.empty(n, np.int64)
-        at[lms] = np.arange(len(lms))
-        seq = at[order]
-        new = np.r_[0, np.cumsum(mark[seq][1:] != mark[seq][:-1])]
-        if new[-1] + 1 < len(lms):
-            names = np.empty(len(lms), np.int64)
-            names[seq] = new
-            lms = lms[suffix_array(names, int(new[-1]) + 1)]
-        else:
-            lms = order
-    return _induce(text, small, lms, symbols)
+    order = _induce(text, small, lms[_stable(text[lms])])
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    order = order[is_lms[order]]
+    # names: equal for equal substrings up to the next LMS place, compared by hash and length
+    end = np.r_[lms[1:], n - 1] + 1
+    wide = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix64(text.astype(np.uint64) + np.uint64(1)) * powers(n), out=wide[1:])
+    mark = mix64((wide[end] - wide[lms]) * powers(n, inverse=True)[lms] + (end - lms).astype(np.uint64))
+    del wide
+    at = np.empty(n, np.int32)
+    at[lms] = np.arange(len(lms), dtype=np.int32)
+    seq = at[order]
+    new = np.r_[0, np.cumsum(mark[seq][1:] != mark[seq][:-1])].astype(np.int32)
+    if new[-1] + 1 < len(lms):
+        names = np.empty(len(lms), np.int32)
+        names[seq] = new
+        order = lms[_sorted(names)]
+    return _induce(text, small, order)
 
 
 def permuted_common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

@@ -13,7 +13,6 @@ import pytest
 
 from gridloom.llm import op1_mixing, op2_token_counts, op3_media_columns, op4_bpe_codec, op5_imatch, op6_minhash_dedup, op7_quality_lm, op8_language_id, op9_suffix_dedup, op10_toxicity
 from gridloom.llm.suffix_array import permuted_common_prefixes, suffix_array
-from gridloom.llm import suffix_array as sa_module
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, start string"
 
@@ -404,14 +403,17 @@ def test_language_table(docs, nothing):
     assert op8_language_id.identify(nothing, op8_language_id.train(nothing)).count() == 0
 
 
-def test_suffix_array(monkeypatch):
+def test_suffix_array():
     rng = np.random.default_rng(0)
-    for most in (2048, 3):
-        monkeypatch.setattr(sa_module, "MOST_BUCKETS", most)
-        for _ in range(150):
-            t = rng.integers(0, int(rng.integers(1, 5)), int(rng.integers(1, 60)))
-            order = suffix_array(t)
-            assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    for _ in range(300):
+        t = rng.integers(0, int(rng.integers(1, 6)), int(rng.integers(0, 60)))
+        assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    # repeats, so that names recur over several levels, and more symbols than 16 bits hold
+    for most in (2, 70_000, 1 << 20):
+        t = rng.integers(0, most, 3000)
+        t[700:1500] = t[1600:2400]
+        t[100:200] = 1
+        assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
     data = rng.integers(97, 99, 300).astype(np.uint8)
     order = suffix_array(data.astype(np.int64) + 1)
     plcp = permuted_common_prefixes(data, order, 16)
@@ -422,22 +424,65 @@ def test_suffix_array(monkeypatch):
         assert plcp[j] == k or max(i, j) + 16 > 300
 
 
-def test_repeated_passages(docs, nothing):
-    first, want = {}, {}
-    for i, t, *_ in sorted(corpus()):
+def brute_passages(rows):
+    """By row (id, text): n_bytes, n_removed, n_spans and what is left."""
+    first, want = {}, []
+    for i, t in sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0]):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, t in rows:
         b = (t or "").encode()
         covered = bytearray(len(b))
         for k in range(len(b) - 49):
-            if first.setdefault(b[k : k + 50], i) < i:
+            if i is not None and first[b[k : k + 50]] < i:
                 covered[k : k + 50] = b"\1" * 50
         runs = len(re.findall(b"\1+", bytes(covered)))
-        want[i] = (len(b), sum(covered), runs, bytes(c for c, v in zip(b, covered, strict=True) if not v))
-    assert sum(w[1] for w in want.values()) > 1000
-    for r in op9_suffix_dedup.suffix_dedup(docs, keep=["source"]).collect():
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) == want[r["doc_id"]]
+        want.append((i, len(b), sum(covered), runs, bytes(c for c, v in zip(b, covered, strict=True) if not v)))
+    return sorted(want, key=repr)
+
+
+def passages_of(df):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in op9_suffix_dedup.suffix_dedup(df).collect()), key=repr)
+
+
+def test_repeated_passages(docs, nothing):
+    want = brute_passages([(r[0], r[1]) for r in corpus()])
+    assert sum(w[2] for w in want) > 1000 and passages_of(docs) == want
     assert op9_suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+def test_passage_in_every_document(spark, monkeypatch):
+    """One line that all documents have between texts of their own: its anchors are hot, and fall apart into strings."""
+    rng = random.Random(21)
+    line = "all rights reserved by the makers of this invented text, wherever"
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(30, 90)))
+    rows = [(i, own() + line + own()) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_passages(rows)
+    assert sum(w[2] > 0 for w in want) == 119
+    for most in (1 << 20, 2000, 0):
+        monkeypatch.setattr(op9_suffix_dedup, "HOT_BYTES", most)
+        monkeypatch.setattr(op9_suffix_dedup, "COUNTED", 1)
+        assert passages_of(df) == want
+
+
+def test_passages_of_odd_rows(spark):
+    """Repeated, null and string ids, a very long text, columns with the operator's own names."""
+    rng = random.Random(22)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, long = own(80), own(200_000)
+    rows = [(1, own(40) + shared), (2, own(60) + shared + own(60)), (2, own(300)), (None, shared), (3, shared), (3, shared), (4, long), (5, own(30) + long[5000:90_000]), (6, None), (7, ""), (8, "ü" * 60), (9, "ü" * 60)]
+    assert passages_of(spark.createDataFrame(rows, "doc_id long, text string")) == brute_passages(rows)
+    names = ["id", "x", "keep", "packed", "n_bytes", "kept_bytes"]
+    df = spark.createDataFrame([(i, t, *range(6)) for i, t in rows], f"doc_id int, text string, {', '.join(f'{c} int' for c in names)}")
+    out = op9_suffix_dedup.suffix_dedup(df, keep=[*names, "text"])
+    assert out.columns == ["doc_id", "id", "x", "keep", "packed", "_n_bytes", "_kept_bytes", "text", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
+    assert all((r["id"], r["x"], r["_n_bytes"], len((r["text"] or "").encode())) == (0, 1, 4, r["n_bytes"]) for r in out.collect()) and out.count() == len(rows)
+    with pytest.raises(ValueError):
+        op9_suffix_dedup.suffix_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(11)
     clean = ["".join(rng.choice(["ta", "re", "lin", "os", "mu"]) for _ in range(3)) for _ in range(150)]
