@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -28,21 +30,33 @@ def crc32_mod(id_col: str, mod: int) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir.
-
-    Sets a folder only where the session has none (tests, local runs), because a cluster names
-    its own shared one.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Cut the lineage by a checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: What a Python worker keeps of the operator that it last worked for.
+_HELD: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What this worker keeps of an operator from task to task. Workers are reused by all stages of a
+    session, so what another operator has left goes first, and its memory back to the system."""
+    if operator not in _HELD:
+        _HELD.clear()
+        _POWERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not this C library
+            pass
+        _HELD[operator] = {}
+    return _HELD[operator]
+
+
 def chunks(lengths: np.ndarray, most: int = CHUNK_BYTES):
     """Row ranges of about `most` bytes each; at least one row each."""
     ends = np.cumsum(lengths)
@@ -88,6 +102,8 @@ _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+#: Powers that a worker keeps; more, for a long text, are made anew.
+KEPT_POWERS = 1 << 21
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -101,6 +117,8 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         while filled < size:
             out[filled : 2 * filled] = out[:filled] * np.uint64(step)
             filled, step = 2 * filled, step * step & _M
+        if size > KEPT_POWERS:
+            return out[:n]
         _POWERS[key] = out
     return _POWERS[key][:n]
 
@@ -150,8 +168,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder. Where neither is
+    set, a temporary one of a local session; on a cluster, whose machines would each write to their own, a RuntimeError."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
 
 
 def stashed(df: DataFrame) -> DataFrame:

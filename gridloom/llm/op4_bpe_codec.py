@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_documents, strings, sub_batches
+from .common import read_documents, strings, sub_batches, worker_cache
 
 #: Trie nodes, remembered words and tested pairs after which a worker starts afresh.
 NODES, WORDS, PAIRS = 250_000, 60_000, 250_000
@@ -177,14 +177,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u200
 CONTROL = regex.compile("[\x1c-\x1f]").search
 SPLIT = regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def _model(path: str | Callable[[], str]) -> WordBpe:
-    path = path() if callable(path) else path
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    path, held = path() if callable(path) else path, worker_cache("bpe")
+    if path not in held:
+        held[path] = WordBpe(path)
+    return held[path]
 
 
 def _map(docs: DataFrame, id_col: str, text_col: str, names: list[str], types: list, make: Callable, path) -> DataFrame:

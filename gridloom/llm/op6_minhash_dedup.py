@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, buffers, connected_components, lower_ascii, mix64, prefix_hash, read_documents, span_hash, stashed, sub_batches, word_spans
+from .common import bounded, buffers, connected_components, lower_ascii, mix64, prefix_hash, read_documents, span_hash, stashed, sub_batches, word_spans, worker_cache
 
 WORDS = 5
 #: Bands and coordinates of each: a pair at similarity 0.75 shares no band with probability 5e-6.
@@ -93,6 +93,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, d1, d2, bands): set size, a 128-bit digest of the set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near copies")
         for batch in (s for b in batches for s in sub_batches(b, 1)):
             sets, off = shingle_sets(*buffers(batch.column(1)))
             size = np.diff(off)
@@ -124,6 +125,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     n = max(8, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near copies")
         held = (None, None, np.zeros(0, np.uint64))
         for batch in (s for b in batches for s in sub_batches(b, 4)):
             sets, off = shingle_sets(*buffers(batch.column(4)))

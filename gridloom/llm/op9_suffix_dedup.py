@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, buffers, mix64, powers, prefix_hash, read_documents, span_hash, stashed, sub_batches
+from .common import bounded, buffers, mix64, powers, prefix_hash, read_documents, span_hash, stashed, sub_batches, worker_cache
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 SPAN, GRAM = 50, 12
@@ -76,13 +76,15 @@ def sides(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray
     return np.stack([mix64(a + np.uint64(1)), mix64(b + np.uint64(2))]), np.stack([left, right])
 
 
-def _pack(x: np.ndarray) -> np.ndarray:
-    """The low half of each hash, four bytes each."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4)
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers byte by place, which packs well; nothing if all are 0."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if x.any() else b""
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<u4").astype(np.uint64)
+def _unpack(parts: list[bytes], kind: str, counts: list[int]) -> np.ndarray:
+    """Numbers of a kind, so many of each part."""
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.frombuffer(p, np.uint8).reshape(width, n).T.copy().view(kind).ravel() if p else np.zeros(n, kind) for p, n in zip(parts, counts, strict=True)])
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -96,6 +98,7 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("passages")
         for batch in (s for b in batches for s in sub_batches(b, 2)):
             ids, x = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             data, off = buffers(batch.column(2))
@@ -117,16 +120,16 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
             for pick, sign in ((~known, 1), (known, -1)):
                 k, d, own = h[pick], doc[pick], shard[pick]
                 edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
-                packed, owners, others = _pack(k), ids[d], x[d]
+                columns = k.astype("<u4"), ids[d], x[d]
                 cut = list(zip(edge, edge[1:], strict=False))
                 number = own[edge[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(number), pa.array(number if sign > 0 else -1 - mix64((number + ids[0]).astype(np.uint64)).astype(np.int64) % shards), *(pa.array([y[a:b].tobytes() for a, b in cut], pa.binary()) for y in (packed, owners, others))],
-                    names=["shard", "part", "keys", "ids", "x"],
+                    [pa.array(number), pa.array(number if sign > 0 else -1 - mix64((number + ids[0]).astype(np.uint64)).astype(np.int64) % shards), pa.array(np.diff(edge)), *(pa.array([_pack(y[a:b]) for a, b in cut], pa.binary()) for y in columns)],
+                    names=["shard", "part", "n", "keys", "ids", "x"],
                 )
 
-    def meet(shard: int, part: int, keys: list[bytes], ids: list[bytes], x: list[bytes]) -> pa.RecordBatch:
-        key, owner, other = _unpack(b"".join(keys)), *(np.frombuffer(b"".join(y), np.int64) for y in (ids, x))
+    def meet(shard: int, part: int, n: list[int], keys: list[bytes], ids: list[bytes], x: list[bytes]) -> pa.RecordBatch:
+        key, owner, other = _unpack(keys, "<u4", n).astype(np.uint64), _unpack(ids, "<i8", n), _unpack(x, "<i8", n)
         if part >= 0:
             order = np.lexsort((owner, key))
             key, owner, other = key[order], owner[order], other[order]
@@ -148,7 +151,7 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
         if rows:
             yield meet(*held, *zip(*rows, strict=True))
 
-    parts = docs.select("id", "x", "text").mapInArrow(emit, "shard long, part long, keys binary, ids binary, x binary")
+    parts = docs.select("id", "x", "text").mapInArrow(emit, "shard long, part long, n long, keys binary, ids binary, x binary")
     return parts.repartition(shards, "part").sortWithinPartitions("part", "shard").mapInArrow(gather, "id long, x long, key long")
 
 
@@ -286,6 +289,7 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
     """segs: distinct segments (h, mark, content, least). (mark, size, at, least): runs of strings of each distinct segment with the least id in which they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("passages")
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
