@@ -4,7 +4,9 @@ A suffix automaton of labelled text per language accepts exactly the substrings
 document is parsed against each automaton into phrases, each the longest match from where the one
 before ended; phrases times log2(training length) a symbol estimate the cross entropy, and the
 language with the least wins. Automata stand in numpy tables, dense or, for large alphabets, sorted by
-state and symbol, and all blocks of a batch advance one symbol at a time together.
+state and symbol. All blocks of a batch are parsed side by side, each from its start; then the phrase that
+leaves a block is followed into the next until it meets a place where that block's own parse begins a phrase too,
+from where both are the same. So the phrases counted are those of the whole text, parsed from its beginning.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc32_mod, read_documents, strings, sub_batches
+from .common import bounded, crc32_mod, read_documents, strings, sub_batches, worker_cache
 
-#: The bound of the training sample: documents a language, and characters of each, half from either end.
-DOCS, CHARS = 64, 400
+#: The bound of the training sample: documents a language, taken whole; those whose length is nearest to TYPICAL characters.
+DOCS, TYPICAL = 24, 1500
 #: Cells of a dense table; an automaton that needs more holds its transitions alone.
 DENSE = 1 << 22
-#: A phrase ends where a block of so many symbols ends, so that blocks are parsed side by side.
-BLOCK = 256
+#: Symbols of a block.
+BLOCK = 512
 #: How fast the score falls with a rival's entropy, in bits a symbol.
 SHARPNESS = 8.0
 UNDETERMINED = "und"
@@ -109,35 +111,65 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def phrases(table: np.ndarray | Sparse, blocks: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Phrases in each column of `blocks`, of the given lengths, which don't rise."""
+def phrases(table: np.ndarray | Sparse, sym: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Phrases of each text; `sym` holds the symbols of all texts end to end, `ends` where they end."""
     if isinstance(table, Sparse):
         step = table.step
     else:
         flat, width = table.ravel(), table.shape[1]
         step = lambda state, c: flat[state * width + c].astype(np.int64)
-    n = np.zeros(blocks.shape[1], np.int64)
-    state = np.zeros(blocks.shape[1], np.int64)
-    for k in range(blocks.shape[0]):
-        m = int(np.searchsorted(-length, -k, side="left"))
-        if not m:
-            break
-        c = blocks[k, :m]
-        was = state[:m]
-        now = step(was, c)
-        end = now == 0
-        start = step(0, c)
-        n[:m] += end & (was != 0)
-        n[:m] += end & (start == 0)
-        state[:m] = np.where(end, start, now)
-    return n + (state != 0)
+    size = np.diff(ends, prepend=0)
+    per = -(-size // block)
+    owner = np.repeat(np.arange(len(ends)), per)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    begin = (ends - size)[owner] + block * number
+    end = np.minimum(begin + block, ends[owner])
+    starts = np.zeros(len(sym) + 1, bool)
+
+    def parse(pos: np.ndarray, limit: np.ndarray, halt: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """From `pos` on: the first start of a phrase at which `halt` is true (or that stands at `limit` or behind), and the phrases up to there."""
+        stop, many = limit.copy(), np.zeros(len(pos), np.int64)
+        final = ends[owner]
+        lane, pos, state = np.arange(len(pos)), pos.copy(), np.zeros(len(pos), np.int64)
+        while len(lane):
+            over = pos >= final[lane]
+            c = sym[np.minimum(pos, len(sym) - 1)]
+            now = step(state, c)
+            fresh = (state == 0) | (now == 0) | over
+            done = fresh & (over | (pos >= limit[lane] if halt is None else halt[pos]))
+            if done.any():
+                stop[lane[done]] = np.minimum(pos[done], final[lane[done]])
+                go = ~done
+                lane, pos, c, now, fresh, state = lane[go], pos[go], c[go], now[go], fresh[go], state[go]
+            if halt is None:
+                starts[pos[fresh]] = True
+            many[lane[fresh]] += 1
+            state = np.where((now == 0) & (state != 0), step(0, c), now)
+            pos = pos + 1
+        return stop, many
+
+    leave, _ = parse(begin, end, None)
+    meet, between = parse(leave, leave, starts)
+    before = np.r_[0, np.cumsum(starts)]
+    out = np.zeros(len(ends), np.int64)
+    # along the blocks in which the parse of a text meets those of its blocks
+    first = np.cumsum(per) - per
+    text = np.flatnonzero(per)
+    at, place = first[text], (ends - size)[text]
+    while len(text):
+        out[text] += before[end[at]] - before[place] + between[at]
+        place = meet[at]
+        go = place < ends[text]
+        text, place = text[go], place[go]
+        at = first[text] + (place - (ends - size)[text]) // block
+    return out
 
 
 class LanguageModel:
-    """Automata by language, learned from (language, text) samples."""
+    """Automata by language, learned from (language, text) samples. The samples travel to the workers, which build the automata themselves."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+        self.samples, self.langs = samples, sorted(samples)
         self.alphabet = Alphabet([t for x in samples.values() for t in x])
         self.tables, self.bits = [], []
         for lang in self.langs:
@@ -145,10 +177,13 @@ class LanguageModel:
             self.tables.append(suffix_automaton(text, self.alphabet.size))
             self.bits.append(np.log2(max(2, len(text))))
 
+    def __reduce__(self):
+        return _known_model, (self.samples,)
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, score) of each text; ties go to the first language by code point."""
         codes = [_codes(t) for t in texts]
-        lengths = np.array([len(c) for c in codes])
+        lengths = np.array([len(c) for c in codes], np.int64)
         joined = np.concatenate([*codes, np.zeros(0, np.uint32)])
         doc = np.repeat(np.arange(len(texts)), lengths)
         has = np.zeros(len(texts), bool)
@@ -160,15 +195,8 @@ class LanguageModel:
         keep[1:] = (sym[1:] != 1) | (sym[:-1] != 1) | (doc[1:] != doc[:-1])
         sym, doc = sym[keep], doc[keep]
         size = np.bincount(doc, minlength=len(texts))
-        per = -(-size // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), per)
-        first = np.r_[0, np.cumsum(size)[:-1]][owner] + BLOCK * (np.arange(len(owner)) - np.r_[0, np.cumsum(per)[:-1]][owner])
-        length = np.minimum(BLOCK, np.cumsum(size)[owner] - first)
-        order = np.argsort(-length, kind="stable")
-        owner, first, length = owner[order], first[order], length[order]
-        at = np.minimum(first + np.arange(BLOCK)[:, None], max(0, len(sym) - 1))
-        blocks = sym[at] if len(sym) else np.zeros((BLOCK, 0), np.uint8)
-        need = np.stack([np.bincount(owner, phrases(t, blocks, length), len(texts)) * b for t, b in zip(self.tables, self.bits, strict=True)], 1)
+        ends = np.cumsum(size)
+        need = np.stack([phrases(t, sym, ends) * b for t, b in zip(self.tables, self.bits, strict=True)], 1)
         need /= np.maximum(1, size)[:, None]
         best = need.argmin(1)
         share = np.exp2(SHARPNESS * (need.min(1)[:, None] - need))
@@ -176,28 +204,45 @@ class LanguageModel:
         return [(self.langs[b], float(s)) if h else (UNDETERMINED, 0.0) for b, s, h in zip(best, score, has, strict=True)]
 
 
+def _known_model(samples: dict[str, list[str]]) -> LanguageModel:
+    """The model of a worker's last task, if it is the same."""
+    held = worker_cache("language")
+    if "model" not in held or held["model"].samples != samples:
+        held["model"] = LanguageModel(samples)
+    return held["model"]
+
+
 def _squeeze(sym: np.ndarray) -> np.ndarray:
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != 1) | (sym[:-1] != 1)
     return sym[keep]
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = DOCS, chars: int = CHARS) -> LanguageModel:
-    """Fit on at most `docs` documents a language (least by hash of id) and `chars` characters of each."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    ranked = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs).select("id").distinct()
-    picked = F.broadcast(picked)  # at most `docs` rows a language
-    sample = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.concat_ws("\n", F.substring(text_col, 1, chars // 2), F.substring(text_col, -(chars // 2), chars // 2)).alias("text")).join(picked, "id", "left_semi").distinct()
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = DOCS, typical: int = TYPICAL) -> LanguageModel:
+    """Fit on at most `docs` different texts a language, whole: those whose length is nearest to `typical` characters by powers of 2, then least by hash.
+
+    Rows without language or without text are left out; equal texts of a language are one, whatever their ids. An empty
+    table gives a model without languages. Other columns are not read.
+    """
+    text = F.col(text_col)
+    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(lang_col).alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))
+    far = F.floor(F.abs(F.log2(F.length("text") / typical))).alias("far")
+    different = rows.select("lang", "h", far).distinct()
+    ranked = different.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("far", "h")))
+    picked = bounded(ranked.where(F.col("r") <= docs).select("lang", "h"), 100_000)
+    sample = rows.join(picked, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["id"], r["text"])):
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"])):  # `docs` rows a language
         samples.setdefault(r["lang"], []).append(r["text"])
-    return LanguageModel({lang: t[:docs] for lang, t in samples.items()})
+    return LanguageModel(samples)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row: the id, the columns in `keep`, lang_pred, score. `und` and score 0 for a text that is null or has no letter."""
+    """One row per row: the id, the columns in `keep`, lang_pred, score. `und` and score 0 for a text that is null or has no letter.
+
+    Texts are parsed whole whatever their length, and equal texts have equal results; ties go to the first language by code
+    point. Null and repeated ids keep their rows; an empty table gives an empty result. Columns not in `keep` are not read.
+    """
     schema = {c: docs.schema[c].dataType.simpleString() for c in [id_col, *(keep or [])]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
