@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc32_mod, prefix_hash, read_documents, span_hash, strings, sub_batches
+from .common import crc32_mod, prefix_hash, read_documents, span_hash, stashed, strings, sub_batches
 
-#: The bound of the training sample: documents of each label, and the longest text taken.
-DOCS, LONGEST = 1200, 12_000
+#: The bound of the training sample: documents of each label, taken whole.
+DOCS = 1200
 BUCKETS, DIM, WINDOW = 1 << 18, 4, 8
 GRAMS = (3, 4, 5)
 #: Chi-squared between an n-gram's documents and the labels, from which it is learned.
@@ -228,23 +228,33 @@ def _embed(texts: list[str], y_doc: np.ndarray, rounds: int, steps: int, seed: i
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = DOCS, longest: int = LONGEST) -> ToxicityModel:
-    """Fit on at most `most` documents of each label (least by hash of id) of at most `longest` characters.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = DOCS) -> ToxicityModel:
+    """Fit on at most `most` documents of each label, whole: those of the least hashes of id.
 
-    Rows with a null id or label are left out; an id with both labels counts as toxic.
+    Rows with a null id or label, or without text, are left out; an id with both labels counts as toxic, and of texts
+    with one id the least stands for it. Without labelled text all score alike. Other columns are not read.
     """
     label = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    text = docs.where(F.length(text_col).between(1, longest)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    both = label.join(text.select("id").distinct(), "id", "left_semi")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    picked = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("id", "y")
-    rows = text.join(F.broadcast(picked), "id").dropDuplicates(["id"]).collect()  # `most` rows a label
+    text = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    both = stashed(label.join(text.select("id").distinct(), "id", "left_semi").withColumn("h", F.xxhash64("id")))
+    # of hashes spread evenly, these hold about four times as many as are taken, so that no window sees a whole label
+    count = {r["y"]: r["count"] for r in both.groupBy("y").count().collect()}  # a row a label
+    reach = F.lit(False)
+    for y, n in count.items():
+        reach |= (F.col("y") == y) & (F.col("h") <= -(1 << 63) + min((1 << 64) - 1, 4 * most * (1 << 64) // n))
+    order = Window.partitionBy("y").orderBy("h", "id")
+    picked = both.where(reach).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).select("id", "y")
+    rows = text.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # `most` rows a label
     rows.sort(key=lambda r: r["id"])
     return fit([r["text"] for r in rows], [r["y"] for r in rows])
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row: the id, score (0 to 1), predicted (1 from `threshold`). A null text scores as an empty one."""
+    """One row per row: the id, score (0 to 1), predicted (1 from `threshold`). A null text scores as an empty one.
+
+    Whole texts are scored whatever their length, equal ones alike. Null and repeated ids keep their rows; an empty table
+    gives an empty result. Other columns are not read.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

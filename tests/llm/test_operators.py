@@ -91,7 +91,7 @@ def test_token_counts(docs, nothing):
     assert op2_token_counts.token_counts(nothing, op2_token_counts.tokenizer_path).count() == 0
 
 
-@pytest.mark.parametrize("text", ["  a   b ", " " * 40 + "x\n\n\t y", "東京 タワー́ é €5 🎉 123456 <s> </s>", "ab" * 3000, "▁x▁▁y", "\x00", "   " * 7])
+@pytest.mark.parametrize("text", ["  a   b ", " " * 40 + "x\n\n\t y", "東京 タワー́ é €5 🎉 123456 <s> </s>", "ab" * 3000, "▁x▁▁y", "\x00", "   " * 7, "-" * 3000, " " * 15 + "x" + " " * 5001, "unbrokenlettersofanykind" * 90, "aB3/" * 700])
 def test_token_counts_of_odd_texts(text):
     import sentencepiece
 
@@ -113,6 +113,47 @@ def test_media(docs, nothing):
     assert op3_media_columns.media_features(op3_media_columns.encode_media(nothing)).count() == 0
 
 
+def test_media_feature():
+    """The hash against means and cosine sums taken one by one, and filtered rows in what the query stores."""
+    rng = random.Random(5)
+    for t in ("", "short", " ".join(rng.choice(["re", "lina", "os"]) for _ in range(900)), "x" * 5000):
+        payload = op3_media_columns.pad(t.encode())
+        png = op3_media_columns.to_png(payload)
+        pixels = [list(payload[k : k + 24]) for k in range(0, len(payload), 24)]
+        assert op3_media_columns.from_png(png).tolist() == pixels
+        h = len(pixels)
+        small = [[0.0] * 24 for _ in range(24)]
+        for y in range(24):
+            part = pixels[y * h // 24 : (y + 1) * h // 24]
+            for x in range(24):
+                small[y][x] = sum(r[x] for r in part) / len(part)
+        low = []
+        for u in range(8):
+            for v in range(8):
+                low.append(round(sum(small[y][x] * math.cos(math.pi / 24 * (y + 0.5) * u) * math.cos(math.pi / 24 * (x + 0.5) * v) for y in range(24) for x in range(24)), 6))
+        middle = sorted(low[1:])[31]
+        bits = "".join(str(int(x > middle)) for x in low)
+        assert op3_media_columns.cosine_hash(op3_media_columns.from_png(png)) == f"{int(bits, 2):016x}"
+    raw = zlib.decompress(op3_media_columns.to_png(op3_media_columns.pad(bytes(range(97, 123)) * 100))[41:-16])
+    assert len(set(raw[::25])) > 1
+
+
+def test_png_of_all_filters():
+    """Every filter after every other, also in the first row."""
+    rng = np.random.default_rng(8)
+    for order in (range(5), (4, 4, 3, 2, 2, 0, 2, 1, 2, 3), (2, 2, 1), (3,)):
+        pixels = rng.integers(0, 256, (30, 24)).astype(np.uint8)
+        raw, kinds = np.zeros((30, 24), np.uint8), np.array([order[k % len(order)] for k in range(30)])
+        for i in range(30):
+            for j in range(24):
+                left, up = int(pixels[i, j - 1]) if j else 0, int(pixels[i - 1, j]) if i else 0
+                corner = int(pixels[i - 1, j - 1]) if i and j else 0
+                p = left + up - corner
+                guess = (0, left, up, (left + up) // 2, min((left, up, corner), key=lambda v, p=p: abs(p - v)))[kinds[i]]
+                raw[i, j] = (int(pixels[i, j]) - guess) % 256
+        assert (op3_media_columns._unfilter(kinds, raw) == pixels).all()
+
+
 def test_png_filters_and_damage():
     rng = np.random.default_rng(1)
     pixels = rng.integers(0, 256, (12, 9)).astype(np.uint8)
@@ -365,19 +406,24 @@ def test_language():
 
 
 def test_cross_parsing_counts_longest_matches():
+    """Phrases of several texts over many blocks against a plain parse; also of texts that the automaton knows in whole."""
     rng = np.random.default_rng(4)
     text = rng.integers(1, 5, 80)
-    table = op8_language_id.suffix_automaton(text, 6)
     known = {tuple(text[i:j]) for i in range(80) for j in range(i + 1, 81)}
-    other = rng.integers(1, 6, 60).astype(np.uint8)
-    n = at = 0
-    while at < 60:
-        size = 0
-        while at + size < 60 and tuple(other[at : at + size + 1]) in known:
-            size += 1
-        at += max(1, size)
-        n += 1
-    assert op8_language_id.phrases(table, other[:, None], np.array([60]))[0] == n
+    others = [rng.integers(1, 6, n).astype(np.uint8) for n in (60, 0, 1, 300)] + [text[10:70].astype(np.uint8), np.tile(text[5:45], 4).astype(np.uint8), np.full(90, 5, np.uint8)]
+    want = []
+    for other in others:
+        n = at = 0
+        while at < len(other):
+            size = 0
+            while at + size < len(other) and tuple(other[at : at + size + 1]) in known:
+                size += 1
+            at += max(1, size)
+            n += 1
+        want.append(n)
+    for cells in (op8_language_id.suffix_automaton(text, 6), op8_language_id.Sparse([{int(c): int(s) for c, s in enumerate(row) if s} for row in op8_language_id.suffix_automaton(text, 6)], 6)):
+        for block in (1, 3, 7, 64, 512):
+            assert op8_language_id.phrases(cells, np.concatenate(others), np.cumsum([len(x) for x in others]), block).tolist() == want
 
 
 def test_languages_of_many_letters(monkeypatch):
@@ -398,9 +444,45 @@ def test_languages_of_many_letters(monkeypatch):
 
 def test_language_table(docs, nothing):
     model = op8_language_id.train(docs)
-    rows = op8_language_id.identify(docs, model).collect()
-    assert len(rows) == len(corpus()) and {r["lang_pred"] for r in rows} <= {"en", "de", "und"}
+    rows = {r["doc_id"]: r for r in op8_language_id.identify(docs, model).collect()}
+    assert len(rows) == len(corpus())
+    # every row against the plain parse of its whole text
+    alphabet = model.alphabet
+    symbols = lambda t: op8_language_id._squeeze(alphabet.symbols(op8_language_id._codes(t)))
+    learned = {lang: "".join(map(chr, symbols("".join(t + "\n" for t in model.samples[lang])))) for lang in model.langs}
+    assert model.langs == ["de", "en"] and all(len(x) <= op8_language_id.DOCS for x in model.samples.values())
+    for i, t, *_ in corpus():
+        if not any(c.isalpha() for c in t or ""):
+            assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0)
+            continue
+        other, need = "".join(map(chr, symbols(t))), []
+        for lang in model.langs:
+            n = at = 0
+            while at < len(other):
+                size = 0
+                while at + size < len(other) and other[at : at + size + 1] in learned[lang]:
+                    size += 1
+                at, n = at + max(1, size), n + 1
+            need.append(n * math.log2(len(learned[lang])) / len(other))
+        assert rows[i]["lang_pred"] == model.langs[need.index(min(need))]
+        assert rows[i]["score"] == pytest.approx(1 / sum(2 ** (8 * (min(need) - x)) for x in need))
     assert op8_language_id.identify(nothing, op8_language_id.train(nothing)).count() == 0
+    odd = [(None, "abc def", "en"), (None, "abc def", "en"), (5, None, "en"), (5, "ghi", None), (6, "  ", "de")]
+    odd = docs.sparkSession.createDataFrame(odd, "doc_id long, text string, lang string")
+    assert op8_language_id.train(odd).samples == {"en": ["abc def"]} and op8_language_id.identify(odd, model, keep=["lang"]).count() == 5
+
+
+def test_language_query(spark, tmp_path):
+    """held_out by the remainder; only labelled rows outside are learned from."""
+    rng = random.Random(31)
+    make = lambda a: " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(80))
+    rows = [(i, make("abcde" if i % 2 else "vwxyz"), ("one" if i % 2 else "two")) for i in range(60)]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    rows = [(i, t, "wrong" if held[i] else x) for i, t, x in rows] + [(None, make("abcde"), "one")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op8_language_id.op8_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 61 and all(r["held_out"] == held.get(r["doc_id"], False) for r in got)
+    assert all(r["lang_pred"] == ("one" if r["doc_id"] is None or r["doc_id"] % 2 else "two") for r in got)
 
 
 def test_suffix_array():
@@ -500,6 +582,33 @@ def test_toxicity(spark, nothing):
     assert op10_toxicity.toxicity(nothing, model).count() == 0
 
 
+def test_toxicity_training(spark, tmp_path, monkeypatch):
+    """The sample against a plain choice of the least hashes; null, repeated and unlabelled ids; the query's held_out."""
+    rng = random.Random(13)
+    words_ = ["".join(rng.choice(["ta", "re", "lin", "os", "mu"]) for _ in range(3)) for _ in range(60)]
+    text = lambda toxic, n=20: " ".join([rng.choice(words_) for _ in range(n)] + (["vexgrub", "zorknib"] if toxic else []))
+    rows = [(i, text(i % 3 == 0, 9000 if i == 9 else 20)) for i in range(300)] + [(7, "again"), (None, "x"), (301, ""), (302, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(310)] + [(10, 1), (None, 1), (11, None)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(op10_toxicity, "fit", lambda texts, y: seen.append(list(zip(texts, y, strict=True))))
+    text_of = dict(reversed(rows))
+    text_of[7] = min(t for i, t in rows if i == 7)
+    y = {i: int(i % 3 == 0 or i == 10) for i in range(300)}
+    hashes = {r["id"]: r["h"] for r in spark.range(300).selectExpr("id", "xxhash64(id) as h").collect()}
+    for most in (5, 40, 1000):
+        op10_toxicity.train(docs, marks, most=most)
+        want = sorted(i for v in (0, 1) for i in sorted((i for i in y if y[i] == v), key=hashes.get)[:most])
+        assert seen.pop() == [(text_of[i], y[i]) for i in want]
+    monkeypatch.undo()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    got = op10_toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 300 and r["doc_id"] != 7]) > 0.97
+
+
 def test_mixture_of_null_and_shared_ids(spark, tmp_path):
     """Every row has the copies that its own words give, whatever its id."""
     import corpus_pipeline
