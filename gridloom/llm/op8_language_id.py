@@ -27,7 +27,7 @@ DOCS, TYPICAL = 24, 1500
 #: Cells of a dense table; an automaton that needs more holds its transitions alone.
 DENSE = 1 << 22
 #: Symbols of a block.
-BLOCK = 512
+BLOCK = 256
 #: How fast the score falls with a rival's entropy, in bits a symbol.
 SHARPNESS = 8.0
 UNDETERMINED = "und"
@@ -114,10 +114,10 @@ def _codes(text: str) -> np.ndarray:
 def phrases(table: np.ndarray | Sparse, sym: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Phrases of each text; `sym` holds the symbols of all texts end to end, `ends` where they end."""
     if isinstance(table, Sparse):
-        step = table.step
+        step, root = table.step, None
     else:
         flat, width = table.ravel(), table.shape[1]
-        step = lambda state, c: flat[state * width + c].astype(np.int64)
+        step, root = (lambda state, c: flat[state * width + c]), table[0]
     size = np.diff(ends, prepend=0)
     per = -(-size // block)
     owner = np.repeat(np.arange(len(ends)), per)
@@ -125,26 +125,27 @@ def phrases(table: np.ndarray | Sparse, sym: np.ndarray, ends: np.ndarray, block
     begin = (ends - size)[owner] + block * number
     end = np.minimum(begin + block, ends[owner])
     starts = np.zeros(len(sym) + 1, bool)
+    sym = np.r_[sym, sym[:1]]
 
     def parse(pos: np.ndarray, limit: np.ndarray, halt: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """From `pos` on: the first start of a phrase at which `halt` is true (or that stands at `limit` or behind), and the phrases up to there."""
-        stop, many = limit.copy(), np.zeros(len(pos), np.int64)
-        final = ends[owner]
-        lane, pos, state = np.arange(len(pos)), pos.copy(), np.zeros(len(pos), np.int64)
+        stop, many, final = limit.copy(), np.zeros(len(pos), np.int64), ends[owner]
+        lane, state = np.arange(len(pos)), np.zeros(len(pos), np.int32)
         while len(lane):
-            over = pos >= final[lane]
-            c = sym[np.minimum(pos, len(sym) - 1)]
+            over = pos >= final
+            c = sym[pos]
             now = step(state, c)
-            fresh = (state == 0) | (now == 0) | over
-            done = fresh & (over | (pos >= limit[lane] if halt is None else halt[pos]))
+            fresh = (state == 0) | (now == 0)
+            done = over | fresh & (pos >= limit if halt is None else halt[pos])
             if done.any():
-                stop[lane[done]] = np.minimum(pos[done], final[lane[done]])
+                stop[lane[done]] = pos[done]
                 go = ~done
-                lane, pos, c, now, fresh, state = lane[go], pos[go], c[go], now[go], fresh[go], state[go]
+                lane, pos, c, now, fresh, final, limit = lane[go], pos[go], c[go], now[go], fresh[go], final[go], limit[go]
             if halt is None:
                 starts[pos[fresh]] = True
-            many[lane[fresh]] += 1
-            state = np.where((now == 0) & (state != 0), step(0, c), now)
+            else:
+                many[lane[fresh]] += 1
+            state = np.where(now == 0, step(np.zeros_like(pos), c) if root is None else root[c], now).astype(np.int32)
             pos = pos + 1
         return stop, many
 
