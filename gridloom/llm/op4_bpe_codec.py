@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_documents, strings, sub_batches, worker_cache
 
-#: Trie nodes, remembered words and tested pairs after which a worker starts afresh.
-NODES, WORDS, PAIRS = 250_000, 60_000, 250_000
+#: Trie nodes, remembered words and tested pairs after which a worker starts afresh; symbols of the prefixes kept with their states.
+NODES, WORDS, PAIRS, FRONT = 250_000, 40_000, 150_000, 4
 
 
 def _byte_chars() -> list[str]:
@@ -58,8 +58,10 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words = regex.compile(PATTERN).findall
         self.apart_known: dict[int, bool] = {}
-        self.coded: dict[str, tuple[bytes, str, int]] = {}
-        self.older: dict[str, tuple[bytes, str, int]] = {}
+        #: Of the words remembered their ids and the text decoded from them.
+        self.coded: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
+        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
         self.size = {i: len(t.removesuffix(self.end)) for t, i in vocab.items()}
         self.clear()
 
@@ -67,6 +69,8 @@ class WordBpe:
         #: Child by node << 21 | character; the state of each node.
         self.next: dict[int, int] = {}
         self.state: list[int] = [-1]
+        #: The node of a prefix of FRONT symbols and the states up to it.
+        self.front: dict[str, tuple[int, list[int]]] = {}
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b, side by side, are what the merges make of their joined symbols."""
@@ -105,14 +109,18 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given in stand-in characters."""
-        node, states, follow, state = 0, [-1], self.next, self.state
-        for d in range(1, len(word)):
+        follow, state = self.next, self.state
+        known = self.front.get(word[:FRONT]) if len(word) > FRONT else None
+        node, states = (known[0], known[1].copy()) if known else (0, [-1])
+        for d in range(len(states), len(word)):
             key = node << 21 | ord(word[d - 1])
             node = follow.get(key)
             if node is None:
                 node = follow[key] = len(state)
                 state.append(self._extend(states, word, d, self.inner))
             states.append(state[node])
+            if d == FRONT:
+                self.front[word[:FRONT]] = node, states.copy()
         t = self._extend(states, word, len(word), self.last)
         at = len(word) - self.size[t]
         out = [t]
@@ -124,21 +132,26 @@ class WordBpe:
     def learn(self, words: set[str]) -> None:
         """Encode the distinct words that aren't known yet, in sorted order: depth first through the trie."""
         if len(self.coded) > WORDS:  # what is still in use moves on from the older half
-            self.older, self.coded = self.coded, {}
-        new = words - self.coded.keys()
-        kept = new & self.older.keys()
-        self.coded.update((w, self.older[w]) for w in kept)
+            self.older, self.coded, self.shown = (self.coded, self.shown), {}, {}
+        coded, shown, surface = self.coded, self.shown, self.surface.__getitem__
+        new = words - coded.keys()
+        ids_of, text_of = self.older
+        for w in new & ids_of.keys():
+            coded[w], shown[w] = ids_of[w], text_of[w]
         done: dict[str, list[int]] = {}
-        for w in sorted(new - kept):
+        for w in sorted(new - coded.keys()):
             if len(self.state) > NODES:
                 self.clear()
-            ids = []
-            for x in self.words(w):
-                code = done.get(x)
-                if code is None:
-                    code = done[x] = self.encode_word(x if x.isascii() and x.isprintable() else "".join(map(self.alphabet.__getitem__, x.encode())))
-                ids += code
-            self.coded[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(self.surface.__getitem__, ids)), len(ids)
+            if w.isascii() and w.isalpha():
+                ids = self.encode_word(w)
+            else:
+                ids = []
+                for x in self.words(w):
+                    code = done.get(x)
+                    if code is None:
+                        code = done[x] = self.encode_word(x if x.isascii() and x.isprintable() else "".join(map(self.alphabet.__getitem__, x.encode())))
+                    ids += code
+            coded[w], shown[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(surface, ids))
 
     def pieces(self, text: str) -> list[str]:
         """Runs between white space, lowered, and special strings, in order."""
@@ -155,14 +168,17 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return SPLIT(text.lower()) if CONTROL(text) else text.lower().split()
 
-    def coder(self, texts: list[list[str]]) -> Callable[[str], tuple[bytes, str, int]]:
+    def coder(self, texts: list[list[str]]) -> tuple[Callable[[str], bytes], Callable[[str], str]]:
+        """The ids of each piece of the texts, and what they decode to."""
         self.learn(set().union(*texts) - self.special.keys())
-        table = self.coded | {s: (struct.pack("<I", i), s, 1) for s, i in self.special.items()} if any(s in t for t in texts for s in self.special) else self.coded
-        return table.__getitem__
+        ids, shown = self.coded, self.shown
+        if any(s in t for t in texts for s in self.special):
+            ids, shown = ids | {s: struct.pack("<I", i) for s, i in self.special.items()}, shown | {s: s for s in self.special}
+        return ids.__getitem__, shown.__getitem__
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
-        ids = b"".join(x[0] for x in map(self.coder([pieces]), pieces))
+        ids = b"".join(map(self.coder([pieces])[0], pieces))
         return list(struct.unpack(f"<{len(ids) // 4}I", ids))
 
     def decode(self, ids: list[int]) -> str:
@@ -192,8 +208,8 @@ def _map(docs: DataFrame, id_col: str, text_col: str, names: list[str], types: l
         model = _model(path)
         for batch in (s for b in batches for s in sub_batches(b, 1)):
             texts = [model.pieces(t) for t in strings(batch.column(1))]
-            code = model.coder(texts)
-            rows = [make([code(w) for w in t]) for t in texts]
+            code, show = model.coder(texts)
+            rows = [make(b"".join(map(code, t)), map(show, t)) for t in texts]
             cols = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[id_col, *names])
 
@@ -206,8 +222,7 @@ def bpe_encode(docs: DataFrame, path: str | Callable[[], str], id_col: str = "do
     Repeated ids keep their rows; other columns are not read.
     """
 
-    def make(code):
-        ids = b"".join(x[0] for x in code)
+    def make(ids, text):
         return (list(struct.unpack(f"<{len(ids) // 4}I", ids)),)
 
     return _map(docs, id_col, text_col, ["ids"], [pa.list_(pa.int32())], make, path)
@@ -226,11 +241,14 @@ def bpe_decode(encoded: DataFrame, path: str | Callable[[], str], id_col: str =
 
 
 def bpe_digest(docs: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass: the id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """Encode and decode in one pass: the id, n_tokens, ids_sha256, decoded_sha256 of each row.
 
-    def make(code):
-        ids, text = b"".join(x[0] for x in code), " ".join(x[1] for x in code)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    A null text is the empty one: no ids, an empty text. Texts are encoded whole whatever their length, equal ones alike.
+    Null and repeated ids keep their rows; an empty table gives an empty result. Other columns are not read.
+    """
+
+    def make(ids, text):
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(" ".join(text).encode()).hexdigest()
 
     return _map(docs, id_col, text_col, ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], make, path)
 
