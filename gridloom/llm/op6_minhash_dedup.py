@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("near copies")
-        for batch in (s for b in batches for s in sub_batches(b, 1)):
+        for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 19)):
             sets, off = shingle_sets(*buffers(batch.column(1)))
             size = np.diff(off)
             sig = circulant_minhash(sets, off).reshape(len(size), BANDS, ROWS)
@@ -127,7 +127,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("near copies")
         held = (None, None, np.zeros(0, np.uint64))
-        for batch in (s for b in batches for s in sub_batches(b, 4)):
+        for batch in (s for b in batches for s in sub_batches(b, 4, 1 << 19)):
             sets, off = shingle_sets(*buffers(batch.column(4)))
             a, share, later, ids = (batch.column(i).to_pylist() for i in range(4))
             found = []
@@ -218,7 +218,7 @@ def across(member: DataFrame, texts: DataFrame) -> DataFrame:
             found = spanning_links([r[1] for r in rows], [r[2] for r in rows], np.array([r[0] for r in rows]), [r[3] for r in rows])
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], types[0]) for k in (0, 1)], names=["u", "v"])
 
-        for batch in (s for b in batches for s in sub_batches(b, 6)):
+        for batch in (s for b in batches for s in sub_batches(b, 6, 1 << 19)):
             types = [batch.schema.field(4).type] * 2
             sets, off = shingle_sets(*buffers(batch.column(6)))
             for i, row in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):

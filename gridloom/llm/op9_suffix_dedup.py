@@ -26,7 +26,7 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 SPAN, GRAM = 50, 12
 #: Text behind one shard of the anchors' keys; segment bytes that one suffix array takes (so few that it stays in cache),
 #: and those of an anchor above which its strings go their own ways.
-KEY_SHARD, ARRAY_BYTES, HOT_BYTES = 8 << 20, 1 << 17, 1 << 20
+KEY_SHARD, ARRAY_BYTES, HOT_BYTES = 4 << 20, 1 << 17, 1 << 20
 #: Of how many different segments one, by hash, is counted to find such anchors. Every segment goes on either way.
 COUNTED = 64
 #: The bytes of an anchor's hash that are passed on.
@@ -99,7 +99,7 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("passages")
-        for batch in (s for b in batches for s in sub_batches(b, 2)):
+        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 19)):
             ids, x = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             data, off = buffers(batch.column(2))
             _, _, _, doc, at = segments(data, off)
@@ -161,7 +161,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in (s for b in batches for s in sub_batches(b, 0, 1 << 18)):
+        for batch in (s for b in batches for s in sub_batches(b, 0, 1 << 17)):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([pack((t or "").encode()) for t in batch.column(0).to_pylist()], pa.binary())], names=[*kinds, "packed"])
 
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -193,7 +193,7 @@ def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(x[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 18)):
+        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 17)):
             yield find(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3))
 
     flags = anchors.groupBy("id", "x").agg(F.collect_list("key").alias("keys"))
@@ -221,7 +221,7 @@ def split_hot(texts: DataFrame, places: DataFrame) -> DataFrame:
     hot = bounded(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 18)):
+        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 17)):
             ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             data, off = _texts(batch.column(2).to_pylist())
             segs = batch.column(3)
@@ -242,7 +242,7 @@ def contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 18)):
+        for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 17)):
             rows = []
             for i, packed, segs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = unpack(packed)
@@ -339,7 +339,7 @@ def cut_texts(rows: DataFrame, as_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in (s for b in batches for s in sub_batches(b, 0, 1 << 18)):
+        for batch in (s for b in batches for s in sub_batches(b, 0, 1 << 17)):
             out = []
             for packed, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = unpack(packed)
