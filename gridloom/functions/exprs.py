@@ -40,4 +40,5 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def integer_text(c: Column) -> Column:
-    return trim(F.replace(c, F.lit(","), F.lit(""))).rlike("^-?[0-9]+$")
+    """Digits, with a sign and commas anywhere."""
+    return F.replace(trim(c), F.lit(","), F.lit("")).rlike("^-?[0-9]+$")

@@ -16,7 +16,7 @@ def fold_groups(df: DataFrame, deal: list[str], keys: list[str], order: list, co
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in df.columns}
     ddl = ", ".join(f"`{c}` {t}" for c, t in (kinds | added).items())
-    types = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+    types = {"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "string": pa.string(), "boolean": pa.bool_()}
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,7 @@ def fold_groups(df: DataFrame, deal: list[str], keys: list[str], order: list, co
 def cluster_rows(group: dict[str, list]) -> dict[str, list]:
     """Row numbers and running mean heights of items in order of top_y: a new row where one is further from the mean than the tolerance."""
     heights = sorted(group["height"])
-    tolerance = 0.6 * (heights[len(heights) // 2] or 10)
+    tolerance = 0.6 * heights[len(heights) // 2]
     rows, last, mean, n = [], -1, 0.0, 0
     for y in group["top_y"]:
         if last < 0 or abs(y - mean) > tolerance:

@@ -21,4 +21,4 @@ class Options:
     keep_repeated_headers: bool = False
     include_page_column: bool = False
     include_entry_column: bool = False
-    sheet_name: str = "Sheet1"
+    sheet_name: str = "Extracted tables"

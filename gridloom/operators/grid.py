@@ -56,9 +56,9 @@ def assign_by_starts(items: DataFrame) -> DataFrame:
 
 
 def cells(items: DataFrame) -> DataFrame:
-    """One row a cell: the texts of a row and column joined by single blanks, the union of the boxes."""
+    """One row a cell: the texts of a row and column as they are, joined by single blanks and trimmed as a whole; the union of the boxes."""
     b = item_bbox()
-    part = F.struct("x", "top_y", "seq", trim(F.col("text")).alias("t"))
+    part = F.struct("x", "top_y", "seq", F.col("text").alias("t"))
     out = items.withColumn("b", b).groupBy(*REGION, "row_idx", "col_idx").agg(
         F.sort_array(F.collect_list(part)).alias("parts"), F.min("b.x1").alias("x1"), F.min("b.y1").alias("y1"), F.max("b.x2").alias("x2"), F.max("b.y2").alias("y2"), F.max("confidence").alias("confidence"))
     return out.withColumn("text", trim(F.array_join(F.transform("parts", lambda p: p["t"]), " "))).drop("parts")

@@ -25,11 +25,16 @@ def coverage(reference: DataFrame, output: DataFrame, keys: list[str] | None = N
 
 
 def reconstruct_text(items: DataFrame) -> DataFrame:
-    """(doc_id, page, text): items in stream order, a line break where y moves by over half a height, a blank where x leaves over a fifth."""
+    """(doc_id, page, text): items in stream order, a line break where y moves by over half a height, a blank where x leaves over a fifth.
+
+    The height is the larger of an item's and the one before's, none or 0 counting as 1.
+    """
     line = Window.partitionBy(*PAGE).orderBy("seq")
     prev = lambda c: F.lag(c).over(line)
-    gap = F.col("x") - (prev("x") + prev("width"))
-    glue = F.when(prev("seq").isNull(), "").when(F.abs(F.col("y") - prev("y")) > 0.5 * F.col("height"), "\n").when(gap > 0.2 * F.col("height"), " ").otherwise("")
+    items = items.withColumn("_h", F.coalesce(F.nullif("height", F.lit(0.0)), F.lit(1.0)))
+    high = F.greatest("_h", prev("_h"))
+    gap = F.col("x") - (prev("x") + F.coalesce(prev("width"), F.lit(0.0)))
+    glue = F.when(prev("seq").isNull(), "").when(F.abs(F.col("y") - prev("y")) > 0.5 * high, "\n").when(gap > 0.2 * high, " ").otherwise("")
     parts = items.select(*PAGE, "seq", F.concat(glue, F.col("text")).alias("t"))
     return parts.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "t"))), lambda x: x["t"]), "").alias("text"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,7 @@ from ..functions.storage import materialize
 from ..model import Options
 from ..operators import grid, headers, layout, merge, policy, render, tiers
 from ..operators.layout import PAGE, REGION
+from ..sources import xlsx
 
 
 @dataclass
@@ -30,25 +31,46 @@ def region_cells(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cells.select(*headers.ROW, "is_header", "col_idx", "text"), boxes
 
 
-def continued_ids(cells: DataFrame, pages: DataFrame) -> DataFrame:
-    """Cells whose region_id carries over pages; pages: doc_id, page."""
+def continued_ids(cells: DataFrame, pages: DataFrame, boxes: DataFrame | None = None, page_text: DataFrame | None = None, numbers: tuple[int, ...] = ()) -> DataFrame:
+    """Cells whose region_id carries over pages; pages: doc_id, page, which with `numbers` is a place in that list.
+
+    Text outside the regions (page_text), above those of a page or below those of the one before, starts new ids.
+    """
     counts = cells.groupBy(*PAGE).agg(F.count_distinct("region_id").cast("int").alias("n_regions"))
     p = pages.join(counts, PAGE, "left").withColumn("n_regions", F.coalesce("n_regions", F.lit(0)))
-    # on positioned text all text belongs to regions, so none stands above or below
-    p = p.withColumn("text_top", F.lit(False)).withColumn("text_bottom", F.lit(False))
-    base = merge.region_ids(p).select(*PAGE, "base")
+    if boxes is None or page_text is None:  # on positioned text all text belongs to regions, so none stands above or below
+        p = p.withColumn("text_top", F.lit(False)).withColumn("text_bottom", F.lit(False))
+    else:
+        edges = boxes.groupBy(*PAGE).agg(F.min("y1").alias("top"), F.max("y2").alias("low"))
+        beside = page_text.select(*PAGE, F.col("y1").alias("a"), F.col("y2").alias("b")).join(edges, PAGE)
+        flags = beside.groupBy(*PAGE).agg(F.bool_or(F.col("b") <= F.col("top")).alias("text_top"), F.bool_or(F.col("a") >= F.col("low")).alias("text_bottom"))
+        p = p.join(flags, PAGE, "left").withColumn("text_top", F.coalesce("text_top", F.lit(False))).withColumn("text_bottom", F.coalesce("text_bottom", F.lit(False)))
+    if numbers:  # whether a page follows another is a matter of their numbers, not of their places
+        p = p.withColumn("ord", F.col("page")).withColumn("page", number_at(numbers, F.col("page")))
+        base = merge.region_ids(p).select("doc_id", F.col("ord").alias("page"), "base")
+    else:
+        base = merge.region_ids(p).select(*PAGE, "base")
     return cells.join(base, PAGE).withColumn("region_id", (F.col("region_id") + F.col("base")).cast("int")).drop("base")
 
 
+def number_at(numbers: tuple[int, ...], place: Column) -> Column:
+    """The page number at a place of a list."""
+    return F.element_at(F.array(*map(F.lit, numbers)), place + 1)
+
+
 def convert_items(items: DataFrame, options: Options = Options(), ocr_pages: DataFrame | None = None, page_text: DataFrame | None = None) -> Conversion:
     """The main path: items of the columns of model.TEXT_ITEMS to the rows of workbooks.
 
     All window and join keys begin with the document, and everything a document decides (pattern, canonical header, policy)
-    is one small row of it.
+    is one small row of it. Pages asked for by number come in the order given, repeats as pages of their own.
     """
-    pages = layout.page_list(items, options.page_numbers)
-    if options.page_numbers:
-        items = items.join(F.broadcast(pages.select(*PAGE).distinct()), PAGE, "left_semi")
+    numbers = options.page_numbers
+    pages = layout.page_list(items, numbers)
+    if numbers:  # inside, a page is its place in the list, which is as long as the option
+        asked = items.sparkSession.createDataFrame(list(enumerate(numbers)), "ord int, page int")
+        at = lambda df: df.join(F.broadcast(asked), "page").drop("page").withColumnRenamed("ord", "page")
+        pages = pages.select("doc_id", F.col("ord").alias("page"), "ord")
+        items, ocr_pages, page_text = at(items), ocr_pages if ocr_pages is None else at(ocr_pages), page_text if page_text is None else at(page_text)
     cells, boxes = region_cells(items)
     cells = materialize(headers.reconstruct_headers(cells))
     decisions = None
@@ -58,7 +80,7 @@ def convert_items(items: DataFrame, options: Options = Options(), ocr_pages: Dat
     counts = cells.groupBy(*PAGE).agg(F.count_distinct("region_id").cast("int").alias("n_regions"))
     chosen = policy.resolve_policy(pages.join(counts, PAGE, "left").withColumn("n_regions", F.coalesce("n_regions", F.lit(0))), options.worksheet_policy)
     if options.merge_continuations:
-        cells = materialize(continued_ids(cells, pages))
+        cells = materialize(continued_ids(cells, pages, boxes, page_text, numbers))
     regions = cells.select(*headers.REGION).distinct().withColumn("source", F.lit("clustered"))
     kept = materialize(headers.filter_headers(cells, options.keep_repeated_headers))
     chosen = materialize(chosen)
@@ -68,12 +90,26 @@ def convert_items(items: DataFrame, options: Options = Options(), ocr_pages: Dat
     stacked_regions = regions.join(chosen.where("policy = 'stacked'").select("doc_id"), "doc_id", "left_semi")
     rows = one.unionByName(render.stacked(split.where("policy = 'stacked'").select(*cols), stacked_regions))
     warnings = chosen.where("warning IS NOT NULL").select("doc_id", F.lit("region-count-unstable").alias("kind"), F.lit(-1).alias("page"), F.col("warning").alias("message"))
+    if decisions is not None:
+        warnings = warnings.unionByName(merge.merge_warnings(decisions))
     flagged = pages.withColumn("needs_ocr", F.lit(False))
     if ocr_pages is not None:
         flagged, ocr = layout.ocr_flags(pages, ocr_pages)
         warnings = warnings.unionByName(ocr.select("doc_id", "kind", "page", "message"))
     rows = materialize(rows)
-    return Conversion(rows, regions, decisions, warnings, policy.diagnostics(flagged, regions, rows))
+    counted = policy.diagnostics(flagged, regions, rows)
+    if numbers:
+        real = lambda c: F.when(F.col(c) >= 0, number_at(numbers, F.col(c))).otherwise(F.col(c))
+        warnings = warnings.withColumn("page", real("page"))
+        rows = rows.withColumn("page_no", number_at(numbers, F.col("page_no") - 1) + 1)
+        regions = regions.withColumn("page", real("page"))
+        decisions = decisions if decisions is None else decisions.withColumn("page", real("page"))
+    return Conversion(rows, regions, decisions, warnings, counted)
+
+
+def write_conversion(conversion: Conversion, path: str, options: Options = Options()) -> None:
+    """A workbook for each document, with the sheet name and the extra columns that the options ask for."""
+    xlsx.write_workbooks(conversion.sheet_rows, path, options.sheet_name, options.include_page_column, options.include_entry_column)
 
 
 def convert_pages(pages: DataFrame, include_page: bool = False) -> DataFrame:
@@ -87,7 +123,7 @@ def convert_markdown(pages: DataFrame, include_page: bool = False) -> DataFrame:
     return convert_pages(pages.withColumn("rows", tiers.markdown_rows(F.col("markdown"))), include_page)
 
 
-__all__ = ["REGION", "Conversion", "continued_ids", "convert_items", "convert_markdown", "convert_pages", "region_cells"]
+__all__ = ["REGION", "Conversion", "continued_ids", "convert_items", "convert_markdown", "convert_pages", "region_cells", "write_conversion"]
 
 
 #: The other name of the main path.

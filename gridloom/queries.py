@@ -54,7 +54,7 @@ def regions_sql(items: str) -> str:
 def rows_sql(items: str) -> str:
     """The running-mean fold, by a recursion over items in order."""
     return f"""{regions_sql(items)},
- m AS (SELECT doc_id,page,region_idx, 0.6*coalesce(nullif(list_sort(list(height))[CAST(floor(count(*)/2) AS INT)+1],0),10) AS tol, list(struct_pack(y:=top_y, x:=x, seq:=seq) ORDER BY top_y,x,seq) AS its FROM r GROUP BY ALL),
+ m AS (SELECT doc_id,page,region_idx, 0.6*list_sort(list(height))[CAST(floor(count(*)/2) AS INT)+1] AS tol, list(struct_pack(y:=top_y, x:=x, seq:=seq) ORDER BY top_y,x,seq) AS its FROM r GROUP BY ALL),
  f AS (SELECT doc_id,page,region_idx, its, list_reduce(list_prepend(struct_pack(row_no:=-1, mean:=CAST(0 AS DOUBLE), n:=0, y:=CAST(0 AS DOUBLE), tol:=tol, trace:=CAST([] AS INT[])), list_transform(its, lambda q: struct_pack(row_no:=0, mean:=CAST(0 AS DOUBLE), n:=0, y:=q.y, tol:=CAST(0 AS DOUBLE), trace:=CAST([] AS INT[])))),
   lambda a, b: CASE WHEN a.row_no<0 OR abs(b.y-a.mean)>a.tol THEN struct_pack(row_no:=a.row_no+1, mean:=b.y, n:=1, y:=b.y, tol:=a.tol, trace:=list_append(a.trace, a.row_no+1))
    ELSE struct_pack(row_no:=a.row_no, mean:=(a.mean*a.n+b.y)/(a.n+1), n:=a.n+1, y:=b.y, tol:=a.tol, trace:=list_append(a.trace, a.row_no)) END).trace AS tr FROM m),
@@ -105,6 +105,12 @@ def row_cluster_jitter(spark, sf_dir):
     return grid.rows(layout.discover_regions(table(spark, sf_dir, fx.CENTRED))).select(*P, "region_idx", "seq", "row_idx")
 
 
+@query(f"WITH {rows_sql(fx.FLAT)} SELECT doc_id, page, region_idx, seq, row_idx FROM w")
+def row_cluster_flat(spark, sf_dir):
+    """Without heights nothing is tolerated."""
+    return grid.rows(layout.discover_regions(table(spark, sf_dir, fx.FLAT))).select(*P, "region_idx", "seq", "row_idx")
+
+
 @query(f"WITH {rows_sql(fx.DRIFT)} SELECT doc_id, page, region_idx, seq, row_idx FROM w")
 def row_cluster_drift(spark, sf_dir):
     """The running mean splits drifting rows that a comparison with the item before would join."""
@@ -232,17 +238,83 @@ def side_by_side_pattern(spark, sf_dir):
     return merge.side_by_side_pattern(merge.side_by_side_pages(side(0).unionByName(side(1))))
 
 
-@query(f"""SELECT pair_id, CASE WHEN NOT vertical_overlap OR text_between OR NOT sig_equal THEN 'ambiguous' WHEN first_right-last_left<=3 OR first_right-last_left>10 THEN 'sequence' WHEN cap_left=cap_right THEN 'heuristic' ELSE 'ambiguous' END AS tier,
- vertical_overlap AND NOT text_between AND sig_equal AND (first_right-last_left<=3 OR (first_right-last_left<=10 AND cap_left=cap_right)) AS merged FROM ({fx.PAIRS}) p""")
+_DECIDED = f"""WITH p AS (SELECT *, pair_id%17<>0 AS same_col, first_right-last_left AS ahead, avg(CASE WHEN vertical_overlap AND sig_equal THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY doc_id)>=0.5 AS pattern FROM ({fx.PAIRS}) q),
+ r AS (SELECT *, CASE WHEN NOT vertical_overlap THEN 'no-vertical-overlap' WHEN text_between THEN 'intervening-text' WHEN NOT sig_equal THEN 'header-mismatch' WHEN same_col AND ahead<=3 THEN 'sequence-continues'
+  WHEN same_col AND ahead>10 THEN 'parallel-sequence' WHEN cap_left<>cap_right THEN 'captions-differ' WHEN pattern THEN 'pattern' ELSE 'no-pattern' END AS reason FROM p),
+ d AS (SELECT doc_id, pair_id, reason, CASE WHEN reason IN ('sequence-continues','parallel-sequence') THEN 'sequence-confirmed' WHEN reason='pattern' THEN 'heuristic' ELSE 'flagged-ambiguous' END AS tier, reason IN ('sequence-continues','pattern') AS merged,
+  CASE WHEN reason IN ('sequence-continues','pattern') THEN 'stack-right-under-left' WHEN reason='parallel-sequence' THEN 'parallel-end-to-end' ELSE 'none' END AS direction FROM r)"""
+
+
+def _decided_pairs(spark, sf_dir) -> DataFrame:
+    """Two regions for each pair of the fixture, with boxes, numbers, captions and texts between, and what is decided of them."""
+    p = table(spark, sf_dir, fx.PAIRS).withColumn("page", F.col("pair_id"))
+    num = lambda c: F.col(c).cast("decimal(38,0)")
+    run = lambda col, rows, first, last: F.array(F.struct(col.cast("int").alias("col_idx"), *((rows - less).cast("bigint").alias(c) for c, less in (("n", 0), ("k", 0), ("ones", 1), ("steps", 1))), first.cast("decimal(38,0)").alias("first"), last.cast("decimal(38,0)").alias("last")))
+    box = lambda x, low: [F.lit(x).alias("x1"), F.when(low, 0.0).otherwise(200.0).alias("y1"), F.lit(x + 100).alias("x2"), F.when(low, 100.0).otherwise(300.0).alias("y2")]
+    size = [F.lit(2).alias("n_cols"), F.lit(2).alias("data_cols")]
+    left = p.select("doc_id", "page", F.lit(0).alias("region_id"), *box(0.0, F.lit(True)), *size, F.col("n_left").cast("bigint").alias("n_rows"), F.lit("a|b").alias("header_sig"), run(F.lit(0), F.col("n_left"), num("last_left") - F.col("n_left") + 1, num("last_left")).alias("runs"))
+    right = p.select("doc_id", "page", F.lit(1).alias("region_id"), *box(200.0, F.col("vertical_overlap")), *size, F.lit(3).cast("bigint").alias("n_rows"), F.when(F.col("sig_equal"), "a|b").otherwise("c").alias("header_sig"), run(F.when(F.col("pair_id") % 17 == 0, 1).otherwise(0), F.lit(3), num("first_right"), num("first_right") + 2).alias("runs"))
+    text = lambda x, y, t: F.struct(F.lit(x).alias("x1"), F.lit(y).alias("y1"), F.lit(x + 40).alias("x2"), F.lit(y + 10).alias("y2"), t.alias("text"))
+    texts = F.array(F.when(F.col("text_between"), text(130.0, 40.0, F.lit("note"))), F.when(F.col("cap_left") != "", text(10.0, -20.0, F.col("cap_left"))), F.when(F.col("cap_right") != "", text(210.0, -20.0, F.col("cap_right"))))
+    beside = p.select("doc_id", "page", F.explode(F.filter(texts, lambda t: t.isNotNull())).alias("t")).select("doc_id", "page", "t.*")
+    return merge.decide_regions(left.unionByName(right), beside).where("left_id IS NOT NULL").withColumn("ord", F.col("region_id") - 1)
+
+
+@query(f"{_DECIDED} SELECT pair_id, tier, merged, direction, reason FROM d")
 def merge_decisions(spark, sf_dir):
-    p = table(spark, sf_dir, fx.PAIRS).withColumn("captions_differ", F.col("cap_left") != F.col("cap_right")).withColumn("pattern", F.lit(True))
-    return merge.merge_decisions(p).select("pair_id", "tier", "merged")
+    return _decided_pairs(spark, sf_dir).select(F.col("page").alias("pair_id"), "tier", "merged", "direction", "reason")
 
 
-@query(f"""SELECT doc_id, count(*) AS decisions, count_if(ok AND d<=3) AS sequence_confirmed FROM (SELECT doc_id, first_right-last_left AS d, vertical_overlap AND NOT text_between AND sig_equal AS ok FROM ({fx.PAIRS}) p) q GROUP BY doc_id""")
+@query(f"""{_DECIDED} SELECT doc_id, count(*) AS decisions, CAST(count_if(merged) AS BIGINT) AS merged, CAST(count_if(tier='sequence-confirmed') AS BIGINT) AS sequence_confirmed, CAST(count_if(tier='heuristic') AS BIGINT) AS heuristic, CAST(count_if(tier='flagged-ambiguous') AS BIGINT) AS flagged_ambiguous,
+ coalesce(arg_max(direction, pair_id) FILTER (merged), 'none') AS confirmed_direction FROM d GROUP BY doc_id""")
 def merge_report(spark, sf_dir):
-    p = table(spark, sf_dir, fx.PAIRS).withColumn("captions_differ", F.col("cap_left") != F.col("cap_right")).withColumn("pattern", F.lit(True))
-    return merge.merge_report(merge.merge_decisions(p)).select("doc_id", "decisions", "sequence_confirmed")
+    return merge.merge_report(_decided_pairs(spark, sf_dir))
+
+
+_CHAINS = "SELECT DISTINCT CAST(floor(o_orderkey/300.0) AS INT) AS doc_id, CAST(floor((o_orderkey%300)/3.0) AS INT) AS page FROM orders"
+
+
+@query(f"""WITH p AS (SELECT *, page%5<>0 AS head, CASE WHEN page%4=0 THEN 3 ELSE 2 END AS n1, CASE WHEN page%7=0 THEN 24 ELSE 4 END AS b1, CASE page%3 WHEN 0 THEN 'a|b' WHEN 1 THEN '' ELSE 'c' END AS sig2, CASE WHEN page%2=0 THEN 1 ELSE 6 END AS ahead2 FROM ({_CHAINS}) c),
+ q AS (SELECT *, avg(CASE WHEN head AND n1=2 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY doc_id)>=0.5 AS pattern, CASE WHEN NOT head OR n1<>2 THEN 'header-mismatch' WHEN b1=4 THEN 'sequence-continues' ELSE 'parallel-sequence' END AS r1 FROM p),
+ d AS (SELECT *, CASE WHEN r1<>'sequence-continues' THEN 'no-vertical-overlap' WHEN sig2='c' THEN 'header-mismatch' WHEN ahead2=1 THEN 'sequence-continues' WHEN pattern THEN 'pattern' ELSE 'no-pattern' END AS r2 FROM q),
+ u AS (SELECT doc_id, page, 1 AS region_id, r1 AS reason, CASE WHEN r1='sequence-continues' THEN 0 ELSE 1 END AS slot FROM d
+  UNION ALL SELECT doc_id, page, 2, r2, (CASE WHEN r1='sequence-continues' THEN 0 ELSE 1 END) + (CASE WHEN r2 IN ('sequence-continues','pattern') THEN 0 ELSE 1 END) FROM d)
+ SELECT doc_id, page, region_id, CAST(slot AS INT) AS slot, reason, reason IN ('sequence-continues','pattern') AS merged FROM u""")
+def side_by_side_chain(spark, sf_dir):
+    """Three regions a page, of which the second has no header and the third meets only what the first two have grown to."""
+    p = table(spark, sf_dir, _CHAINS)
+    base1 = F.when(F.col("page") % 7 == 0, 24).otherwise(4)
+    base2 = base1 + 2 + F.when(F.col("page") % 2 == 0, 1).otherwise(6)
+    sig2 = F.when(F.col("page") % 3 == 0, "a|b").when(F.col("page") % 3 == 1, "").otherwise("c")
+    parts = [
+        (0, 0.0, 100.0, F.lit(2), F.when(F.col("page") % 5 != 0, "a|b").otherwise(""), F.lit(1)),
+        (1, 0.0, 30.0, F.when(F.col("page") % 4 == 0, 3).otherwise(2), F.lit(""), base1),
+        (2, 40.0, 100.0, F.lit(2), sig2, base2),
+    ]
+    out = None
+    for k, y1, y2, n, sig, first in parts:
+        run = F.array(F.struct(F.lit(0).alias("col_idx"), *(F.lit(v).cast("bigint").alias(c) for c, v in (("n", 3), ("k", 3), ("ones", 2), ("steps", 2))), first.cast("decimal(38,0)").alias("first"), (first + 2).cast("decimal(38,0)").alias("last")))
+        r = p.select("doc_id", "page", F.lit(k).alias("region_id"), F.lit(100.0 * k).alias("x1"), F.lit(y1).alias("y1"), F.lit(100.0 * k + 90).alias("x2"), F.lit(y2).alias("y2"), n.alias("n_cols"), n.alias("data_cols"), F.lit(3).cast("bigint").alias("n_rows"), sig.alias("header_sig"), run.alias("runs"))
+        out = r if out is None else out.unionByName(r)
+    return merge.decide_regions(out).where("left_id IS NOT NULL").select("doc_id", "page", "region_id", "slot", "reason", "merged")
+
+
+@query("""WITH n(ord, page) AS (VALUES (0,1),(1,0),(2,1)), k AS (SELECT o_orderkey AS k, CAST(floor(o_orderkey/500.0) AS INT) AS doc_id, CAST(floor((o_orderkey%500)/25.0) AS INT) AS page FROM orders)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n.ord, k) AS INT) AS place, page+1 AS page_no, k AS order_key FROM k JOIN n USING (page)""")
+def page_selection(spark, sf_dir):
+    """Pages 1, 0 and 1 again of each document, in that order."""
+    rows = convert_items(table(spark, sf_dir, fx.GRID), Options(page_numbers=(1, 0, 1))).sheet_rows.where("NOT is_header AND kind = 'row'")
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_idx", "row_no")).alias("place"), "page_no", F.col("values")[0].cast("long").alias("order_key"))
+
+
+_PIECES = """SELECT CAST(o_orderkey AS INT) AS doc_id, 0 AS page, 0 AS region_idx, CAST(k AS INT) AS seq, 0 AS row_idx, CAST(k%2 AS INT) AS col_idx, CASE WHEN k<2 THEN '  ' ELSE '' END || o_orderstatus || CAST(k AS STRING) || CASE WHEN k%3=0 THEN '   ' ELSE ' ' END AS text,
+ CAST(100-10*k AS DOUBLE) AS x, CAST(50 AS DOUBLE) AS y, CAST(8 AS DOUBLE) AS width, CAST(10 AS DOUBLE) AS height, CAST(100 AS DOUBLE) AS page_height, CAST(50 AS DOUBLE) AS top_y, CAST(0.9 AS DOUBLE) AS confidence FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) five"""
+
+
+@query(f"SELECT doc_id, col_idx, trim(string_agg(text, ' ' ORDER BY x, seq)) AS text FROM ({_PIECES}) p GROUP BY ALL")
+def cell_inner_blanks(spark, sf_dir):
+    """Blanks at the ends of items stay inside a cell."""
+    return grid.cells(table(spark, sf_dir, _PIECES)).select("doc_id", "col_idx", "text")
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM ({fx.PAGES}) q WHERE n_regions>0),
@@ -332,10 +404,10 @@ def content_coverage_gate(spark, sf_dir):
     return metrics.content_gate(items, items.where("seq % 61 <> 7"), P)
 
 
-@query(f"""WITH i AS ({fx.CENTRED}), l AS (SELECT *, lag(seq) OVER w AS ps, y-lag(y) OVER w AS dy, x-lag(x+width) OVER w AS gap FROM i WINDOW w AS (PARTITION BY doc_id,page ORDER BY seq))
- SELECT doc_id, page, md5(string_agg(CASE WHEN ps IS NULL THEN '' WHEN abs(dy)>0.5*height THEN chr(10) WHEN gap>0.2*height THEN ' ' ELSE '' END || text, '' ORDER BY seq)) AS digest FROM l GROUP BY ALL""")
+@query(f"""WITH i AS (SELECT *, CASE WHEN height=0 THEN 1 ELSE height END AS h FROM ({fx.MIXED}) m), l AS (SELECT *, lag(seq) OVER w AS ps, y-lag(y) OVER w AS dy, x-lag(x+width) OVER w AS gap, greatest(h, lag(h) OVER w) AS high FROM i WINDOW w AS (PARTITION BY doc_id,page ORDER BY seq))
+ SELECT doc_id, page, md5(string_agg(CASE WHEN ps IS NULL THEN '' WHEN abs(dy)>0.5*high THEN chr(10) WHEN gap>0.2*high THEN ' ' ELSE '' END || text, '' ORDER BY seq)) AS digest FROM l GROUP BY ALL""")
 def text_reconstruct(spark, sf_dir):
-    return metrics.reconstruct_text(table(spark, sf_dir, fx.CENTRED)).select(*P, F.md5("text").alias("digest"))
+    return metrics.reconstruct_text(table(spark, sf_dir, fx.MIXED)).select(*P, F.md5("text").alias("digest"))
 
 
 @query(f"""WITH c AS ({fx.HEADER_CELLS}), f AS (SELECT *, trim(text) AS t FROM c WHERE trim(text)<>'') SELECT doc_id, page, CAST(row_idx-min(row_idx) OVER (PARTITION BY doc_id,page) AS INT) AS row_idx, col_idx, t AS text FROM f""")

@@ -26,6 +26,13 @@ SIDE_BY_SIDE = """SELECT doc_id, page, (side*13+slot)*3+col AS seq, 'Text' AS it
 CENTRED = f"""SELECT doc_id, page, seq, item_type, text, x + (80-5*length(text))/2.0 AS x, y + (seq % 3) - 1 AS y, CAST(5*length(text) AS DOUBLE) AS width, height, is_bold
  FROM ({GRID}) ga"""
 
+#: Heights of 0 and more, steps of y and gaps that only the larger of two heights bridges.
+MIXED = f"""SELECT doc_id, page, seq, item_type, text, x, y + CASE WHEN seq % 3 = 0 THEN 4 ELSE 0 END AS y, width + seq % 29 AS width, CASE WHEN seq % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(4 + seq % 5 * 30 AS DOUBLE) END AS height, is_bold
+ FROM ({GRID}) ga"""
+
+#: Text without height: every step of y is a row of its own.
+FLAT = f"SELECT doc_id, page, seq, item_type, text, x, y + seq % 2 AS y, width, CAST(0 AS DOUBLE) AS height, is_bold FROM ({GRID}) ga"
+
 DRIFT = f"""SELECT doc_id, page, seq, item_type, text, x + (80-5*length(text))/2.0 AS x, y + 3.5*CAST((x-40)/110 AS INT) AS y, CAST(5*length(text) AS DOUBLE) AS width, height, is_bold
  FROM ({GRID}) ga"""
 

@@ -122,7 +122,7 @@ def read_workbook(source) -> list[tuple[str, list[list[str]]]]:
         return out
 
 
-def to_bytes(sheet_rows: DataFrame, base: str = "Sheet1", include_page: bool = False, include_entry: bool = False) -> bytes:
+def to_bytes(sheet_rows: DataFrame, base: str = "Extracted tables", include_page: bool = False, include_entry: bool = False) -> bytes:
     """One document's workbook in memory; its rows pass through the driver, so it is meant for single documents."""
     buffer = io.BytesIO()
     rows = sheet_rows.orderBy("sheet_idx", "row_no").select("sheet_idx", "kind", "page_no", "entry", "values").toLocalIterator()
@@ -176,7 +176,7 @@ class XlsxWriter(DataSourceWriter):
         def flush() -> None:
             end = os.path.join(self.path, f"{doc}.xlsx")
             part = f"{end}.{os.getpid()}.part"
-            write_workbook(part, _sheets(held, self.options.get("sheetName", "Sheet1"), include["includePage"], include["includeEntry"]))
+            write_workbook(part, _sheets(held, self.options.get("sheetName", "Extracted tables"), include["includePage"], include["includeEntry"]))
             os.replace(part, end)
 
         for r in rows:
@@ -216,7 +216,7 @@ class XlsxSource(DataSource):
         return XlsxWriter(self.options, schema, overwrite)
 
 
-def write_workbooks(sheet_rows: DataFrame, path: str, sheet_name: str = "Sheet1", include_page: bool = False, include_entry: bool = False) -> None:
+def write_workbooks(sheet_rows: DataFrame, path: str, sheet_name: str = "Extracted tables", include_page: bool = False, include_entry: bool = False) -> None:
     """A workbook for each document under `path`, a folder that all executors share."""
     sheet_rows.sparkSession.dataSource.register(XlsxSource)
     dealt = sheet_rows.repartition(F.col("doc_id")).sortWithinPartitions("doc_id", "sheet_idx", "row_no")

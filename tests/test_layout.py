@@ -120,11 +120,96 @@ def test_sequences(spark):
     assert [tuple(r)[2:] for r in merge.sequence_columns(c).collect()] == [(0, 1, 1, 3)]
 
 
-@pytest.mark.parametrize("first_right,merged,tier", [(4, True, "sequence"), (500, False, "sequence"), (9, True, "heuristic")])
-def test_pair_decision(spark, first_right, merged, tier):
-    df = spark.createDataFrame([(True, False, True, 3, first_right, False, True)], "vertical_overlap boolean, text_between boolean, sig_equal boolean, last_left int, first_right int, captions_differ boolean, pattern boolean")
-    r = merge.merge_decisions(df).first()
-    assert (r["merged"], r["tier"]) == (merged, tier)
+def region(k, first=None, sig="x|y", col=0, box=None, n_cols=2):
+    """A region of three data rows whose numbers start at `first`."""
+    x1, y1, x2, y2 = box or (100.0 * k, 0.0, 100.0 * k + 80, 90.0)
+    runs = [] if first is None else [{"col_idx": col, "n": 3, "k": 3, "ones": 2, "steps": 2, "first": first, "last": first + 2}]
+    return {"region_id": k, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "n_cols": n_cols, "data_cols": n_cols, "header_sig": sig, "n_rows": 3, "runs": runs}
+
+
+def joined(regions, texts=(), pattern=True):
+    group = {c: [r[c] for r in regions] for c in merge.FEATURES} | {"texts": [list(texts)] * len(regions), "pattern": [pattern] * len(regions)}
+    out = merge.join_page(group)
+    return list(zip(out["slot"], out["tier"], out["reason"], strict=True))[1:]
+
+
+def test_decisions():
+    seq, rule, unsure = merge.SEQUENCE, merge.HEURISTIC, merge.AMBIGUOUS
+    assert joined([region(0, 1), region(1, 4)]) == [(0, seq, "sequence-continues")]
+    assert joined([region(0, 1), region(1, 14)]) == [(1, seq, "parallel-sequence")]
+    assert joined([region(0, 1), region(1, 9)]) == [(0, rule, "pattern")]
+    assert joined([region(0, 1), region(1, 9)], pattern=False) == [(1, unsure, "no-pattern")]
+    # numbers in different columns say nothing
+    assert joined([region(0, 1), region(1, 400, col=1)]) == [(0, rule, "pattern")]
+    # without a header on the left nothing is joined
+    assert joined([region(0, 1, sig=""), region(1, 4, sig="")]) == [(1, unsure, "header-mismatch")]
+    assert joined([region(0, 1), region(1, 4, sig="", n_cols=3)]) == [(1, unsure, "header-mismatch")]
+    assert joined([region(0, 1), region(1, 4, box=(100.0, 90.0, 180.0, 120.0))]) == [(1, unsure, "no-vertical-overlap")]
+
+
+def test_decisions_look_at_the_grown_region():
+    """Its header is the first's, its numbers go on in the second, its box is that of both."""
+    assert [r for *_, r in joined([region(0, 1), region(1, 4, sig=""), region(2, 7)])] == ["sequence-continues"] * 2
+    assert [r for *_, r in joined([region(0, 1), region(1, 4, box=(100.0, 0.0, 180.0, 20.0)), region(2, 7, box=(200.0, 30.0, 280.0, 60.0))])] == ["sequence-continues"] * 2
+    assert [s for s, *_ in joined([region(0, 1), region(1, 50), region(2, 53)])] == [1, 1]
+
+
+def test_text_and_captions():
+    text = lambda x, y, t: {"x1": x, "y1": y, "x2": x + 10.0, "y2": y + 8.0, "text": t}
+    assert joined([region(0, 1), region(1, 4)], [text(85.0, 40.0, "note")]) == [(1, merge.AMBIGUOUS, "intervening-text")]
+    heads = [text(10.0, -20.0, "north"), text(120.0, -20.0, "south")]
+    assert joined([region(0), region(1)], heads) == [(1, merge.AMBIGUOUS, "captions-differ")]
+    assert joined([region(0), region(1)], [heads[0]]) == [(0, merge.HEURISTIC, "pattern")]
+    assert joined([region(0), region(1)], [text(10.0, -60.0, "north"), heads[1]]) == [(0, merge.HEURISTIC, "pattern")]
+
+
+def test_merge_of_cells(spark):
+    """Data rows go below the first region's; the report and the warnings tell of it."""
+    head = lambda g: (0, g, 0, True, ["No", "Who"])
+    c = cells(spark, [head(0), *((0, 0, i, False, [str(i), "a"]) for i in (1, 2, 3)), *((0, 1, i - 4, False, [str(i), "b"]) for i in (4, 5, 6)), head(2), *((0, 2, i, False, ["x", str(i)]) for i in (1, 2, 3))])
+    boxes = spark.createDataFrame([(0, 0, g, 100.0 * g, 0.0, 100.0 * g + 80, 90.0 if g < 2 else 40.0) for g in range(3)], "doc_id int, page int, region_id int, x1 double, y1 double, x2 double, y2 double")
+    between = spark.createDataFrame([(0, 0, 185.0, 10.0, 190.0, 20.0, "A note")], "doc_id int, page int, x1 double, y1 double, x2 double, y2 double, text string")
+    out, decided = merge.merge_side_by_side(c, boxes, between)
+    got = {}
+    for r in out.orderBy("region_id", "row_idx", "col_idx").collect():
+        got.setdefault(r["region_id"], []).append(r["text"])
+    assert got[0] == ["No", "Who", "1", "a", "2", "a", "3", "a", "4", "b", "5", "b", "6", "b"] and got[1][:2] == ["No", "Who"]
+    assert [(r["left_id"], r["right_id"], r["reason"]) for r in decided.orderBy("ord").collect()] == [(0, 1, "sequence-continues"), (0, 2, "intervening-text")]
+    assert tuple(merge.merge_report(decided).first()) == (0, 2, 1, 1, 0, 1, merge.STACKED)
+    assert [tuple(r) for r in merge.merge_warnings(decided).collect()] == [(0, "table-merge-ambiguous", 0, "possible split table, not auto-merged: intervening-text")]
+
+
+def test_page_order_and_repeats(spark):
+    parts = [items(spark, [(40 + 150 * c, 700 - 20 * i, 60, t) for i, r in enumerate([("Name", "Amount"), (f"p{p}", str(p)), (f"q{p}", str(p))]) for c, t in enumerate(r)], page=p) for p in (0, 1)]
+    out = convert_items(parts[0].unionByName(parts[1]), Options(page_numbers=(1, 0, 1), worksheet_policy="stacked", keep_repeated_headers=True))
+    rows = out.sheet_rows.where("kind = 'row' AND NOT is_header").orderBy("row_no").collect()
+    assert [(r["page_no"], r["values"][0]) for r in rows] == [(2, "p1"), (2, "q1"), (1, "p0"), (1, "q0"), (2, "p1"), (2, "q1")]
+
+
+def test_rows_without_height():
+    assert cluster_rows({"top_y": [0.0, 3.0, 5.0], "height": [0.0] * 3})["row_idx"] == [0, 1, 2]
+
+
+def test_text_of_mixed_heights(spark):
+    rows = [(0, 0, 0, "a", 0.0, 0.0, 10.0, 20.0), (0, 0, 1, "b", 13.0, 9.0, 5.0, 2.0), (0, 0, 2, "c", 18.9, 9.0, 5.0, 0.0), (0, 0, 3, "d", 24.0, 9.0, 5.0, 0.0), (0, 0, 4, "e", 40.0, 10.0, 5.0, 0.0)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, seq int, text string, x double, y double, width double, height double")
+    assert metrics.reconstruct_text(df).first()["text"] == "ab cd\ne"
+
+
+def test_layout_pages_ocr_and_size(spark):
+    df = items(spark, [(10, 700, 20)])
+    pages = layout.page_list(df, (0, 3))
+    scanned = {r["page"]: r for r in layout.scan_layout_pages(df.where("item_type = 'Text'"), pages).collect()}
+    assert (scanned[0]["text"], scanned[3]["text"], scanned[3]["page_width"], scanned[3]["page_height"]) == ("t0", None, 612.0, 792.0)
+    flagged, warnings = layout.ocr_flags(pages, spark.createDataFrame([(0, 3)], "doc_id int, page int"))
+    assert sorted((r["page"], r["needs_ocr"]) for r in flagged.collect()) == [(0, False), (3, True)] and [(r["kind"], r["page"]) for r in warnings.collect()] == [("needs-ocr", 3)]
+
+
+def test_grid_boxes(spark):
+    c = spark.createDataFrame([(0, 0, 0, r, k) for r in range(2) for k in range(4)], "doc_id int, page int, region_id int, row_idx int, col_idx int")
+    b = spark.createDataFrame([(0, 0, 0, 10.0, 20.0, 50.0, 60.0)], "doc_id int, page int, region_id int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["row_idx"], r["col_idx"]): (r["x1"], r["y1"], r["x2"], r["y2"]) for r in tiers.grid_boxes(c, b).collect()}
+    assert got[1, 2] == (30.0, 40.0, 40.0, 60.0) and len(got) == 8
 
 
 def test_region_ids(spark):
