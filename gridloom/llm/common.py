@@ -81,8 +81,8 @@ def sub_batches(batch: pa.RecordBatch, text: int, most: int = CHUNK_BYTES):
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts end to end, and the n+1 offsets; null as the empty text."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """UTF-8 bytes of all texts end to end, and the n+1 offsets; null as the empty text. Of a binary column, its bytes."""
+    column = column.cast(pa.large_binary()).fill_null(b"") if pa.types.is_binary(column.type) else column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

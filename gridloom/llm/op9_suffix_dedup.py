@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,21 +27,22 @@ from .suffix_array import permuted_common_prefixes, suffix_array
 SPAN, GRAM = 50, 12
 #: Text behind one shard of the anchors' keys; segment bytes that one suffix array takes (so few that it stays in cache),
 #: and those of an anchor above which its strings go their own ways.
-KEY_SHARD, ARRAY_BYTES, HOT_BYTES = 4 << 20, 1 << 17, 1 << 20
+KEY_SHARD, ARRAY_BYTES, HOT_BYTES = 4 << 20, 1 << 16, 1 << 20
 #: Of how many different segments one, by hash, is counted to find such anchors. Every segment goes on either way.
 COUNTED = 64
+#: Bytes of text whose anchors are found at a time, so that the work stays in cache.
+CACHED = 1 << 15
 #: The bytes of an anchor's hash that are passed on.
 LOW = np.uint64((1 << 32) - 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, offsets: np.ndarray, pre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every text: where each segment's first string starts, how many strings it has, its anchor's hash, its text,
-    where its anchor starts."""
+    where its anchor starts; pre: the data's prefix hashes."""
     width = SPAN - GRAM + 1
     none = np.zeros(0, np.int64)
     if len(data) < SPAN:
         return none, none, np.zeros(0, np.uint64), none, none
-    pre = prefix_hash(data)
     n = len(data) - GRAM + 1
     h = mix64((pre[GRAM:] - pre[:n]) * powers(n, inverse=True) + np.uint64(GRAM))
     # least hash, then leftmost: the place in the low bits decides between equal high bits
@@ -66,10 +68,10 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, count, h[at[first]], doc[first], at[first]
 
 
-def sides(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sides(pre: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the anchors at `at` with as many bytes on the left, or the right, as a string must have on one side; and
     which there are (2, n). Strings agree only if their anchors do on one side."""
-    pre, side = prefix_hash(data), (SPAN - GRAM + 1) // 2
+    side = (SPAN - GRAM + 1) // 2
     left, right = at - side >= offsets[doc], at + GRAM + side <= offsets[doc + 1]
     a = span_hash(pre, np.where(left, at - side, at), at + GRAM)
     b = span_hash(pre, at, np.where(right, at + GRAM + side, at + GRAM))
@@ -99,12 +101,19 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("passages")
-        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 19)):
+        for batch in (s for b in batches for s in sub_batches(b, 2)):
             ids, x = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            data, off = buffers(batch.column(2))
-            _, _, _, doc, at = segments(data, off)
-            both, there = sides(data, off, at, doc)
-            h, doc = np.concatenate([both[k][there[k]] for k in (0, 1)]), np.concatenate([doc[there[k]] for k in (0, 1)])
+            hashes, docs, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+            for part in sub_batches(batch, 2, CACHED):
+                data, off = buffers(part.column(2))
+                pre = prefix_hash(data)
+                _, _, _, doc, at = segments(data, off, pre)
+                both, there = sides(pre, off, at, doc)
+                for k in (0, 1):
+                    hashes.append(both[k][there[k]])
+                    docs.append(doc[there[k]] + done)
+                done += part.num_rows
+            h, doc = np.concatenate(hashes), np.concatenate(docs)
             shard = _shard(h, shards)
             order = np.lexsort((doc, ids[doc], h & LOW, shard))
             h, doc, shard = (h & LOW)[order], doc[order], shard[order]
@@ -180,8 +189,9 @@ def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFr
 
     def find(ids: np.ndarray, x: np.ndarray, packed: list[bytes], keys: pa.ListArray) -> pa.RecordBatch:
         data, off = _texts(packed)
-        start, strings, h, doc, at = segments(data, off)
-        both, there = sides(data, off, at, doc)
+        pre = prefix_hash(data)
+        start, strings, h, doc, at = segments(data, off, pre)
+        both, there = sides(pre, off, at, doc)
         # the document's number among these tells equal anchors apart
         tag = lambda d, key: mix64(mix64(d.astype(np.uint64)) + key)
         want = tag(np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False)), keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
@@ -189,11 +199,11 @@ def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFr
         for k in (0, 1):
             keep |= there[k] & np.isin(tag(doc, (both[k] & LOW) + (_shard(both[k], shards).astype(np.uint64) + np.uint64(1) << np.uint64(32))), want)
         start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
-        mark = span_hash(prefix_hash(data), start, start + strings + SPAN - 1)
+        mark = span_hash(pre, start, start + strings + SPAN - 1)
         return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(x[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=PLACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 17)):
+        for batch in (s for b in batches for s in sub_batches(b, 2, CACHED)):
             yield find(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3))
 
     flags = anchors.groupBy("id", "x").agg(F.collect_list("key").alias("keys"))
@@ -241,32 +251,41 @@ def contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, mark, content, least) of segments wanted: (mark, first: struct(id, x, start, strings, h))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in (s for b in batches for s in sub_batches(b, 1, 1 << 17)):
-            rows = []
-            for i, packed, segs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = unpack(packed)
-                rows += [(s["h"], s["mark"], text[s["start"] : s["start"] + s["strings"] + SPAN - 1], i) for s in segs]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.binary(), pa.int64()], strict=True)], names=["h", "mark", "content", "least"])
+            segs = batch.column(2)
+            many = segs.value_lengths().to_numpy(zero_copy_only=False)
+            flat = segs.flatten()
+            start, strings = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "strings"))
+            data, off = _texts(batch.column(1).to_pylist())
+            size = strings + SPAN - 1
+            ends = np.cumsum(size)
+            from_ = start + np.repeat(off[:-1], many) - (ends - size)
+            content = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(from_, size)]
+            cut = pa.py_buffer(np.r_[0, ends].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([flat.field("h"), flat.field("mark"), pa.Array.from_buffers(pa.binary(), len(size), [None, cut, pa.py_buffer(content)]), pa.array(np.repeat(batch.column(0).to_numpy(), many))], names=["h", "mark", "content", "least"])
 
     by_id = wanted.groupBy("first.id", "first.x").agg(F.collect_list(F.struct("mark", F.col("first.start").alias("start"), F.col("first.strings").alias("strings"), F.col("first.h").alias("h"))).alias("segs"))
     return texts.join(by_id.hint("merge"), ["id", "x"]).select("id", "packed", "segs").mapInArrow(run, "h long, mark long, content binary, least long")
 
 
-def least_ids(marks: np.ndarray, contents: list[bytes], ids: np.ndarray) -> tuple[list[int], list[list[int]], list[list[int]]]:
-    """For distinct segments with the least id of each: mark, and the runs (first string of a run, least id of its strings)
-    of those with a string whose least id isn't the segment's own or that others have."""
-    size = np.array([len(c) for c in contents])
-    data = np.frombuffer(b"\x00".join(contents) + b"\x00", np.uint8)
-    start = np.r_[0, np.cumsum(size + 1)[:-1]]
-    text = data.astype(np.int32) + 1
-    text[start + size] = 0
+def least_ids(contents: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct segments with the least id of each: runs of strings with one least id, where each segment's begin (n+1
+    numbers), the first string of each run in its segment, and the least id of its strings."""
+    raw, off = buffers(contents)
+    size = np.diff(off)
+    # end to end, each behind a separator that is less than all bytes
+    start = off[:-1] + np.arange(len(size))
+    data = np.zeros(len(raw) + len(size), np.uint8)
+    text = np.zeros(len(data), np.int32)
+    place = np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)
+    data[place] = raw
+    text[place] = raw.astype(np.int32) + 1
     order = suffix_array(text)
-    del text
     strings = size - SPAN + 1
     owner = np.repeat(np.arange(len(size)), strings)
-    place = start[owner] + np.arange(len(owner)) - np.r_[0, np.cumsum(strings)[:-1]][owner]
-    seg_at = np.full(len(data), -1)
+    first = np.cumsum(strings) - strings
+    place = np.arange(len(owner)) + (start - first)[owner]
+    seg_at = np.full(len(data), -1, np.int32)
     seg_at[place] = owner
     order = order[seg_at[order] >= 0]  # whole strings only
     common = permuted_common_prefixes(data, order, SPAN)
@@ -276,13 +295,10 @@ def least_ids(marks: np.ndarray, contents: list[bytes], ids: np.ndarray) -> tupl
     by_place = np.zeros(len(data), np.int64)
     by_place[order] = least
     value = by_place[place]
-    first = np.r_[0, np.cumsum(strings)[:-1]]
     change = np.r_[True, (value[1:] != value[:-1])]
     change[first] = True
     runs = np.flatnonzero(change)
-    cut = np.searchsorted(runs, np.r_[first, len(value)])
-    at = place[runs] - start[owner[runs]]
-    return marks.tolist(), [at[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)], [value[runs[a:b]].tolist() for a, b in zip(cut, cut[1:], strict=False)]
+    return np.searchsorted(runs, np.r_[first, len(value)]), place[runs] - start[owner[runs]], value[runs]
 
 
 def repeated_strings(segs: DataFrame) -> DataFrame:
@@ -290,21 +306,34 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("passages")
-        held, size = [], 0
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            marks, at, least = least_ids(np.array([r[1] for r in held]), [r[2] for r in held], np.array([r[3] for r in held]))
-            return pa.RecordBatch.from_arrays([pa.array(marks), pa.array([len(r[2]) for r in held], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(least, pa.list_(pa.int64()))], names=["mark", "size", "at", "least"])
+            t = pa.Table.from_batches(held).combine_chunks()
+            marks, content, ids = t.column(1).chunk(0), t.column(2).chunk(0), t.column(3).to_numpy()
+            cut, at, least = least_ids(content, ids)
+            cut = pa.array(cut.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(least))]
+            return pa.RecordBatch.from_arrays([marks, pc.binary_length(content).cast(pa.int64()), *lists], names=["mark", "size", "at", "least"])
 
-        last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != last and size >= ARRAY_BYTES:  # an anchor's segments, HOT_BYTES at most, stay together
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+            # an anchor's segments, HOT_BYTES at most, stay together
+            edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
+            lo = 0
+            for a, b in zip(edges, edges[1:], strict=False):
+                if size >= ARRAY_BYTES and h[a] != last:
+                    if a > lo:
+                        held.append(batch.slice(lo, a - lo))
                     yield flush()
-                    held, size = [], 0
-                last = row[0]
-                held.append(row)
-                size += len(row[2])
+                    held, size, lo = [], 0, int(a)
+                size += int(ends[b - 1] - (ends[a - 1] if a else 0))
+                last = h[a]
+            held.append(batch.slice(lo))
         if held:
             yield flush()
 
