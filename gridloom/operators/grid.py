@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.exprs import non_numeric, numeric, trim
 from ..functions.storage import materialize
 from ..functions.folds import cluster_rows, fold_groups, start_clusters
-from .layout import PAGE, REGION, item_bbox
+from .layout import PAGE, REGION, discover_regions, item_bbox
 
 #: Header spans this close are one column.
 TOUCH = 3
@@ -77,14 +77,25 @@ def header_rows(cells: DataFrame) -> DataFrame:
     return by_row.withColumn("_stop", stop).select(*REGION, "row_idx", (F.col("_stop").isNull() | (F.col("row_idx") < F.col("_stop"))).alias("is_header"))
 
 
-def tables(items: DataFrame) -> DataFrame:
-    """Cells of all regions with is_header: the whole path from positioned text."""
-    from .layout import discover_regions
+def region_rows(items: DataFrame) -> DataFrame:
+    """Items of positioned text with region_idx and row_idx."""
+    return materialize(rows(discover_regions(items)))
 
-    c = materialize(cells(assign_columns(materialize(rows(discover_regions(items))))))
+
+def tables(placed: DataFrame) -> DataFrame:
+    """Cells of all regions with is_header: the rest of the path from `region_rows`."""
+    c = materialize(cells(assign_columns(placed)))
     return materialize(c.join(header_rows(c), [*REGION, "row_idx"]))
 
 
+def expected_columns(placed: DataFrame) -> DataFrame:
+    """(doc_id, page, region_idx, expected): the larger of a region's own column ranges and what the regions up to it make the document expect."""
+    own = column_bounds(placed).select(*REGION, (F.size("bounds") + 1).alias("n"))
+    own = placed.select(*REGION).distinct().join(own, REGION, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    seen = own.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "region_idx")))
+    return seen.join(column_counts_model(seen), ["doc_id", "ord"]).select(*REGION, F.greatest("n", "expected").alias("expected"))
+
+
 def column_counts_model(observed: DataFrame) -> DataFrame:
     """(doc_id, ord, n) to expected: the mode of the counts so far (2 or more), the wider on ties, 0 before three observations.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import SOURCES
+
 
 def resolve_policy(pages: DataFrame, policy: str = "auto") -> DataFrame:
     """(doc_id, policy, warning) from pages (doc_id, ord, n_regions): per-region where all pages with regions have as many.
@@ -42,4 +44,10 @@ def diagnostics(pages: DataFrame, regions: DataFrame, sheet_rows: DataFrame, out
     else:
         out = out.withColumn("unassigned_text_items", F.lit(0).cast("long"))
     zero = ["total_regions", "total_rows", "unassigned_text_items"]
-    return out.select("doc_id", "total_pages", "ocr_pages", *(F.coalesce(c, F.lit(0)).alias(c) for c in zero), "tier_counts", F.lit(0).cast("long").alias("ambiguous_cells"))
+    tiers = F.create_map(*(x for s in SOURCES for x in (F.lit(s), F.coalesce(F.try_element_at("tier_counts", F.lit(s)), F.lit(0).cast("long")))))
+    return out.select("doc_id", "total_pages", "ocr_pages", *(F.coalesce(c, F.lit(0)).alias(c) for c in zero), tiers.alias("tier_counts"), F.lit(0).cast("long").alias("ambiguous_cells"))
+
+
+def without_sheets(diagnostics: DataFrame) -> DataFrame:
+    """Diagnostics where each region has its sheet: a document without regions has no sheet, so none of its pages is written or counted."""
+    return diagnostics.select(*(F.when(F.col("total_regions") > 0, F.col(c)).otherwise(0).alias(c) if c not in ("doc_id", "tier_counts") else F.col(c) for c in diagnostics.columns))

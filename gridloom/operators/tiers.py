@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import trim
+from ..functions.storage import materialize
 from .metrics import content_gate
 
 PLACE = ["doc_id", "page", "region_id"]
+GRID, TABLES = "vector-grid-cells", "region-tables"
 
 
 def markdown_rows(markdown: Column) -> Column:
@@ -22,7 +24,7 @@ def markdown_rows(markdown: Column) -> Column:
 def structured_rows(cells: DataFrame) -> DataFrame:
     """Supplied grid cells (place, row, col, text, is_header) as cells: a row is a header if any of its cells is."""
     head = cells.groupBy(*PLACE, "row").agg(F.max("is_header").alias("is_header"))
-    return cells.drop("is_header").join(head, [*PLACE, "row"]).select(*PLACE, F.col("row").alias("row_idx"), F.col("col").alias("col_idx"), "text", "is_header", F.lit(1.0).alias("confidence"))
+    return cells.drop("is_header").join(head, [*PLACE, "row"]).select(*PLACE, F.col("row").alias("row_idx"), F.col("col").alias("col_idx"), trim(F.col("text")).alias("text"), "is_header", F.lit(1.0).alias("confidence"))
 
 
 def region_markdown_rows(regions: DataFrame) -> DataFrame:
@@ -39,18 +41,37 @@ def grid_boxes(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     return out.select(*cells.columns, (F.col("x1") + F.col("col_idx") * w).alias("x1"), (F.col("y1") + F.col("row_idx") * h).alias("y1"), (F.col("x1") + (F.col("col_idx") + 1) * w).alias("x2"), (F.col("y1") + (F.col("row_idx") + 1) * h).alias("y2"))
 
 
-def choose_tier(baseline: DataFrame, structured: DataFrame, markdown: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def lacking(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(place, expected, missing): the words of the clustered text, and how many of them each candidate lacks; none where that has no words."""
+    gate = content_gate(baseline, candidate, PLACE).select(*PLACE, "expected", "missing")
+    return candidate.select(*PLACE).distinct().join(gate, PLACE, "left").select(*PLACE, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("expected", "missing")))
+
+
+def choose_tier(baseline: DataFrame, structured: DataFrame, markdown: DataFrame, expected: DataFrame, failed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells, sources, warnings): supplied grid cells if they lack no word of the clustered text, else markdown
-    rows wide enough (expected: place, expected columns) that lack none, else the clustered text."""
+    rows wide enough (expected: place, expected columns) that lack none, else the clustered text.
+
+    failed: place and tier of detections that failed. Markdown is one detection a page, so all its regions without grid cells do without.
+    """
     base = baseline.select(*PLACE, "row_idx", "col_idx", "text", "is_header", "confidence")
-    a, b = structured_rows(structured), region_markdown_rows(markdown)
-    gate_a = content_gate(base, a, PLACE).join(a.select(*PLACE).distinct(), PLACE, "left_semi")
+    places = base.select(*PLACE).distinct()
+    if failed is None:
+        failed = places.limit(0).withColumn("tier", F.lit(""))
+    no_a = failed.where(F.col("tier") == GRID).select(*PLACE).distinct()
+    no_b = failed.where(F.col("tier") == TABLES).select("doc_id", "page").distinct()
+    a = structured_rows(structured).join(places, PLACE, "left_semi").join(no_a, PLACE, "left_anti")
+    gate_a = materialize(lacking(base, a))
+    pending = places.join(gate_a.where("missing = 0"), PLACE, "left_anti")
+    b = region_markdown_rows(markdown).join(pending, PLACE, "left_semi").join(no_b, ["doc_id", "page"], "left_anti")
     wide = b.where("row_idx = 0").groupBy(*PLACE).agg((F.max("col_idx") + 1).alias("w")).join(expected, PLACE, "left").where(F.col("w") >= F.coalesce("expected", F.lit(0)))
-    gate_b = content_gate(base, b, PLACE).join(wide.select(*PLACE), PLACE, "left_semi")
-    picked = base.select(*PLACE).distinct().join(gate_a.select(*PLACE, F.col("accepted").alias("a")), PLACE, "left").join(gate_b.select(*PLACE, F.col("accepted").alias("b")), PLACE, "left")
-    source = F.when(F.col("a"), "vector-grid-cells").when(F.col("b"), "region-tables").otherwise("clustered")
-    sources = picked.select(*PLACE, source.alias("source"))
-    refused = gate_a.where("NOT accepted").withColumn("tier", F.lit("vector-grid-cells")).unionByName(gate_b.where("NOT accepted").withColumn("tier", F.lit("region-tables")))
-    warnings = refused.select("doc_id", F.lit("tier-incomplete").alias("kind"), "page", "region_id", F.concat("tier", F.lit(" lacks "), F.col("missing").cast("string"), F.lit(" words")).alias("message"))
+    gate_b = materialize(lacking(base, b.join(wide.select(*PLACE), PLACE, "left_semi")))
+    gates = gate_a.withColumn("tier", F.lit(GRID)).unionByName(gate_b.withColumn("tier", F.lit(TABLES)))
+    source = F.coalesce("tier", F.lit("clustered"))
+    sources = materialize(places.join(gates.where("missing = 0").select(*PLACE, "tier"), PLACE, "left").select(*PLACE, source.alias("source")))
+    share = F.format_number(100 * F.col("missing") / F.col("expected"), 1)
+    refused = F.concat("tier", F.lit(" lacks "), F.col("missing").cast("string"), F.lit(" words ("), share, F.lit("%)"))
+    fallen = places.join(no_a, PLACE, "left_semi").withColumn("tier", F.lit(GRID)).unionByName(pending.join(no_b, ["doc_id", "page"], "left_semi").withColumn("tier", F.lit(TABLES)))
+    warn = lambda df, kind, message: df.select("doc_id", F.lit(kind).alias("kind"), "page", "region_id", message.alias("message"))
+    warnings = warn(gates.where("missing > 0"), "tier-incomplete", refused).unionByName(warn(fallen, "tier-fallback", F.concat("tier", F.lit(" failed"))))
     of = lambda cells, name: cells.join(sources.where(F.col("source") == name).select(*PLACE), PLACE, "left_semi").select(*base.columns)
-    return of(a, "vector-grid-cells").unionByName(of(b, "region-tables")).unionByName(of(base, "clustered")), sources, warnings
+    return of(a, GRID).unionByName(of(b, TABLES)).unionByName(of(base, "clustered")), sources, warnings

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,10 @@ from ..operators.layout import PAGE, REGION
 from ..sources import xlsx
 
 
+#: Characters of a text of no region that its warning shows.
+UNASSIGNED = 50
+
+
 @dataclass
 class Conversion:
     sheet_rows: DataFrame
@@ -26,9 +30,13 @@ class Conversion:
 
 def region_cells(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cells, boxes) of all regions of positioned text, with region_id the region's number on its page."""
-    cells = grid.tables(items).withColumnRenamed("region_idx", "region_id")
+    return _cells(grid.region_rows(items))
+
+
+def _cells(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cells = grid.tables(placed).withColumnRenamed("region_idx", "region_id")
     boxes = cells.groupBy(*headers.REGION).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    return cells.select(*headers.ROW, "is_header", "col_idx", "text"), boxes
+    return cells.select(*headers.ROW, "is_header", "col_idx", "text", "confidence"), boxes
 
 
 def continued_ids(cells: DataFrame, pages: DataFrame, boxes: DataFrame | None = None, page_text: DataFrame | None = None, numbers: tuple[int, ...] = ()) -> DataFrame:
@@ -58,21 +66,66 @@ def number_at(numbers: tuple[int, ...], place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, numbers)), place + 1)
 
 
-def convert_items(items: DataFrame, options: Options = Options(), ocr_pages: DataFrame | None = None, page_text: DataFrame | None = None) -> Conversion:
+@dataclass
+class Supplied:
+    """What other tools found in the documents, as tables; each may be missing.
+
+    structured: grid cells (doc_id, page, region_id, row, col, text, is_header), region_id being the region's number on its page.
+    markdown: tables of regions (doc_id, page, region_id, text, needs_ocr). failed: (doc_id, page, region_id, tier) of failed detections.
+    titles: (doc_id, page, rank, text). outside: text of no region (doc_id, page, text, assigned).
+    plain: pages that are rows already (doc_id, page, rows), of documents whose other pages are positioned text.
+    """
+
+    structured: DataFrame | None = None
+    markdown: DataFrame | None = None
+    failed: DataFrame | None = None
+    titles: DataFrame | None = None
+    outside: DataFrame | None = None
+    plain: DataFrame | None = None
+
+
+def tiered_cells(items: DataFrame, given: Supplied) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(cells, boxes, sources, warnings): positioned text where no supplied table is complete."""
+    placed = grid.region_rows(items)
+    cells, boxes = _cells(placed)
+    none = cells.select(*tiers.PLACE).limit(0)
+    structured = none.select("*", F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit("").alias("text"), F.lit(False).alias("is_header")) if given.structured is None else given.structured
+    markdown = none.select("*", F.lit("").alias("text"), F.lit(False).alias("needs_ocr")) if given.markdown is None else given.markdown
+    expected = grid.expected_columns(placed).withColumnRenamed("region_idx", "region_id")
+    picked, sources, warnings = tiers.choose_tier(cells, structured, markdown, expected, given.failed)
+    return picked, boxes, sources, warnings
+
+
+def convert_items(items: DataFrame, options: Options = Options(), ocr_pages: DataFrame | None = None, page_text: DataFrame | None = None, given: Supplied = Supplied()) -> Conversion:
     """The main path: items of the columns of model.TEXT_ITEMS to the rows of workbooks.
 
+    Supplied tables of regions are looked at where `extraction` is auto; clustered and positions read the text alone.
     All window and join keys begin with the document, and everything a document decides (pattern, canonical header, policy)
     is one small row of it. Pages asked for by number come in the order given, repeats as pages of their own.
     """
+    if options.extraction not in ("clustered", "positions", "auto"):
+        raise ValueError(f"extraction {options.extraction!r} isn't one of positioned text")
     numbers = options.page_numbers
-    pages = layout.page_list(items, numbers)
+    every = items.select(*PAGE) if given.plain is None else items.select(*PAGE).unionByName(given.plain.select(*PAGE))
+    pages = layout.page_list(every, numbers)
     if numbers:  # inside, a page is its place in the list, which is as long as the option
         asked = items.sparkSession.createDataFrame(list(enumerate(numbers)), "ord int, page int")
-        at = lambda df: df.join(F.broadcast(asked), "page").drop("page").withColumnRenamed("ord", "page")
+        at = lambda df: df if df is None else df.join(F.broadcast(asked), "page").drop("page").withColumnRenamed("ord", "page")
         pages = pages.select("doc_id", F.col("ord").alias("page"), "ord")
-        items, ocr_pages, page_text = at(items), ocr_pages if ocr_pages is None else at(ocr_pages), page_text if page_text is None else at(page_text)
-    cells, boxes = region_cells(items)
-    cells = materialize(headers.reconstruct_headers(cells))
+        items, ocr_pages, page_text = at(items), at(ocr_pages), at(page_text)
+        given = Supplied(**{f.name: at(getattr(given, f.name)) for f in fields(Supplied)})
+    tier_warnings = None
+    if options.extraction == "auto":
+        cells, boxes, sources, tier_warnings = tiered_cells(items, given)
+        cells = headers.reconstruct_headers(cells).join(sources, headers.REGION)
+    else:
+        cells, boxes = region_cells(items)
+        cells = headers.reconstruct_headers(cells).withColumn("source", F.lit("clustered"))
+    if given.plain is not None:
+        rows = render.page_rows_layout(given.plain).select(*headers.ROW, "is_header", "col_idx", "text")
+        boxes = boxes.unionByName(rows.select(*headers.REGION).distinct().select("*", *(F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2"))))
+        cells = cells.unionByName(headers.reconstruct_headers(rows).withColumn("source", F.lit("clustered")))
+    cells = materialize(cells)
     decisions = None
     if options.merge_continuations:
         cells, decisions = merge.merge_side_by_side(cells, boxes, page_text)
@@ -81,23 +134,33 @@ def convert_items(items: DataFrame, options: Options = Options(), ocr_pages: Dat
     chosen = policy.resolve_policy(pages.join(counts, PAGE, "left").withColumn("n_regions", F.coalesce("n_regions", F.lit(0))), options.worksheet_policy)
     if options.merge_continuations:
         cells = materialize(continued_ids(cells, pages, boxes, page_text, numbers))
-    regions = cells.select(*headers.REGION).distinct().withColumn("source", F.lit("clustered"))
+    # a region that others were merged into keeps its source, and its own rows come first
+    regions = cells.groupBy(*headers.REGION).agg(F.min_by("source", "row_idx").alias("source"))
+    cells = cells.drop("source")
     kept = materialize(headers.filter_headers(cells, options.keep_repeated_headers))
     chosen = materialize(chosen)
     split = kept.join(chosen.select("doc_id", "policy"), "doc_id")
     cols = kept.columns
-    one = render.per_region(split.where("policy = 'per-region'").select(*cols), keep_repeated=options.keep_repeated_headers)
+    title = {p: given.titles if given.titles is None else given.titles.join(chosen.where(F.col("policy") == p).select("doc_id"), "doc_id", "left_semi") for p in ("per-region", "stacked")}
+    one = render.per_region(split.where("policy = 'per-region'").select(*cols), title["per-region"], options.keep_repeated_headers)
     stacked_regions = regions.join(chosen.where("policy = 'stacked'").select("doc_id"), "doc_id", "left_semi")
-    rows = one.unionByName(render.stacked(split.where("policy = 'stacked'").select(*cols), stacked_regions))
+    rows = one.unionByName(render.stacked(split.where("policy = 'stacked'").select(*cols), stacked_regions, title["stacked"]))
     warnings = chosen.where("warning IS NOT NULL").select("doc_id", F.lit("region-count-unstable").alias("kind"), F.lit(-1).alias("page"), F.col("warning").alias("message"))
     if decisions is not None:
         warnings = warnings.unionByName(merge.merge_warnings(decisions))
+    if tier_warnings is not None:
+        warnings = warnings.unionByName(tier_warnings.select("doc_id", "kind", "page", "message"))
+    if given.outside is not None:
+        text = F.concat(F.lit("text of no region: "), F.substring("text", 1, UNASSIGNED))
+        warnings = warnings.unionByName(given.outside.where("NOT assigned").select("doc_id", F.lit("unassigned-text").alias("kind"), "page", text.alias("message")))
     flagged = pages.withColumn("needs_ocr", F.lit(False))
     if ocr_pages is not None:
         flagged, ocr = layout.ocr_flags(pages, ocr_pages)
         warnings = warnings.unionByName(ocr.select("doc_id", "kind", "page", "message"))
     rows = materialize(rows)
-    counted = policy.diagnostics(flagged, regions, rows)
+    counted = policy.diagnostics(flagged, regions, rows, given.outside)
+    if options.worksheet_policy == "per-region":
+        counted = policy.without_sheets(counted)
     if numbers:
         real = lambda c: F.when(F.col(c) >= 0, number_at(numbers, F.col(c))).otherwise(F.col(c))
         warnings = warnings.withColumn("page", real("page"))
@@ -123,11 +186,16 @@ def convert_markdown(pages: DataFrame, include_page: bool = False) -> DataFrame:
     return convert_pages(pages.withColumn("rows", tiers.markdown_rows(F.col("markdown"))), include_page)
 
 
-__all__ = ["REGION", "Conversion", "continued_ids", "convert_items", "convert_markdown", "convert_pages", "region_cells", "write_conversion"]
+def convert(pages: DataFrame, options: Options = Options(), given: Supplied = Supplied()) -> Conversion | DataFrame:
+    """By what the pages are: positioned text to a Conversion; pages of markdown (extraction markdown-legacy) or of rows to sheet rows."""
+    if options.extraction == "markdown-legacy" or "markdown" in pages.columns:
+        return convert_markdown(pages, options.include_page_column)
+    if "rows" in pages.columns:
+        return convert_pages(pages, options.include_page_column)
+    return convert_items(pages, options, given=given)
 
 
-#: The other name of the main path.
-convert = convert_items
+__all__ = ["REGION", "Conversion", "Supplied", "continued_ids", "convert", "convert_items", "convert_markdown", "convert_pages", "region_cells", "tiered_cells", "write_conversion"]
 
 
 def postprocess(cells: DataFrame, keep_repeated_headers: bool = False) -> tuple[DataFrame, DataFrame]:

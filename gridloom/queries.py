@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .functions.exprs import numeric
 from .model import Options
 from .operators import evaluation, grid, headers, layout, merge, metrics, policy, render, tiers
-from .plans.convert import convert_items, convert_markdown, region_cells
+from .plans.convert import Supplied, convert_items, convert_markdown, region_cells
 from .sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -466,6 +466,35 @@ def tier_choice(spark, sf_dir):
     return tiers.choose_tier(cells, given, none, cells.select(*tiers.PLACE, F.lit(3).alias("expected")).distinct())[1].select("doc_id", (F.col("source") == "vector-grid-cells").alias("from_grid"))
 
 
+def _supplied(items: DataFrame) -> Supplied:
+    """Tables of the grid fixture: on every third page cells of a grid, without a word on every sixth; markdown where pages aren't 2 by 3, without a column on some; failures."""
+    row, col = F.floor(F.col("seq") / 5).cast("int"), (F.col("seq") % 5).cast("int")
+    cells = items.select(*P, F.lit(0).alias("region_id"), "seq", row.alias("row"), col.alias("col"), "text", (row == 0).alias("is_header"))
+    narrow = (F.col("page") % 9 == 1) & (F.col("seq") == 4)
+    line = cells.where((F.col("page") % 3 != 2) & ~narrow).groupBy(*P, "region_id", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " | ").alias("t"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "t"))), lambda r: F.concat(F.lit("| "), r["t"], F.lit(" |"))), "\n")
+    failed = cells.where("page % 6 = 2").select(*P, "region_id").distinct().withColumn("tier", F.lit(tiers.GRID))
+    return Supplied(cells.where("page % 3 = 0 AND NOT (page % 6 = 3 AND seq = 4)").drop("seq"), line.groupBy(*P, "region_id").agg(text.alias("text")).withColumn("needs_ocr", F.lit(False)), failed)
+
+
+@query(f"""SELECT DISTINCT doc_id, page, CASE WHEN page%6=0 THEN 'vector-grid-cells' WHEN page%3=0 OR page%3=1 AND page%9<>1 THEN 'region-tables' ELSE 'clustered' END AS source,
+ CASE WHEN page%6=3 THEN 'tier-incomplete: vector-grid-cells lacks 1 words' WHEN page%6=2 THEN 'tier-fallback: vector-grid-cells failed' ELSE '' END AS warned FROM ({fx.GRID}) g""")
+def tier_modes(spark, sf_dir):
+    """The source of each region of a conversion that looks at supplied tables, and what it warns of."""
+    items = table(spark, sf_dir, fx.GRID)
+    out = convert_items(items, Options(extraction="auto"), given=_supplied(items))
+    warned = out.warnings.where("kind LIKE 'tier-%'").select(*P, F.concat("kind", F.lit(": "), F.split("message", r" \(")[0]).alias("warned"))
+    return out.regions.join(warned, P, "left").select(*P, "source", F.coalesce("warned", F.lit("")).alias("warned"))
+
+
+@query("SELECT o_orderkey AS order_key, CAST(o_custkey AS VARCHAR) AS customer, o_orderstatus AS status, o_orderpriority AS priority, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date FROM orders")
+def roundtrip_tiers(spark, sf_dir):
+    """Whatever source each page has, its rows are the orders."""
+    items = table(spark, sf_dir, fx.GRID)
+    rows = convert_items(items, Options(extraction="auto"), given=_supplied(items)).sheet_rows.where("NOT is_header AND kind = 'row'")
+    return rows.select(F.col("values")[0].cast("long").alias("order_key"), *(F.col("values")[i].alias(c) for i, c in enumerate(("customer", "status", "priority", "date"), 1)))
+
+
 @query("SELECT CAST(floor(o_orderkey/500.0) AS INT) AS doc_id, count(*)+1 AS rows, 5 AS max_columns, 5*(count(*)+1) AS filled_cells FROM orders GROUP BY ALL")
 def workbook_stats(spark, sf_dir):
     return metrics.workbook_stats(convert_items(table(spark, sf_dir, fx.GRID), Options(worksheet_policy="per-region")).sheet_rows).select("doc_id", "rows", "max_columns", "filled_cells")

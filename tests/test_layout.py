@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.folds import cluster_rows, start_clusters
 from gridloom.model import TEXT_ITEMS, Options
 from gridloom.operators import grid, headers, layout, merge, metrics, policy, render, tiers
-from gridloom.plans.convert import convert_items, convert_pages
+from gridloom.plans.convert import Supplied, convert, convert_items, convert_pages
 from gridloom.sources import xlsx
 
 
@@ -275,3 +275,79 @@ def test_coverage_of_nothing_is_zero(spark):
     none = metrics.token_multiset(spark.createDataFrame([("",)], "text string"), "text")
     r = metrics.coverage(none, none).first()
     assert (r["recall"], r["precision"], r["f1"]) == (0.0, 0.0, 0.0) and not math.isnan(r["f1"])
+
+
+TABLE = [("Name", "Amount"), ("ab", "1"), ("cd", "2"), ("ef", "3"), ("gh", "4")]
+
+
+def small_table(spark, pages=1):
+    out = None
+    for p in range(pages):
+        df = items(spark, [(40 + 150 * c, 700 - 20 * i, 60, t) for i, r in enumerate(TABLE) for c, t in enumerate(r)], p)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def test_supplied_tables_replace_text_only_if_complete(spark):
+    """Page 0: a grid. 1: a grid without a word and whole markdown. 2: narrow markdown. 3: markdown detection failed. 4: a page for OCR."""
+    grid_cells = [(0, p, 0, i, c, f" {t} ", i == 0) for p in (0, 1) for i, r in enumerate(TABLE) for c, t in enumerate(r) if (p, i, c) != (1, 2, 0)]
+    text = "\n".join("| " + " | ".join(r) + " |" for r in TABLE)
+    narrow = "| Name |\n" + text.split("\n", 1)[1] + "\n| Amount | |"
+    given = Supplied(
+        spark.createDataFrame(grid_cells, "doc_id int, page int, region_id int, row int, col int, text string, is_header boolean"),
+        spark.createDataFrame([(0, 1, 0, text, False), (0, 2, 0, narrow, False), (0, 3, 0, text, False), (0, 4, 0, text, True)], "doc_id int, page int, region_id int, text string, needs_ocr boolean"),
+        spark.createDataFrame([(0, 3, 0, tiers.TABLES)], "doc_id int, page int, region_id int, tier string"),
+    )
+    out = convert_items(small_table(spark, 5), Options(extraction="auto", worksheet_policy="stacked", keep_repeated_headers=True), given=given)
+    assert {r["page"]: r["source"] for r in out.regions.collect()} == {0: tiers.GRID, 1: tiers.TABLES, 2: "clustered", 3: "clustered", 4: "clustered"}
+    assert sorted((r["kind"], r["page"], r["message"]) for r in out.warnings.collect()) == [("tier-fallback", 3, "region-tables failed"), ("tier-incomplete", 1, "vector-grid-cells lacks 1 words (10.0%)")]
+    assert [r["values"] for r in out.sheet_rows.where("kind = 'row'").orderBy("row_no").collect()] == [list(r) for r in TABLE] * 5
+    assert out.diagnostics.first()["tier_counts"] == {tiers.GRID: 1, tiers.TABLES: 1, "clustered": 3}
+    plain = convert_items(small_table(spark, 5), Options(worksheet_policy="stacked"), given=given)
+    assert {r["source"] for r in plain.regions.collect()} == {"clustered"} and plain.warnings.count() == 0
+
+
+def test_candidates_of_regions_without_words_are_complete(spark):
+    place = "doc_id int, page int, region_id int"
+    base = spark.createDataFrame([(0, 0, 0, 0, 0, "--", False, 0.7)], place + ", row_idx int, col_idx int, text string, is_header boolean, confidence double")
+    given = spark.createDataFrame([(0, 0, 0, 0, 0, "- -", False)], place + ", row int, col int, text string, is_header boolean")
+    none = spark.createDataFrame([], place + ", text string, needs_ocr boolean")
+    cells, sources, warnings = tiers.choose_tier(base, given, none, spark.createDataFrame([(0, 0, 0, 0)], place + ", expected int"))
+    assert sources.first()["source"] == tiers.GRID and cells.first()["text"] == "- -" and warnings.count() == 0
+
+
+def test_expected_columns(spark):
+    """Three regions of two columns teach the document two; its last, of one column, is expected to have two as well."""
+    last = items(spark, [(40, 700 - 20 * i, 60, t) for i, t in enumerate(("Name", "ab", "1"))], 3)
+    got = grid.expected_columns(grid.region_rows(small_table(spark, 3).unionByName(last))).collect()
+    assert {r["page"]: r["expected"] for r in got} == {0: 2, 1: 2, 2: 2, 3: 2}
+
+
+def test_titles_outside_text_and_plain_pages(spark):
+    given = Supplied(
+        titles=spark.createDataFrame([(0, 0, 0, "A title")], "doc_id int, page int, rank int, text string"),
+        outside=spark.createDataFrame([(0, 0, "n" * 60, False), (0, 0, "near", True)], "doc_id int, page int, text string, assigned boolean"),
+        plain=spark.createDataFrame([(0, 1, [["Name", "Amount"], ["ij", "5"]])], "doc_id int, page int, rows array<array<string>>"),
+    )
+    for policy_name in ("stacked", "per-region"):
+        out = convert_items(small_table(spark), Options(worksheet_policy=policy_name), given=given)
+        got = [(r["kind"], r["values"]) for r in out.sheet_rows.where("kind != 'separator'").orderBy("sheet_idx", "row_no").collect()]
+        assert got == [("title", ["A title"]), *(("row", list(r)) for r in TABLE), ("row", ["ij", "5"])]
+        assert [(r["kind"], r["message"][-50:]) for r in out.warnings.collect()] == [("unassigned-text", "n" * 50)]
+        d = out.diagnostics.first()
+        assert (d["total_pages"], d["total_regions"], d["unassigned_text_items"]) == (2, 2, 1)
+
+
+def test_sheets_by_region_without_regions_count_nothing(spark):
+    blank = items(spark, [])
+    assert convert_items(blank, Options(worksheet_policy="per-region")).diagnostics.first()["total_pages"] == 0
+    assert convert_items(blank).diagnostics.first()["total_pages"] == 1
+
+
+def test_path_by_what_pages_are(spark):
+    rows = spark.createDataFrame([(0, 0, [["a", "b"]])], "doc_id int, ord int, rows array<array<string>>")
+    text = spark.createDataFrame([(0, 0, "| a | b |")], "doc_id int, ord int, markdown string")
+    assert convert(rows).first()["values"] == convert(text, Options(extraction="markdown-legacy")).first()["values"] == ["a", "b"]
+    assert [r["values"] for r in convert(small_table(spark), Options(extraction="positions")).sheet_rows.orderBy("row_no").collect()] == [list(r) for r in TABLE]
+    with pytest.raises(ValueError):
+        convert_items(small_table(spark), Options(extraction="markdown-legacy"))
