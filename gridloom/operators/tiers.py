@@ -59,10 +59,10 @@ def choose_tier(baseline: DataFrame, structured: DataFrame, markdown: DataFrame,
         failed = places.limit(0).withColumn("tier", F.lit(""))
     no_a = failed.where(F.col("tier") == GRID).select(*PLACE).distinct()
     no_b = failed.where(F.col("tier") == TABLES).select("doc_id", "page").distinct()
-    a = structured_rows(structured).join(places, PLACE, "left_semi").join(no_a, PLACE, "left_anti")
+    a = materialize(structured_rows(structured).join(places, PLACE, "left_semi").join(no_a, PLACE, "left_anti"))
     gate_a = materialize(lacking(base, a))
     pending = places.join(gate_a.where("missing = 0"), PLACE, "left_anti")
-    b = region_markdown_rows(markdown).join(pending, PLACE, "left_semi").join(no_b, ["doc_id", "page"], "left_anti")
+    b = materialize(region_markdown_rows(markdown).join(pending, PLACE, "left_semi").join(no_b, ["doc_id", "page"], "left_anti"))
     wide = b.where("row_idx = 0").groupBy(*PLACE).agg((F.max("col_idx") + 1).alias("w")).join(expected, PLACE, "left").where(F.col("w") >= F.coalesce("expected", F.lit(0)))
     gate_b = materialize(lacking(base, b.join(wide.select(*PLACE), PLACE, "left_semi")))
     gates = gate_a.withColumn("tier", F.lit(GRID)).unionByName(gate_b.withColumn("tier", F.lit(TABLES)))
