@@ -177,11 +177,34 @@ def shared_folder(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "gridloom-checkpoints")
 
 
+#: Whether the shuffle files of a written table go when it is written, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stashed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder; unlike a checkpoint it is read by column."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage by a Parquet table in the shared folder; unlike a checkpoint it is read by column. What was shuffled for it goes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stash)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Ids that may be broadcast; more are joined by a shuffle.

@@ -21,10 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, buffers, mix64, powers, prefix_hash, read_documents, span_hash, stashed, sub_batches, worker_cache
+from .common import bounded, buffers, dropped, mix64, powers, prefix_hash, read_documents, span_hash, stashed, sub_batches, worker_cache
 from .suffix_array import permuted_common_prefixes, suffix_array
 
 SPAN, GRAM = 50, 12
+#: Ways in which a string may lie about its anchor, by the bytes in front of it. The more, the longer the text that all strings of a way have.
+WAYS = 3
 #: Text behind one shard of the anchors' keys; segment bytes that one suffix array takes (so few that it stays in cache),
 #: and those of an anchor above which its strings go their own ways.
 KEY_SHARD, ARRAY_BYTES, HOT_BYTES = 4 << 20, 1 << 16, 1 << 20
@@ -68,14 +70,18 @@ def segments(data: np.ndarray, offsets: np.ndarray, pre: np.ndarray) -> tuple[np
     return first, count, h[at[first]], doc[first], at[first]
 
 
-def sides(pre: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the anchors at `at` with as many bytes on the left, or the right, as a string must have on one side; and
-    which there are (2, n). Strings agree only if their anchors do on one side."""
-    side = (SPAN - GRAM + 1) // 2
-    left, right = at - side >= offsets[doc], at + GRAM + side <= offsets[doc + 1]
-    a = span_hash(pre, np.where(left, at - side, at), at + GRAM)
-    b = span_hash(pre, at, np.where(right, at + GRAM + side, at + GRAM))
-    return np.stack([mix64(a + np.uint64(1)), mix64(b + np.uint64(2))]), np.stack([left, right])
+def surroundings(pre: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the anchors at `at` with what all strings of a way have about them, 38 bytes for three ways; and which there
+    are (WAYS, n). Strings agree only if their anchors do in one of them."""
+    most = SPAN - GRAM
+    edge = [k * (most + 1) // WAYS for k in range(WAYS + 1)]
+    keys, there = [], []
+    for k, (left, end) in enumerate(zip(edge, edge[1:], strict=False)):
+        right = GRAM + most - (end - 1)
+        inside = (at - left >= offsets[doc]) & (at + right <= offsets[doc + 1])
+        keys.append(mix64(span_hash(pre, np.where(inside, at - left, at), np.where(inside, at + right, at + GRAM)) + np.uint64(k + 1)))
+        there.append(inside)
+    return np.stack(keys), np.stack(there)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -94,7 +100,7 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """(id, x, key): of each document the anchors with one side, a shard and four bytes in one number, that stand in some other document too.
+    """(id, x, key): of each document the anchors with one of their surroundings, a shard and four bytes in one number, that stand in some other document too.
 
     What two documents of a batch have is known there; its least and its largest id go to the shard, however many have it.
     """
@@ -108,8 +114,8 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
                 data, off = buffers(part.column(2))
                 pre = prefix_hash(data)
                 _, _, _, doc, at = segments(data, off, pre)
-                both, there = sides(pre, off, at, doc)
-                for k in (0, 1):
+                both, there = surroundings(pre, off, at, doc)
+                for k in range(WAYS):
                     hashes.append(both[k][there[k]])
                     docs.append(doc[there[k]] + done)
                 done += part.num_rows
@@ -191,12 +197,12 @@ def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFr
         data, off = _texts(packed)
         pre = prefix_hash(data)
         start, strings, h, doc, at = segments(data, off, pre)
-        both, there = sides(pre, off, at, doc)
+        both, there = surroundings(pre, off, at, doc)
         # the document's number among these tells equal anchors apart
         tag = lambda d, key: mix64(mix64(d.astype(np.uint64)) + key)
         want = tag(np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False)), keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         keep = np.zeros(len(h), bool)
-        for k in (0, 1):
+        for k in range(WAYS):
             keep |= there[k] & np.isin(tag(doc, (both[k] & LOW) + (_shard(both[k], shards).astype(np.uint64) + np.uint64(1) << np.uint64(32))), want)
         start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
         mark = span_hash(pre, start, start + strings + SPAN - 1)
@@ -220,15 +226,16 @@ def distinct(places: DataFrame) -> DataFrame:
 
 
 def split_hot(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The same places, with segments of anchors that have more than HOT_BYTES of different ones taken apart into strings.
+    """The same places, a stash in place of theirs, with segments of anchors that have more than HOT_BYTES of different ones taken apart into strings.
 
     A string that most documents have is then one row of a group by its content, as any other, and no anchor fills one task.
     """
     counted = places.where(F.pmod("mark", F.lit(COUNTED)) == 0).groupBy("h", "mark").agg((F.first("strings") + (SPAN - 1)).alias("size"))
-    hot = stashed(counted.groupBy("h").agg((COUNTED * F.sum("size")).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("h"))
-    if hot.isEmpty():
+    found = stashed(counted.groupBy("h").agg((COUNTED * F.sum("size")).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("h"))
+    if found.isEmpty():
+        dropped(found)
         return places
-    hot = bounded(hot)
+    hot = bounded(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in sub_batches(b, 2, 1 << 17)):
@@ -244,7 +251,9 @@ def split_hot(texts: DataFrame, places: DataFrame) -> DataFrame:
 
     apart = places.join(hot, "h", "left_semi").groupBy("id", "x").agg(F.collect_list(F.struct("start", "strings")).alias("segs"))
     strings = texts.join(apart.hint("merge"), ["id", "x"]).select("id", "x", "packed", "segs").mapInArrow(run, PLACES)
-    return stashed(places.join(hot, "h", "left_anti").select(PLACE).unionByName(strings))
+    out = stashed(places.join(hot, "h", "left_anti").select(PLACE).unionByName(strings))
+    dropped(found, places)
+    return out
 
 
 def contents(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -349,17 +358,27 @@ def earlier_copies(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, x, cuts): of each document with bytes to remove, array of (from, to) byte ranges, sorted; docs: (id, x, text), texts: the same packed."""
+    """(id, x, cuts), a stash: of each document with bytes to remove, array of (from, to) byte ranges, sorted; docs: (id, x, text), texts: the same packed."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // KEY_SHARD) + 1)
     long = docs.where((F.octet_length("text") >= SPAN) & F.col("id").isNotNull())
-    places = split_hot(texts, stashed(shared_segments(texts, stashed(shared_anchors(long, shards)), shards)))
-    known = repeated_strings(contents(texts, distinct(places)))
+    # every step is a stash, so that the disk holds the exchanges of one
+    anchors = stashed(shared_anchors(long, shards))
+    places = stashed(shared_segments(texts, anchors, shards))
+    dropped(anchors)
+    places = split_hot(texts, places)
+    first = stashed(distinct(places))
+    segs = stashed(contents(texts, first))
+    dropped(first)
+    known = stashed(repeated_strings(segs))
+    dropped(segs)
     hit = places.join(known, "mark").where(F.exists("least", lambda x: x < F.col("id")))
     ends = F.concat(F.slice("at", 2, F.size("at") - 1), F.array((F.col("size") - (SPAN - 1)).cast("int")))
     runs = F.filter(F.arrays_zip(F.col("at").alias("a"), ends.alias("e"), F.col("least").alias("l")), lambda r: r["l"] < F.col("id"))
     spans = F.transform(runs, lambda r: F.struct((F.col("start") + r["a"]).alias("from"), (F.col("start") + r["e"] + (SPAN - 1)).alias("to")))
-    return hit.select("id", "x", spans.alias("spans")).groupBy("id", "x").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts"))
+    cuts = stashed(hit.select("id", "x", spans.alias("spans")).groupBy("id", "x").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts")))
+    dropped(places, known)
+    return cuts
 
 
 def cut_texts(rows: DataFrame, as_text: bool) -> DataFrame:
@@ -414,7 +433,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = stashed(earlier_copies(own))
     rest = own.join(bounded(copies), ["id", "x"], "left_anti")
     texts = packed_texts(rest)
-    cuts = stashed(repeated_spans(rest.select("id", "x", "text"), texts))
+    cuts = repeated_spans(rest.select("id", "x", "text"), texts)
     # three kinds of rows: without cuts, copies as a whole, and those to cut, which reuse the packed exchange
     kind, empty = ("string", "") if as_text else ("binary", b"")
     n = F.octet_length("text").cast("long")
