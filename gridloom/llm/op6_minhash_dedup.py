@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, buffers, connected_components, lower_ascii, mix64, prefix_hash, read_documents, span_hash, stashed, sub_batches, word_spans, worker_cache
+from .common import bounded, buffers, connected_components, dropped, lower_ascii, mix64, prefix_hash, read_documents, span_hash, stashed, sub_batches, word_spans, worker_cache
 
 WORDS = 5
 #: Bands and coordinates of each: a pair at similarity 0.75 shares no band with probability 5e-6.
@@ -163,29 +163,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # stashes, since much starts from them, and since only a join of two plain exchanges can split a hot key
     rows = stashed(signatures(docs, id_col, text_col))
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    classes = bounded(stashed(classes.where("m > 1").drop("m")))
-    own = rows.join(classes, ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    classes = stashed(classes.where("m > 1").drop("m"))
+    own = rows.join(bounded(classes), ["d1", "d2", "n"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     keyed = own.where("n > 0 AND doc_id = rep").select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
     buckets = stashed(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     # members of shared buckets only
     shared = stashed(keyed.join(buckets, "key"))
+    own = stashed(own.select("doc_id", "n", "rep"))
+    dropped(buckets, rows, classes)
     weights = shared.groupBy("id").agg(F.sum("m").alias("w"))
     leaders = stashed(shared.join(weights, "id").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "id")).alias("first")))
     led = stashed(shared.join(leaders, "key").select("key", "id", "n", "first").where("id != first.id"))
     ids = stashed(shared.select("id").distinct())
     texts = stashed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded(ids), "id", "left_semi"))
+    dropped(shared, leaders, ids)
     nearest = led.groupBy("id").agg(F.min("first").alias("first")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    links = stashed(verified(stashed(nearest), texts))
-    labels = connected_components(links)
+    nearest = stashed(nearest)
+    first = stashed(verified(nearest, texts))
+    labels = connected_components(first)
     # the other leaders of those that are still apart from them
     member = with_component(led.select("key", "id", "n", F.col("first.id").alias("leader")), labels)
     heads = labels.select(F.col("node").alias("leader"), F.col("component").alias("c_leader"))
     apart = member.join(heads, "leader", "left").where(F.col("c") != F.coalesce("c_leader", "leader"))
-    links = stashed(links.unionByName(verified(stashed(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), texts)))
-    labels = connected_components(links)
-    links = stashed(links.unionByName(across(with_component(led.select("key", "id", "n"), labels), texts)))
+    others = stashed(apart.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    more = stashed(first.unionByName(verified(others, texts)))
+    labels = connected_components(more)
+    member = stashed(with_component(led.select("key", "id", "n"), labels))
+    links = stashed(more.unionByName(across(member, texts)))
     labels = connected_components(links)
-    out = own.select("doc_id", "n", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    dropped(led, texts, nearest, first, others, more, member, links)
+    out = own.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -195,11 +202,10 @@ def with_component(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def across(member: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): links that join the components c of members (key, id, n, c) of a bucket, which their leader has left apart.
+    """(u, v): links that join the components c of members (key, id, n, c; a stash) of a bucket, which their leader has left apart.
 
     Members are dealt into blocks, and each two blocks of a bucket meet in a task. Buckets with the same members are one.
     """
-    member = stashed(member)
     digest = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"x{k}") for k in (1, 2)]
     mixed = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("size"), *digest).where("lo != hi")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES))
