@@ -22,6 +22,8 @@ from .common import read_documents, strings, sub_batches, worker_cache
 
 #: Trie nodes, remembered words and tested pairs after which a worker starts afresh; symbols of the prefixes kept with their states.
 NODES, WORDS, PAIRS, FRONT = 250_000, 40_000, 150_000, 4
+#: Bytes of text that stand in memory as words, ten times their size, at a time.
+PIECES = 1 << 18
 
 
 def _byte_chars() -> list[str]:
@@ -206,7 +208,7 @@ def _map(docs: DataFrame, id_col: str, text_col: str, names: list[str], types: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in (s for b in batches for s in sub_batches(b, 1)):
+        for batch in (s for b in batches for s in sub_batches(b, 1, PIECES)):
             texts = [model.pieces(t) for t in strings(batch.column(1))]
             code, show = model.coder(texts)
             rows = [make(b"".join(map(code, t)), map(show, t)) for t in texts]
