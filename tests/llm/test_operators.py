@@ -5,13 +5,14 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from gridloom.llm import op1_mixing, op2_token_counts, op3_media_columns, op4_bpe_codec, op5_imatch, op6_minhash_dedup, op7_quality_lm, op8_language_id, op9_suffix_dedup, op10_toxicity
+from gridloom.llm import common, op1_mixing, op2_token_counts, op3_media_columns, op4_bpe_codec, op5_imatch, op6_minhash_dedup, op7_quality_lm, op8_language_id, op9_suffix_dedup, op10_toxicity
 from gridloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, start string"
@@ -565,6 +566,31 @@ def test_passages_of_odd_rows(spark):
         op9_suffix_dedup.suffix_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
+def shuffled(spark):
+    """Names of the shuffle files that are on the disk."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while files.hasNext():
+        names.add(files.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_passages_leave_the_disk(spark, docs, tmp_path, monkeypatch):
+    """What was shuffled for a stash goes with its job, and of the stashes those stay that the result reads."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    was = shuffled(spark)
+    kept = common.stashed(docs.repartition(2, "doc_id"))
+    until = time.time() + 10
+    while shuffled(spark) - was and time.time() < until:  # they go in the background
+        time.sleep(0.1)
+    assert not shuffled(spark) - was and kept.count() == len(corpus())
+    out = op9_suffix_dedup.suffix_dedup(docs)
+    left = [spark.read.parquet(str(p)).columns for p in tmp_path.glob("stash-*")]
+    assert ["id", "x", "cuts"] in left and not any({"key", "mark", "h"} & set(c) for c in left)
+    want = brute_passages([(r[0], r[1]) for r in corpus()])
+    assert sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in out.collect()), key=repr) == want
+
+
 def test_toxicity(spark, nothing):
     rng = random.Random(11)
     clean = ["".join(rng.choice(["ta", "re", "lin", "os", "mu"]) for _ in range(3)) for _ in range(150)]
