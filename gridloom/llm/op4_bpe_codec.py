@@ -4,6 +4,7 @@ Distinct words stand in a trie. Each node keeps one number, the last token of th
 prefix, found from the states of its ancestors: token t ends the encoding of prefix p exactly if
 p without t ends in a token that stays apart from t under the merge order. Words with a common
 prefix share those states, and an encoding is read off by walking back token by token.
+The tokens that may end a prefix come from its longest ending that begins some token: all others are shorter.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_documents, strings, sub_batches, worker_cache
 
-#: Trie nodes, remembered words and tested pairs after which a worker starts afresh; symbols of the prefixes kept with their states.
-NODES, WORDS, PAIRS, FRONT = 250_000, 40_000, 150_000, 4
+#: Trie nodes, remembered words, tested pairs and endings after which a worker starts afresh; symbols of the prefixes kept with their nodes.
+NODES, WORDS, PAIRS, ENDINGS, FRONT = 100_000, 60_000, 150_000, 60_000, 4
+#: Symbols of a word above which all its prefixes get their states in order.
+DEEP = 100
+#: What stands for the end of a word among its symbols.
+STOP = "\0"
 #: Bytes of text that stand in memory as words, ten times their size, at a time.
 PIECES = 1 << 18
 
@@ -46,9 +51,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.surface |= {i: t for t, i in self.special.items()}
         self.alphabet = _byte_chars()
-        self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.end)}
-        self.last = {t[: -len(self.end)]: i for t, i in vocab.items() if t.endswith(self.end)}
-        self.longest = max(map(len, [*self.inner, *self.last]))
+        self.tokens = {t[: -len(self.end)] + STOP if t.endswith(self.end) else t: i for t, i in vocab.items()}
+        self.begins = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         #: By pair (left << 20 | right) the merge's rank; by token its own merge's rank (-1: a byte) and its two parts.
         self.rank: dict[int, int] = {}
         self.level, self.left, self.right = ([-1] * (max(self.surface) + 1) for _ in range(3))
@@ -61,18 +65,21 @@ class WordBpe:
         self.words = regex.compile(PATTERN).findall
         self.apart_known: dict[int, bool] = {}
         #: Of the words remembered their ids and the text decoded from them.
-        self.coded: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
-        self.older: tuple[dict[str, bytes], dict[str, str]] = {}, {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.size = {i: len(t.removesuffix(self.end)) for t, i in vocab.items()}
+        #: By such an ending and what comes behind it, a symbol or the last one and STOP, the next ending, with the tokens that end it: sizes and ids, longest first.
+        self.follows: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        self.endings: dict[str, tuple[str, list[tuple[int, int]]]] = {}
         self.clear()
 
     def clear(self) -> None:
-        #: Child by node << 21 | character; the state of each node.
+        #: Child by node << 21 | character; the state (-1: not asked for yet) and the ending of each node.
         self.next: dict[int, int] = {}
         self.state: list[int] = [-1]
-        #: The node of a prefix of FRONT symbols and the states up to it.
-        self.front: dict[str, tuple[int, list[int]]] = {}
+        self.ending: list[tuple[str, list[tuple[int, int]]]] = [("", [])]
+        #: The nodes up to that of a prefix of FRONT symbols.
+        self.front: dict[str, list[int]] = {}
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b, side by side, are what the merges make of their joined symbols."""
@@ -91,69 +98,105 @@ class WordBpe:
             else:  # a merge across of the same rank stands further left, so it comes first
                 b, bar = self.left[b], lb + 1
 
-    def _extend(self, states: list[int], word: str, d: int, table: dict[str, int]) -> int:
-        """The last token of the encoding of word[:d]; states[k] is that of its first k symbols."""
-        known = self.apart_known
-        for at in range(max(0, d - self.longest), d):
-            t = table.get(word[at:d])
-            if t is not None:
-                if not at:
-                    return t
-                key = states[at] << 20 | t
-                apart = known.get(key)
-                if apart is None:
-                    if len(known) > PAIRS:
-                        known.clear()
-                    apart = known[key] = self._apart(states[at], t)
-                if apart:
-                    return t
+    def _follow(self, joined: str) -> tuple[str, list[tuple[int, int]]]:
+        """The longest ending of an ending with more behind it that begins some token, and the tokens that end it."""
+        if len(self.follows) > ENDINGS:
+            self.follows.clear()
+            self.endings.clear()
+        end = next((joined[k:] for k in range(len(joined)) if joined[k:] in self.begins), "")
+        found = self.endings.get(end)
+        if found is None:
+            ids = (self.tokens.get(end[k:]) for k in range(len(end)))
+            found = self.endings[end] = end, [(self.size[t], t) for t in ids if t is not None and self.size[t]]
+        self.follows[joined] = found
+        return found
+
+    def _choose(self, path: list[int], ends: list[tuple[int, int]], d: int) -> int:
+        """The last token of the encoding of a prefix of d symbols, one of `ends`; path: the nodes from the root on."""
+        known, state, ending = self.apart_known, self.state, self.ending
+        for size, t in ends:
+            if size == d:
+                return t
+            node = path[d - size]
+            before = state[node]
+            if before < 0:  # states are found when a longer prefix asks for them
+                before = state[node] = self._choose(path, ending[node][1], d - size)
+            key = before << 20 | t
+            apart = known.get(key)
+            if apart is None:
+                if len(known) > PAIRS:
+                    known.clear()
+                apart = known[key] = self._apart(before, t)
+            if apart:
+                return t
         raise ValueError("the vocabulary lacks a byte")
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given in stand-in characters."""
-        follow, state = self.next, self.state
-        known = self.front.get(word[:FRONT]) if len(word) > FRONT else None
-        node, states = (known[0], known[1].copy()) if known else (0, [-1])
-        for d in range(len(states), len(word)):
-            key = node << 21 | ord(word[d - 1])
-            node = follow.get(key)
-            if node is None:
-                node = follow[key] = len(state)
-                state.append(self._extend(states, word, d, self.inner))
-            states.append(state[node])
-            if d == FRONT:
-                self.front[word[:FRONT]] = node, states.copy()
-        t = self._extend(states, word, len(word), self.last)
-        at = len(word) - self.size[t]
+        follow, state, ending, follows, size = self.next, self.state, self.ending, self.follows, self.size
+        path = self.front.get(word[:FRONT]) if len(word) > FRONT else None
+        path = path.copy() if path else [0]
+        node = path[-1]
+        for c in word[len(path) - 1 : -1]:
+            key = node << 21 | ord(c)
+            child = follow.get(key)
+            if child is None:
+                joined = ending[node][0] + c
+                child = follow[key] = len(state)
+                state.append(-1)
+                ending.append(follows.get(joined) or self._follow(joined))
+            node = child
+            path.append(node)
+            if len(path) == FRONT + 1:
+                self.front[word[:FRONT]] = path.copy()
+        if len(word) > DEEP:  # from the front on, so that no state waits for many others
+            for d in range(1, len(word)):
+                if state[path[d]] < 0:
+                    state[path[d]] = self._choose(path, ending[path[d]][1], d)
+        joined = ending[node][0] + word[-1] + STOP
+        t = self._choose(path, (follows.get(joined) or self._follow(joined))[1], len(word))
+        at = len(word) - size[t]
         out = [t]
         while at:
-            out.append(states[at])
-            at -= self.size[states[at]]
+            t = state[path[at]]
+            out.append(t)
+            at -= size[t]
         return out[::-1]
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the distinct words that aren't known yet, in sorted order: depth first through the trie."""
-        if len(self.coded) > WORDS:  # what is still in use moves on from the older half
-            self.older, self.coded, self.shown = (self.coded, self.shown), {}, {}
-        coded, shown, surface = self.coded, self.shown, self.surface.__getitem__
-        new = words - coded.keys()
-        ids_of, text_of = self.older
-        for w in new & ids_of.keys():
-            coded[w], shown[w] = ids_of[w], text_of[w]
-        done: dict[str, list[int]] = {}
-        for w in sorted(new - coded.keys()):
-            if len(self.state) > NODES:
-                self.clear()
+    def learn(self, words: set[str]) -> tuple[dict[str, bytes], dict[str, str]]:
+        """The ids of distinct words and the text decoded from them; what isn't known yet is encoded in sorted order, depth first through the trie."""
+        if len(self.known) > WORDS:  # what is still in use moves on from the older half
+            self.older, self.known = self.known, {}
+        known, older, surface = self.known, self.older, self.surface.__getitem__
+        # only what a word splits into is remembered
+        single, parts = set(), {}
+        for w in words:
             if w.isascii() and w.isalpha():
-                ids = self.encode_word(w)
+                single.add(w)
             else:
-                ids = []
-                for x in self.words(w):
-                    code = done.get(x)
-                    if code is None:
-                        code = done[x] = self.encode_word(x if x.isascii() and x.isprintable() else "".join(map(self.alphabet.__getitem__, x.encode())))
-                    ids += code
-            coded[w], shown[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(surface, ids))
+                # most are letters with one other character behind
+                parts[w] = own = [w[:-1], w[-1]] if w.isascii() and w[:-1].isalpha() else self.words(w)
+                single.update(own)
+        coded, shown, new = {}, {}, []
+        for w in single:
+            both = known.get(w)
+            if both is None:
+                both = older.get(w)
+                if both is None:
+                    new.append(w)
+                    continue
+                known[w] = both
+            coded[w], shown[w] = both
+        new.sort()
+        for w in new:
+            if len(self.state) > NODES:
+                self.clear()
+            ids = self.encode_word(w if w.isascii() and w.isprintable() else "".join(map(self.alphabet.__getitem__, w.encode())))
+            known[w] = coded[w], shown[w] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(surface, ids))
+        for w, own in parts.items():
+            if w not in coded:
+                coded[w], shown[w] = b"".join(map(coded.__getitem__, own)), " ".join(map(shown.__getitem__, own))
+        return coded, shown
 
     def pieces(self, text: str) -> list[str]:
         """Runs between white space, lowered, and special strings, in order."""
@@ -172,10 +215,9 @@ class WordBpe:
 
     def coder(self, texts: list[list[str]]) -> tuple[Callable[[str], bytes], Callable[[str], str]]:
         """The ids of each piece of the texts, and what they decode to."""
-        self.learn(set().union(*texts) - self.special.keys())
-        ids, shown = self.coded, self.shown
-        if any(s in t for t in texts for s in self.special):
-            ids, shown = ids | {s: struct.pack("<I", i) for s, i in self.special.items()}, shown | {s: s for s in self.special}
+        ids, shown = self.learn(set().union(*texts) - self.special.keys())
+        ids |= {s: struct.pack("<I", i) for s, i in self.special.items()}
+        shown |= {s: s for s in self.special}
         return ids.__getitem__, shown.__getitem__
 
     def encode(self, text: str) -> list[int]:

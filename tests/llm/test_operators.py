@@ -200,6 +200,31 @@ def test_bpe(docs, nothing):
     assert op4_bpe_codec.bpe_digest(nothing, op4_bpe_codec.tokenizer_path).count() == 0
 
 
+def test_bpe_words_once(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    lib, model = Tokenizer.from_file(op4_bpe_codec.tokenizer_path()), op4_bpe_codec.WordBpe(op4_bpe_codec.tokenizer_path())
+    done, encode = [], model.encode_word
+    monkeypatch.setattr(model, "encode_word", lambda w: done.append(w) or encode(w))
+    for t in ("gridloom", "gridloom, gridloom.", "(gridloom) gridloom's"):
+        assert model.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    # a word inside others is encoded once, whatever stands about it
+    assert done.count("gridloom") == 1 and "," in done
+    # what is forgotten in between changes nothing
+    monkeypatch.setattr(op4_bpe_codec, "NODES", 50)
+    monkeypatch.setattr(op4_bpe_codec, "WORDS", 20)
+    monkeypatch.setattr(op4_bpe_codec, "ENDINGS", 30)
+    monkeypatch.setattr(op4_bpe_codec, "DEEP", 25)
+    rng = random.Random(4)
+    for _ in range(200):
+        t = " ".join("".join(rng.choices(rng.choice(["etaoinshr", "theing,.'s", "aé日1ßñ🙂", "ab"]), k=rng.randint(1, 40))) for _ in range(8))
+        assert model.encode(t) == lib.encode(t, add_special_tokens=False).ids, t
+    t = "".join(rng.choices("abeint", k=20_000))
+    assert model.encode(t) == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_fingerprints(docs, nothing):
     rows = {r["doc_id"]: r for r in op5_imatch.fingerprints(docs).collect()}
     table = sorted((i, t or "") for i, t, *_ in corpus())
