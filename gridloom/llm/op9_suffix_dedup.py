@@ -58,16 +58,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, pre: np.ndarray) -> tuple[np
     if size < width:
         low = np.minimum(low[: size - width], low[width - size :])
     at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    length = np.diff(offsets)
-    doc = np.repeat(np.arange(len(length)), length)[: len(at)]
-    room = np.repeat(offsets[1:], length)[: len(at)]
-    whole = np.arange(len(at)) + SPAN <= room
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
+    new = np.ones(len(at) + 1, bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:-1])
+    new[offsets[offsets < len(at)]] = True
+    first = np.flatnonzero(new)
+    first, after = first[:-1], first[1:]
+    doc = np.searchsorted(offsets, first, side="right") - 1
     # the strings of a document that are whole stand in front of those that aren't
-    first = np.flatnonzero(new & whole)
-    count = np.diff(np.r_[0, np.cumsum(whole)][np.r_[first, len(at)]])
-    return first, count, h[at[first]], doc[first], at[first]
+    whole = offsets[doc + 1] - (SPAN - 1)
+    keep = first < whole
+    first, after, doc, whole = first[keep], after[keep], doc[keep], whole[keep]
+    return first, np.minimum(after, whole) - first, h[at[first]], doc, at[first]
 
 
 def surroundings(pre: np.ndarray, offsets: np.ndarray, at: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +100,28 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
+def in_order(h: np.ndarray, doc: np.ndarray, ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Low bits of the hashes, documents and shards, each three once, by shard, low bits and id; and where a hash of a shard is the first of its kind."""
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.uint64)
+    rank[by_id] = np.arange(len(ids), dtype=np.uint64)
+    bits = max(1, (len(ids) - 1).bit_length())
+    if bits + 32 + (shards - 1).bit_length() <= 64:  # all in one number, which sorts much faster
+        b = np.uint64(bits)
+        key = np.sort(((_shard(h, shards).astype(np.uint64) << np.uint64(32) | h & LOW) << b) | rank[doc])
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        group = key >> b
+        h, place, shard = group & LOW, key & ((np.uint64(1) << b) - np.uint64(1)), group >> np.uint64(32)
+    else:
+        h, place, shard = h & LOW, rank[doc], _shard(h, shards).astype(np.uint64)
+        order = np.lexsort((place, h, shard))
+        h, place, shard = h[order], place[order], shard[order]
+        new = np.r_[True, (place[1:] != place[:-1]) | (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
+        h, place, shard = h[new], place[new], shard[new]
+    first = np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
+    return h, by_id[place.astype(np.int64)], shard.astype(np.int64), first
+
+
 def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
     """(id, x, key): of each document the anchors with one of their surroundings, a shard and four bytes in one number, that stand in some other document too.
 
@@ -120,14 +143,9 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
                     docs.append(doc[there[k]] + done)
                 done += part.num_rows
             h, doc = np.concatenate(hashes), np.concatenate(docs)
-            shard = _shard(h, shards)
-            order = np.lexsort((doc, ids[doc], h & LOW, shard))
-            h, doc, shard = (h & LOW)[order], doc[order], shard[order]
             if not len(h):
                 continue
-            first = np.r_[True, (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])]
-            new = first | np.r_[True, doc[1:] != doc[:-1]]
-            h, doc, shard, first = h[new], doc[new], shard[new], first[new]
+            h, doc, shard, first = in_order(h, doc, ids, shards)
             group = np.cumsum(first) - 1
             last = np.r_[first[1:], True]
             known = (ids[doc[first]] != ids[doc[last]])[group] & ~first & ~last
@@ -146,11 +164,11 @@ def shared_anchors(docs: DataFrame, shards: int) -> DataFrame:
     def meet(shard: int, part: int, n: list[int], keys: list[bytes], ids: list[bytes], x: list[bytes]) -> pa.RecordBatch:
         key, owner, other = _unpack(keys, "<u4", n).astype(np.uint64), _unpack(ids, "<i8", n), _unpack(x, "<i8", n)
         if part >= 0:
-            order = np.lexsort((owner, key))
+            order = np.argsort(key)
             key, owner, other = key[order], owner[order], other[order]
             new = np.r_[True, key[1:] != key[:-1]]
-            edge = np.r_[np.flatnonzero(new), len(key)]
-            shared = (owner[edge[:-1]] != owner[edge[1:] - 1])[np.cumsum(new) - 1]
+            edge = np.flatnonzero(new)
+            shared = (np.minimum.reduceat(owner, edge) != np.maximum.reduceat(owner, edge))[np.cumsum(new) - 1]
             key, owner, other = key[shared], owner[shared], other[shared]
         return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(other), pa.array((key + (np.uint64(shard + 1) << np.uint64(32))).view(np.int64))], names=["id", "x", "key"])
 
@@ -202,8 +220,10 @@ def shared_segments(texts: DataFrame, anchors: DataFrame, shards: int) -> DataFr
         tag = lambda d, key: mix64(mix64(d.astype(np.uint64)) + key)
         want = tag(np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy(zero_copy_only=False)), keys.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
         keep = np.zeros(len(h), bool)
+        want.sort()
         for k in range(WAYS):
-            keep |= there[k] & np.isin(tag(doc, (both[k] & LOW) + (_shard(both[k], shards).astype(np.uint64) + np.uint64(1) << np.uint64(32))), want)
+            tags = tag(doc, (both[k] & LOW) + (_shard(both[k], shards).astype(np.uint64) + np.uint64(1) << np.uint64(32)))
+            keep |= there[k] & (want[np.minimum(np.searchsorted(want, tags), len(want) - 1)] == tags)
         start, strings, h, doc = start[keep], strings[keep], h[keep], doc[keep]
         mark = span_hash(pre, start, start + strings + SPAN - 1)
         return pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(x[doc]), pa.array((start - off[doc]).astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(mark.view(np.int64)), pa.array(h.view(np.int64))], names=PLACE)
@@ -311,7 +331,7 @@ def least_ids(contents: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def repeated_strings(segs: DataFrame) -> DataFrame:
-    """segs: distinct segments (h, mark, content, least). (mark, size, at, least): runs of strings of each distinct segment with the least id in which they start."""
+    """segs: distinct segments (h, mark, content, least). (mark, size, at, least, low, high): runs of strings of each distinct segment with the least id in which they start, and the bounds of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("passages")
@@ -322,9 +342,10 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             marks, content, ids = t.column(1).chunk(0), t.column(2).chunk(0), t.column(3).to_numpy()
             cut, at, least = least_ids(content, ids)
+            ends = [pa.array(f.reduceat(least, cut[:-1])) for f in (np.minimum, np.maximum)]
             cut = pa.array(cut.astype(np.int32))
             lists = [pa.ListArray.from_arrays(cut, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(least))]
-            return pa.RecordBatch.from_arrays([marks, pc.binary_length(content).cast(pa.int64()), *lists], names=["mark", "size", "at", "least"])
+            return pa.RecordBatch.from_arrays([marks, pc.binary_length(content).cast(pa.int64()), *lists, *ends], names=["mark", "size", "at", "least", "low", "high"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -347,7 +368,7 @@ def repeated_strings(segs: DataFrame) -> DataFrame:
             yield flush()
 
     n = max(8, int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return segs.select("h", "mark", "content", "least").repartition(n, "h").sortWithinPartitions("h", "mark").mapInArrow(run, "mark long, size long, at array<int>, least array<long>")
+    return segs.select("h", "mark", "content", "least").repartition(n, "h").sortWithinPartitions("h", "mark").mapInArrow(run, "mark long, size long, at array<int>, least array<long>, low long, high long")
 
 
 def earlier_copies(docs: DataFrame) -> DataFrame:
@@ -372,10 +393,13 @@ def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     dropped(first)
     known = stashed(repeated_strings(segs))
     dropped(segs)
-    hit = places.join(known, "mark").where(F.exists("least", lambda x: x < F.col("id")))
+    hit = places.join(known, "mark").where("low < id")
     ends = F.concat(F.slice("at", 2, F.size("at") - 1), F.array((F.col("size") - (SPAN - 1)).cast("int")))
     runs = F.filter(F.arrays_zip(F.col("at").alias("a"), ends.alias("e"), F.col("least").alias("l")), lambda r: r["l"] < F.col("id"))
     spans = F.transform(runs, lambda r: F.struct((F.col("start") + r["a"]).alias("from"), (F.col("start") + r["e"] + (SPAN - 1)).alias("to")))
+    # a segment whose strings all start earlier goes as one
+    whole = F.array(F.struct(F.col("start").alias("from"), (F.col("start") + F.col("size").cast("int")).alias("to")))
+    spans = F.when(F.col("high") < F.col("id"), whole).otherwise(spans)
     cuts = stashed(hit.select("id", "x", spans.alias("spans")).groupBy("id", "x").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("cuts")))
     dropped(places, known)
     return cuts

@@ -711,3 +711,47 @@ def test_pipeline_stages(spark, docs, tmp_path):
         if k < 3:
             assert d.count() <= before.count() and d.count() > 0
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(d.columns)
+
+
+def test_passage_anchors_in_order():
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 1 << 62, 60, dtype=np.uint64)[rng.integers(0, 60, 500)]
+    ids = rng.permutation(np.r_[np.arange(-9, 10), np.arange(-9, 10), 1 << 60])  # rows of one id, and negative ones
+    doc = rng.integers(0, len(ids), 500)
+    for shards in (1, 7, 1 << 40):  # the last doesn't fit into one number with the rest
+        shard = op9_suffix_dedup._shard(h, shards)
+        want = {(int(s), int(k & op9_suffix_dedup.LOW), int(d)) for s, k, d in zip(shard, h, doc, strict=True)}
+        low, d, own, first = op9_suffix_dedup.in_order(h, doc, ids, shards)
+        rows = list(zip(own.tolist(), low.tolist(), d.tolist(), strict=True))
+        assert len(rows) == len(want) and set(rows) == want
+        order = [(s, k, int(ids[i])) for s, k, i in rows]
+        assert order == sorted(order)
+        assert first.tolist() == [j == 0 or rows[j][:2] != rows[j - 1][:2] for j in range(len(rows))]
+
+
+def test_passage_segments_of_short_texts():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (0, 49, 50, 51, 0, 3, 400, 0, 50, 12, 200, 0)]
+    for some in (texts, texts[::-1], texts[:2], texts[6:7]):
+        data, off = np.frombuffer(b"".join(some), np.uint8), np.r_[0, np.cumsum([len(t) for t in some])].astype(np.int64)
+        pre = common.prefix_hash(data)
+        first, count, _, doc, at = op9_suffix_dedup.segments(data, off, pre)
+        found = [(int(d), int(f + k - off[d])) for f, n, d in zip(first, count, doc, strict=True) for k in range(n)]
+        assert found == [(i, k) for i, t in enumerate(some) for k in range(len(t) - 49)]
+        # a segment's strings hold its anchor
+        assert all(f + n - 1 <= a and a + 12 <= f + 50 for f, n, a in zip(first, count, at, strict=True))
+
+
+def test_passages_gone_as_one(spark):
+    """Segments whose strings all start earlier are one range, whatever their runs."""
+    rng = np.random.default_rng(5)
+    a, b = ("".join(map(chr, rng.integers(97, 123, 300))) for _ in range(2))
+    rows = [(1, a[:200]), (2, a[100:]), (3, a), (4, a + b), (5, a[50:] + b[:90]), (6, None)]
+    got = {r["doc_id"]: r for r in op9_suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        t, gone = t or "", set()
+        for k in range(len(t) - 49):
+            if any(t[k : k + 50] in (u or "") for j, u in rows if j < i):
+                gone |= set(range(k, k + 50))
+        assert got[i]["n_removed"] == len(gone) and got[i]["n_spans"] == sum(k - 1 not in gone for k in gone)
+        assert got[i]["kept_bytes"].decode() == "".join(c for k, c in enumerate(t) if k not in gone)
