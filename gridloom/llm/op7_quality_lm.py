@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _SPACE, bounded, dropped, mix64, prefix_hash, read_documents, span_hash, stashed, sub_batches
+from .common import _SPACE, bounded, dropped, prefix_hash, read_documents, span_hash, stashed, sub_batches
 
 ORDER = 4
 #: Text of a batch: it asks for each n-gram once.
@@ -109,6 +109,14 @@ def _unpack(data: bytes, cols: int, rising: int = 0) -> np.ndarray:
     return out
 
 
+def _rising(key: np.ndarray) -> np.ndarray:
+    """The distinct keys, rising."""
+    key = np.sort(key)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key[new]
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys, rising; a place of each; and which of them each key is."""
     order = np.argsort(key)
@@ -149,10 +157,10 @@ class Deal:
     shards: int
 
     def turn(self, middle: np.ndarray) -> np.ndarray:
-        return (middle >> np.uint64(44)).astype(np.int64) % self.passes
+        return ((middle >> np.uint64(44)) * np.uint64(self.passes) >> np.uint64(20)).view(np.int64)
 
     def shard(self, pair: np.ndarray) -> np.ndarray:
-        return (mix64(pair) >> np.uint64(24)).astype(np.int64) % self.shards
+        return ((pair & np.uint64(0xFFFFFFFF)) * np.uint64(self.shards) >> np.uint64(32)).view(np.int64)
 
     def questions(self, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By kind: the pass and the shard of each distinct key, rising, and which key each word has; last of single words, with BEFORE behind the last."""
@@ -208,7 +216,7 @@ def asked_and_counted(docs: DataFrame, turn: int, deal: Deal) -> DataFrame:
             out += _rows(turn, TRIGRAM, number, deal.shard(front[first]), key[None], 1)
             alone = np.r_[w[2, last], before] if w.shape[1] else before[:0]
             for kind, key in ((CONTEXT, front), (BIGRAM, back), (WORD, alone)):
-                key = np.unique(key)
+                key = _rising(key)
                 out += _rows(turn, kind, number, deal.shard(key), key[None], 1)
             if out:
                 yield _batch(out)
@@ -487,7 +495,7 @@ def all_grams(docs: DataFrame) -> DataFrame:
         seen = np.zeros(0, np.uint32)
         for batch in batches:
             for part in sub_batches(batch, 0):
-                seen = np.union1d(seen, grams([t.encode() + END if t else b"" for t in part.column(0).to_pylist()])[0])
+                seen = _rising(np.r_[seen, _rising(grams([t.encode() + END if t else b"" for t in part.column(0).to_pylist()])[0])])
                 if len(seen) > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["k"])
                     seen = seen[:0]
@@ -503,8 +511,8 @@ def asked_grams(batches: DataFrame) -> DataFrame:
         for row in rows:
             for batch, packed, sizes in zip(*(c.to_pylist() for c in row.columns), strict=True):
                 texts = _texts(packed, sizes)
-                k = [np.zeros(0, np.uint32), *(np.unique(grams(texts[lo:hi])[0]) for lo, hi in _parts(sizes))]
-                k = np.unique(np.concatenate(k))
+                k = [np.zeros(0, np.uint32), *(_rising(grams(texts[lo:hi])[0]) for lo, hi in _parts(sizes))]
+                k = _rising(np.concatenate(k))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), batch)), pa.array(k.astype(np.int64))], names=["batch", "k"])
 
     return batches.select("batch", "packed", "sizes").mapInArrow(run, "batch long, k long")
@@ -553,7 +561,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, passes: int | None = None)
                     names=["id", "lang", "n_bytes", "perplexity"],
                 )
 
-    out, rounds = None, 1 + (passes - 1) // 4
+    out, rounds = None, (passes + 1) // 2
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
     answer = "struct<pass:int,shard:int,kind:int,data:binary>"
     for turn in range(rounds):

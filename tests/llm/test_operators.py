@@ -410,6 +410,19 @@ def test_quality_of_words(docs, spark):
         assert got[i] == pytest.approx(math.exp(-total / (len(t) + 1)), rel=1e-5)
 
 
+def test_quality_in_passes(docs, spark, monkeypatch):
+    """Passes change no result, and each deals out a part of the questions and counts."""
+    m, trusted = op7_quality_lm, spark.createDataFrame([(i,) for i, *_ in corpus()[:20]], "doc_id long")
+    rows = lambda: {r["doc_id"]: r["perplexity"] for r in m.quality(docs, trusted).collect()}
+    whole = rows()
+    monkeypatch.setattr(m, "PASS_BYTES", 1 << 13)
+    split = rows()
+    assert split.keys() == whole.keys() and all(split[i] == pytest.approx(whole[i], rel=1e-9) for i in whole)
+    marked = docs.selectExpr("doc_id AS id", "text", "lang", "doc_id <= 58 AS own")
+    sent = lambda turn, passes: m.asked_and_counted(marked, turn, m.Deal(passes, 8)).selectExpr("sum(length(data))").first()[0]
+    assert max(sent(k, 4) for k in range(4)) < 0.6 * sent(0, 1)
+
+
 def test_kneser_ney_sums_to_one(spark):
     texts = [b"abracadabra", b"abcabc", b"banana"]
     key, n = np.unique(op7_quality_lm.grams(texts)[0], return_counts=True)
